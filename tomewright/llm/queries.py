@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tomewright.llm import sentencepieces
+from tomewright.llm import idstore, packing, sentencepieces
+from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,19 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         public_tokenizers.path("piece_bpe_32k.model"),
         outputs=("n_tokens", "ids_sha256", "decoded_sha256"),
     )
+
+
+@query
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+@query
+def op5_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checksums of all documents' id streams, read back from the content-addressed store."""
+    store = idstore.write_store(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), fresh_path(spark, "store"), end_id=2
+    )
+    store.verify()
+    return store.checksums()
