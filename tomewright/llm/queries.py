@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, packing, sentencepieces
+from tomewright.llm import idstore, packing, ppm, quality, rules, sentencepieces
 from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,60 @@ def op5_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     store.verify()
     return store.checksums()
+
+
+@query
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality metrics and verdict of every document."""
+    return rules.measure(table(spark, sf_dir, "documents")).drop("failed_rule")
+
+
+ORACLES["op8_rules"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM t
+), pos AS (
+  SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3
+), win AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM pos
+), rep AS (
+  SELECT rid, count(DISTINCT p) AS r FROM (
+    SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM win WHERE c >= 2) GROUP BY rid
+), lines AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t
+), dup AS (
+  SELECT rid, count(*) AS n, count(*) - count(DISTINCT line) AS d
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
+), m AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(n, 0) AS n_lines
+  FROM w LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)
+), b AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_symbols * 10 > n_words) AND CAST(word_chars AS DOUBLE) / n_words BETWEEN 2.5 AND 15.0
+    AND NOT (n_dup_lines * 10 > n_lines * 3) AS kept
+FROM b"""
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model, keep=["doc_id"])
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole document under the byte-context model, and under word counts."""
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
