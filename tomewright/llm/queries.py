@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, packing, ppm, quality, rules, sentencepieces
+from tomewright.llm import idstore, jaccard, packing, ppm, quality, rules, sentencepieces
 from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every whole document under the byte-context model, and under word counts."""
     return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, for five-word shingles and similarity 0.8."""
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))
