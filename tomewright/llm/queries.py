@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, jaccard, packing, ppm, quality, rules, sentencepieces
+from tomewright.llm import idstore, jaccard, linededup, packing, ppm, quality, rules, sentencepieces
 from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,41 @@ def op10_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, for five-word shingles and similarity 0.8."""
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and deleted lines of every document, and the digest of the text that is left."""
+    left = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+ORACLES["op9_lines"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), l AS (
+  SELECT doc_id, line, num, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS num FROM t)
+), c AS (
+  SELECT *, row_number() OVER w AS idx, sum(words) OVER w AS done FROM l WHERE words > 0
+  WINDOW w AS (PARTITION BY doc_id ORDER BY num ROWS UNBOUNDED PRECEDING)
+), d AS (
+  SELECT doc_id, list(line ORDER BY idx) AS lines FROM c GROUP BY doc_id
+), win AS (
+  SELECT a.doc_id, a.idx AS s, min(b.idx) AS e FROM c a JOIN c b
+    ON a.doc_id = b.doc_id AND b.idx >= a.idx AND b.done - a.done + a.words >= 50 GROUP BY a.doc_id, a.idx
+  UNION
+  SELECT b.doc_id, max(a.idx) AS s, b.idx AS e FROM c a JOIN c b
+    ON a.doc_id = b.doc_id AND b.idx >= a.idx AND b.done - a.done + a.words >= 50 GROUP BY b.doc_id, b.idx
+), k AS (
+  SELECT win.doc_id, s, e, array_to_string(lines[s:e], chr(10)) AS key FROM win JOIN d ON win.doc_id = d.doc_id
+), f AS (
+  SELECT doc_id, s, e, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS nth FROM k
+), gone AS (
+  SELECT DISTINCT c.doc_id, c.num FROM c JOIN f ON c.doc_id = f.doc_id AND c.idx BETWEEN f.s AND f.e WHERE f.nth > 1
+), j AS (
+  SELECT l.doc_id, l.num, l.line, l.words, gone.num IS NOT NULL AS del FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.num = gone.num
+)
+SELECT doc_id, CAST(count(*) FILTER (WHERE words > 0) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE del) AS BIGINT) AS n_deleted,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (WHERE NOT del), '')) AS text_md5
+FROM j GROUP BY doc_id"""
