@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, jaccard, linededup, packing, ppm, quality, rules, sentencepieces
+from tomewright.llm import idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces
 from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,9 @@ WITH t AS (
 SELECT doc_id, CAST(count(*) FILTER (WHERE words > 0) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE del) AS BIGINT) AS n_deleted,
   md5(coalesce(string_agg(line, chr(10) ORDER BY num) FILTER (WHERE NOT del), '')) AS text_md5
 FROM j GROUP BY doc_id"""
+
+
+@query
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every hundredth embedding."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
