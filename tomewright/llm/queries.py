@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces
+from tomewright.llm import idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
 from tomewright.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,57 @@ FROM j GROUP BY doc_id"""
 def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows of every hundredth embedding."""
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+#: Fetch times and list entries of the query on ``pages``, which has neither: made by rule from its rows.
+FETCHED = "timestamp '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST((page_id * 37) % 57600 AS INT), 0)"
+
+
+@query
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as of its fetch time against lists of hosts, domains and path prefixes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched"))
+    hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    hosts = hosts.withColumn("h", (F.ascii("host") * 31 + F.length("host") * 17) % 97)
+    day = lambda e: F.expr(f"timestamp '2024-01-01 00:00:00' + make_dt_interval(CAST({e} AS INT), 0, 0, 0)")
+    changes = [("add", "h % 20"), ("remove", "h % 20 + 10 + h % 7"), ("add", "h % 20 + 25")]
+    entries = None
+    for action, when in changes:
+        one = hosts.where("h % 3 <> 0").select(F.lit("spam").alias("list"), F.lit("host").alias("kind"), F.col("host").alias("key"), F.lit(action).alias("action"), day(when).alias("at"))
+        two = hosts.where("h % 2 = 0").select(F.lit("legal").alias("list"), F.lit("prefix").alias("kind"), F.concat("host", F.lit("/en")).alias("key"), F.lit(action).alias("action"), day(f"({when}) / 2").alias("at"))
+        entries = one.unionByName(two) if entries is None else entries.unionByName(one).unionByName(two)
+    domain = hosts.select(F.substring_index("host", ".", -2).alias("key")).distinct().where("length(key) % 2 = 1")
+    entries = entries.unionByName(domain.select(F.lit("adult").alias("list"), F.lit("domain").alias("kind"), "key", F.lit("add").alias("action"), day("30").alias("at")))
+    found = urlfilter.evaluate(pages, entries)
+    return found.select("page_id", "blocked", "n_lists", F.coalesce("list", F.lit("")).alias("list"), F.coalesce(F.date_format("since", "yyyy-MM-dd"), F.lit("")).alias("since"))
+
+
+ORACLES["op6_urlfilter"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS rid, page_id, url,
+    regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '[.]+$', '') AS host,
+    rtrim(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/') AS path,
+    (page_id * 37) % 57600 AS fetched
+  FROM pages
+), h AS (
+  SELECT host, (ascii(host) * 31 + length(host) * 17) % 97 AS h FROM (SELECT DISTINCT host FROM p WHERE host <> '')
+), spam AS (
+  SELECT 'spam' AS list, host AS key, CAST(floor(s) AS BIGINT) AS s, CAST(floor(e) AS BIGINT) AS e FROM (
+    SELECT host, h % 20 AS s, h % 20 + 10 + h % 7 AS e FROM h WHERE h % 3 <> 0
+    UNION ALL SELECT host, h % 20 + 25, 100000 FROM h WHERE h % 3 <> 0)
+), legal AS (
+  SELECT 'legal' AS list, host || '/en' AS key, CAST(floor(s / 2.0) AS BIGINT) AS s, CAST(floor(e / 2.0) AS BIGINT) AS e FROM (
+    SELECT host, h % 20 AS s, h % 20 + 10 + h % 7 AS e FROM h WHERE h % 2 = 0
+    UNION ALL SELECT host, h % 20 + 25, 200000 FROM h WHERE h % 2 = 0)
+), adult AS (
+  SELECT DISTINCT 'adult' AS list, regexp_extract(host, '([^.]*[.])?[^.]*$') AS key, 30 AS s, 100000 AS e FROM h
+), hit AS (
+  SELECT rid, list, s FROM p JOIN spam ON host = key AND fetched >= s * 1440 AND fetched < e * 1440
+  UNION ALL SELECT rid, list, s FROM p JOIN legal ON (host || path = key OR starts_with(host || path, key || '/')) AND fetched >= s * 1440 AND fetched < e * 1440
+  UNION ALL SELECT rid, list, s FROM p JOIN adult ON (host = key OR ends_with(host, '.' || key)) AND length(key) % 2 = 1 AND fetched >= s * 1440 AND fetched < e * 1440
+), v AS (
+  SELECT rid, count(DISTINCT list) AS n, min(list) AS list, min(s) AS s FROM hit GROUP BY rid
+)
+SELECT page_id, n IS NOT NULL AS blocked, CAST(coalesce(n, 0) AS BIGINT) AS n_lists, coalesce(list, '') AS list,
+  coalesce(strftime(DATE '2024-01-01' + CAST(s AS INTEGER), '%Y-%m-%d'), '') AS since
+FROM p LEFT JOIN v USING (rid)"""
