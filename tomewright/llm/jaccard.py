@@ -265,6 +265,24 @@ def _verify(floors: dict[int, int], threshold: float, size: int):
 def join_documents(docs: DataFrame, *, threshold: float = THRESHOLD, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every row: the least doc_id of its class, the number of
     other texts that it is linked with, and the rows of its own text."""
+    return classes(docs, threshold=threshold, size=size, id_col=id_col, text_col=text_col).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def keep_one(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of the least doc_id (and, of those, of one text) of every class, with all its columns."""
+    found = classes(docs, threshold=threshold, id_col=id_col, text_col=text_col)
+    least = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "twin")).alias("of")).select("of.*")
+    wanted = least.unionByName(found.where(F.col("root").isNull()).select("doc_id", "twin").distinct())
+    wanted = wanted.select(F.col("doc_id").alias("__id"), F.col("twin").alias("__twin"))
+    keyed = docs.withColumn("__own", F.xxhash64(text_col))
+    same = keyed[id_col].cast("long").eqNullSafe(wanted["__id"]) & (keyed["__own"] == wanted["__twin"])
+    kept = keyed.join(wanted, same, "left_semi")
+    # a row of the same doc_id and text is the same document
+    return kept.dropDuplicates([id_col, "__own"]).drop("__own")
+
+
+def classes(docs: DataFrame, *, threshold: float = THRESHOLD, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``join_documents`` gives, with ``twin`` (a hash of the text) and ``root`` (the class; null for texts without words)."""
     if size != WORDS:
         raise ValueError("signatures are of five words")
     floors = least_matches(threshold)
@@ -303,10 +321,10 @@ def join_documents(docs: DataFrame, *, threshold: float = THRESHOLD, size: int =
     classed = classed.select("rid", F.coalesce("root", "rid").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"), "copies", F.col("of.doc_id").alias("least"))
     classed = materialize(classed, "classes")
     least = classed.groupBy("root").agg(F.min("least").alias("class_id"))
-    classed = classed.join(least, "root").select("rid", "class_id", "n_links", "copies")
-    rows = signed.select("doc_id", F.when(F.col("n") > 0, F.col("rid")).alias("rid"))
+    classed = classed.join(least, "root").select("rid", "root", "class_id", "n_links", "copies")
+    rows = signed.select("doc_id", "twin", F.when(F.col("n") > 0, F.col("rid")).alias("rid"))
     named = rows.join(classed, "rid", "left")
     return named.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "doc_id", "twin", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
     )
