@@ -227,10 +227,18 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, id_c
                     seen.clear()
                 first = np.searchsorted(cuts, offsets[:-1], side="right")
                 last = np.searchsorted(cuts, offsets[1:], side="right")
-                rows = [{"kind": 0, "key": k, "payload": p} for k, p in fresh]
-                for doc, twin, n, a, b in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), np.diff(offsets).tolist(), first.tolist(), last.tolist(), strict=True):
-                    rows.append({"kind": 1, "doc_id": doc, "twin": twin, "n_tokens": n, "chunks": keys[a:b]})
-                yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                n, docs_n = len(fresh), part.num_rows
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[np.zeros(n, np.int64), first, last[-1:]].astype(np.int32)), pa.array(keys, pa.binary()))
+                arrays = [
+                    pa.array(np.r_[np.zeros(n, np.int32), np.ones(docs_n, np.int32)].astype(np.int32)),
+                    pa.array([k for k, _ in fresh] + [None] * docs_n, pa.binary()),
+                    pa.array([p for _, p in fresh] + [None] * docs_n, pa.binary()),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), part.column(0)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), part.column(2)]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.diff(offsets))]),
+                    lists,
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None

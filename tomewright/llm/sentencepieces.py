@@ -155,6 +155,10 @@ class MergeEncoder:
             ids[ends[k] - counts[k] : ends[k]] = x
         return ids, np.repeat(owner, counts)
 
+    def encode_distinct(self, segments: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, lengths = self.encode_segments(segments.to_pylist())
+        return ids, np.cumsum(lengths) - lengths, lengths
+
     def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and lengths of segments; each stands for a space and the string."""
         if not segments:
@@ -197,7 +201,7 @@ class MergeEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all whole texts, without begin and end ids, and len(texts)+1 offsets."""
         odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | \\z|{SPACE}"), pc.equal(pc.binary_length(texts), 0))
-        flat, offsets = by_distinct(mixed(texts, odd, self._plain, self._careful), self.encode_segments)
+        flat, offsets = by_distinct(mixed(texts, odd, self._plain, self._careful), self.encode_distinct)
         if self.check:
             for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
                 if self.library.encode(texts[k].as_py()) != flat[offsets[k] : offsets[k + 1]].tolist():

@@ -16,7 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded together (a longer text is a slice of its own).
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: A Python worker keeps the ids of so many pieces, over batches and tasks (and a batch's more, once).
+CACHED_WORDS = 200_000
+_CACHE: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]] = {}
+#: Pieces that go to the library as one text.
+JOINED = 64
 #: White space of any dialect of regular expressions that the tokenizers use.
 _RE2_SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 
@@ -48,14 +53,13 @@ def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.n
 
 
 def by_distinct(
-    pieces: pa.ListArray, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+    pieces: pa.ListArray, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]
 ) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, flat, and each text's offsets, when ``pieces`` lists every text's pieces.
 
-    ``encode`` gets the distinct pieces and returns flat ids and lengths."""
+    ``encode`` gets the distinct pieces and returns ids, and their starts and lengths there."""
     coded = pieces.flatten().dictionary_encode()
-    ids, lengths = encode(coded.dictionary.to_pylist())
-    starts = np.cumsum(lengths) - lengths
+    ids, starts, lengths = encode(coded.dictionary)
     picks = coded.indices.to_numpy(zero_copy_only=False)
     flat, ends = gather(ids, starts, lengths, picks)
     cuts = np.concatenate([[0], ends])
@@ -92,10 +96,16 @@ class DistinctWordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_spaces = {"kept": True, "dropped": False}[spaces]
+        self.path, self.keeps_spaces = path, {"kept": True, "dropped": False}[spaces]
+        # a byte-level token has a character for each of its bytes
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
         self._cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def _encode_distinct(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _library(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of pieces, from the library."""
         parts, lengths = [np.empty(0, np.uint32)], np.empty(len(words), np.int64)
         for at in range(0, len(words), 8192):  # the library's result objects are large
             some = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)]
@@ -103,6 +113,37 @@ class DistinctWordTokenizer:
             parts.append(np.fromiter((i for x in some for i in x), np.uint32))
         return np.concatenate(parts), lengths
 
+    def _library_joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces of byte-level vocabularies that start with their only space: many are encoded
+        as one text, and each one's ids are told by the bytes that they stand for."""
+        flat, _ = self._library(["".join(words[at : at + JOINED]) for at in range(0, len(words), JOINED)])
+        done = np.cumsum(self.sizes[flat])
+        cuts = np.searchsorted(done, np.cumsum([len(x.encode()) for x in words]), side="left") + 1
+        return flat, np.diff(np.r_[0, cuts])
+
+    def _encode_distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where in it each of the words' ids start and how many they are."""
+        pool, starts, lengths, known = _CACHE.get(self.path, (np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), words[:0]))
+        at = pc.index_in(words, value_set=known.cast(words.type)).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(at < 0)
+        fresh = words.take(pa.array(missing))
+        if self.keeps_spaces:
+            plain = pc.match_substring_regex(fresh, rf"\A [^{_RE2_SPACE[1:]}+\z").to_numpy(zero_copy_only=False)
+            order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+            some = fresh.take(pa.array(order)).to_pylist()
+            n = int(plain.sum())
+            (a, m), (b, k) = self._library_joined(some[:n]), self._library(some[n:])
+            ids, counts = np.concatenate([a, b]), np.concatenate([m, k])
+        else:
+            order = np.arange(len(missing))
+            ids, counts = self._library(fresh.to_pylist())
+        at[missing[order]] = len(lengths) + np.arange(len(order))
+        pool, all_lengths = np.concatenate([pool, ids]), np.concatenate([lengths, counts])
+        all_starts = np.concatenate([starts, len(pool) - len(ids) + np.cumsum(counts) - counts])
+        if len(lengths) < CACHED_WORDS:
+            _CACHE[self.path] = pool, all_starts, all_lengths, pa.concat_arrays([known.cast(words.type), fresh.take(pa.array(order))])
+        return pool, all_starts[at], all_lengths[at]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and len(texts)+1 offsets."""
         if not self.keeps_spaces:
