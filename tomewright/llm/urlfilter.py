@@ -60,8 +60,8 @@ def _period(at: Column) -> Column:
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id", url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """Of each capture: id, blocked, n_lists, the least list's name that blocks it, and since when
-    it is blocked without a gap in the oldest active entry."""
+    """Of each capture: id, blocked, n_lists, the least name of the lists that block it, and the day from
+    which the oldest of the active entries holds."""
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(time_col).cast("timestamp").alias("at"))
     rows = materialize(rows, "captures")
     span = rows.agg(F.min(_period(F.col("at"))).alias("lo"), F.max(_period(F.col("at"))).alias("hi")).first()
