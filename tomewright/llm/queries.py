@@ -84,7 +84,7 @@ WITH t AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_symbols * 10 > n_words) AND CAST(word_chars AS DOUBLE) / n_words BETWEEN 2.5 AND 15.0
+  NOT base_failed AND NOT (n_symbols * 10 > n_words) AND word_chars * 2 >= n_words * 5 AND word_chars <= n_words * 15
     AND NOT (n_dup_lines * 10 > n_lines * 3) AS kept
 FROM b"""
 

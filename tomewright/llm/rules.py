@@ -115,7 +115,7 @@ def production_rules() -> list[Rule]:
     return [
         Rule("too_few_words", lambda t: n_words(t) < 50),
         Rule("symbols", lambda t: n_symbols(t) * 10 > n_words(t)),
-        Rule("word_length", lambda t: ~(word_chars(t) / n_words(t)).between(2.5, 15.0)),
+        Rule("word_length", lambda t: (word_chars(t) * 2 < n_words(t) * 5) | (word_chars(t) > n_words(t) * 15)),
         Rule("repeated_lines", lambda t: n_dup_lines(t) * 10 > n_lines(t) * 3),
         Rule("repeated_words", lambda t: 100 * n_repeat_words(words(t)) > 50 * n_words(t)),
     ]
@@ -182,7 +182,7 @@ def measure(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "
     known = {
         "too_few_words": few,
         "symbols": F.col("n_symbols") * 10 > F.col("n_words"),
-        "word_length": ~(F.col("word_chars") / F.col("n_words")).between(2.5, 15.0),
+        "word_length": (F.col("word_chars") * 2 < F.col("n_words") * 5) | (F.col("word_chars") > F.col("n_words") * 15),
         "repeated_lines": F.col("n_dup_lines") * 10 > n_lines(text) * 3,
         "repeated_words": repeated,
     }
