@@ -5,18 +5,25 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tomewright.functions import names
 
-META = "struct<title:string,author:string,series:string,series_index:string>"
+
+def strings(*fields: str) -> T.StructType:
+    """A struct of strings. (Type objects, unlike DDL, can be made before there is a session.)"""
+    return T.StructType([T.StructField(f, T.StringType()) for f in fields])
+
+
 _FIELDS = ("title", "author", "series", "series_index")
+META = strings(*_FIELDS)
 
 
 def _structs(found) -> pd.DataFrame:
     return pd.DataFrame([{k: m.get(k, "") for k in _FIELDS} for m in found], columns=list(_FIELDS))
 
 
-def _plain(function, kind: str):
+def _plain(function, kind: T.DataType):
     """A UDF of one string that works on each distinct value of a batch once."""
 
     @F.pandas_udf(kind)
@@ -27,7 +34,7 @@ def _plain(function, kind: str):
     return run
 
 
-def _pair(function, kind: str = "double"):
+def _pair(function, kind: T.DataType = T.DoubleType()):  # noqa: B008
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([function(x, y) for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
@@ -38,12 +45,12 @@ def _pair(function, kind: str = "double"):
 similar = _pair(names.similar)
 ratio = _pair(names.ratio)
 token_sort = _pair(names.token_sort)
-ascii_fold = _plain(names.ascii_fold, "string")
-author_key = _plain(names.author_key, "string")
-clean_author = _plain(names.clean_author, "string")
-strip_release_junk = _plain(names.strip_release_junk, "string")
-disc_child_number = _plain(names.disc_child_number, "int")
-prefix_key = _plain(names.prefix_key, "string")
+ascii_fold = _plain(names.ascii_fold, T.StringType())
+author_key = _plain(names.author_key, T.StringType())
+clean_author = _plain(names.clean_author, T.StringType())
+strip_release_junk = _plain(names.strip_release_junk, T.StringType())
+disc_child_number = _plain(names.disc_child_number, T.IntegerType())
+prefix_key = _plain(names.prefix_key, T.StringType())
 
 
 @F.pandas_udf(META)
@@ -56,12 +63,12 @@ def infer_from_path(s: pd.Series) -> pd.DataFrame:
     return _structs(names.infer_from_path(x) for x in s.fillna(""))
 
 
-@F.pandas_udf("struct<base:string,disc:int>")
+@F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("disc", T.IntegerType())]))
 def split_disc_marker(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([names.split_disc_marker(x) for x in s.fillna("")], columns=["base", "disc"]).astype({"disc": "Int32"})
 
 
-@F.pandas_udf("struct<text:string,narrator:string>")
+@F.pandas_udf(strings("text", "narrator"))
 def clean_text(text: pd.Series, author: pd.Series, series: pd.Series) -> pd.DataFrame:
     rows = zip(text.fillna(""), author.fillna(""), series.fillna(""), strict=True)
     return pd.DataFrame([names.clean_text(*r) for r in rows], columns=["text", "narrator"])
