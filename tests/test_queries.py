@@ -23,3 +23,16 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", ["fuzzy_pairs", "author_cluster"])
 def test_queries_without_sql_have_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
+
+
+def test_entry_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__spark_entry__.__file__).parent
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    shutil.copytree(repo / "tomewright", tmp_path / "tomewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.registry.QUERIES), len(e.oracle_sql()) > 30)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).stdout.split() == ["True", "True"]
