@@ -199,3 +199,53 @@ def test_stream_of_arrivals(spark, tmp_path):
     q = new_files(spark, f"{tmp_path}/in", lambda: known, lambda df, n: got.extend(r.path for r in df.collect()), f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert got == ["/y"]
+
+
+GOOGLE = json.dumps({"items": [{"volumeInfo": {"title": "Emma", "authors": ["Jane Austen"], "publishedDate": "1815-12", "publisher": "Murray", "industryIdentifiers": [{"type": "ISBN_10", "identifier": "x"}, {"type": "ISBN_13", "identifier": "9780306406157"}], "imageLinks": {"thumbnail": "http://g/i?zoom=1&edge=curl"}, "description": "<b>A</b> novel"}}]})
+
+
+def test_enrichment_end_to_end(spark):
+    from tomewright.operators import enrich
+
+    books = frame(spark, [book(id=1, kind="ebook", title="Emma", author="Jane Austin", meta_source="filename", files=["/l/e.epub"], confidence=38)])
+    query = json.dumps({"title": "Emma", "author": "Jane Austin"}, separators=(",", ":"))
+    cache = spark.createDataFrame([], schema.CACHE)
+    extras = spark.createDataFrame([(1, {"language": "en"}, {"publisher": "Own"})], "id long, side struct<narrator:string,year:string,publisher:string,description:string,genres:string,asin:string,isbn:string,language:string>, local struct<narrator:string,year:string,publisher:string,description:string,genres:string,asin:string,isbn:string,language:string>")
+    votes = spark.createDataFrame([(1, [("Emma", "Jane Austin"), ("Emma", ""), ("", "Jane Austin")])], "id long, votes array<struct<title:string,author:string>>")
+    after, kept = enrich.enrich(books, cache, clients.Canned({("google", query): GOOGLE}), extras=extras, votes=votes)
+    r = after.first()
+    assert (r.author, r.year, r.publisher, r.isbn, r.language, r.meta_source) == ("Jane Austen", "1815", "Own", "9780306406157", "en", "Google Books")
+    assert r.match_bonus == 10 + 20 or r.match_bonus == 10 + 12
+    assert r.online_best.source == "Google Books" and r.enriched and r.confidence >= 80
+    assert kept.count() == 2  # what was asked: found or not
+
+
+def test_probe_and_covers(spark):
+    from tomewright.operators import enrich
+
+    parts = spark.createDataFrame([(1, 0, "a", 5, 10.25, 64, "mp3", 0), (1, 1, "b", 0, None, 0, "", 0), (1, 2, "c", 9, 1.0, 0, "", 0)], "id long, ordinal int, name string, size long, length double, bitrate int, codec string, chapters int")
+    r = enrich.probe(parts).first()
+    assert (r.duration, r.bitrate, r.codec, r.health) == (11.2, 64, "mp3", "b is empty (0 bytes)")
+    images = spark.createDataFrame([(1, "audio", "p", "folder", 300, 600, 9999, 0), (1, "audio", "q", "embedded", 1600, 1600, 9999, 1), (1, "audio", "tiny", "x", 900, 900, 100, 2)], "id long, kind string, path string, origin string, w int, h int, bytes long, ordinal int")
+    c = enrich.gather_covers(images).first()
+    assert c.cover == "q" and c.cover_info == "1600x1600 embedded" and len(c.cover_candidates) == 2
+
+
+def test_writers_and_settings(tmp_path):
+    from tomewright import settings
+    from tomewright.operators import writers
+
+    data = writers.epub_with(epub(tmp_path / "b.epub"), {"title": "New", "author": "A B", "series": "S", "series_index": "02", "publisher": "P"})
+    assert metadata.epub_meta(data) == {"title": "New", "author": "A B", "series": "S", "series_index": "2"}
+    assert metadata.epub_extras(data)["publisher"] == "P" and metadata.epub_front(data).startswith("Front")
+    path = str(tmp_path / "s.json")
+    settings.save(path, settings.Settings(threshold=80))
+    assert settings.load(path, {"TOMEWRIGHT_THRESHOLD": "1", "TOMEWRIGHT_NUMBER_FOLDERS": "true"}) == settings.Settings(threshold=80, number_folders=True)
+
+
+def test_model_answers(spark):
+    rows = frame(spark, [book(id=1, title="x", author="", meta_source="filename"), book(id=2, title="Home", author="q", meta_source="filename")])
+    answers = spark.createDataFrame([(1, "T", "A", "S", "1", 92), (2, "T2", "A2", "", "", 86)], "id long, title string, author string, series string, series_index string, confidence int")
+    got = {r.id: r for r in resolve.apply_answers(rows, answers).collect()}
+    assert (got[1].title, got[1].author, got[1].series, got[1].meta_source, got[1].match_bonus) == ("T", "A", "S", "AI", 32)
+    assert got[2].title == "Home" and got[2].ai.pending
