@@ -61,6 +61,9 @@ def cluster(named: DataFrame, rejected: DataFrame | None = None, threshold: int
     rows = named.where(F.trim("name") != "").withColumn("key", udfs.author_key("name"))
     best = rows.groupBy("key").agg(F.max_by("name", preference()).alias("rep"), F.count("*").alias("spellings"))
     blocks = best.withColumn("block", C.signature(udfs.author_key("rep")))
+    # blocks that are too large are left out by their count, before their rows could meet in a task
+    sized = blocks.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n").between(2, largest)).select("block")
+    blocks = blocks.join(sized, "block", "left_semi")
     if rejected is None:
         pairs = F.array().cast("array<struct<a:string,b:string>>")
         blocks = blocks.withColumn("rejected", pairs)
