@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomewright.llm import idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
-from tomewright.session import fresh_path
+from tomewright.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,7 +166,7 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as of its fetch time against lists of hosts, domains and path prefixes."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(FETCHED).alias("fetched"))
     hosts = pages.select(urlfilter.host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
-    hosts = hosts.withColumn("h", (F.ascii("host") * 31 + F.length("host") * 17) % 97)
+    hosts = materialize(hosts.withColumn("h", (F.ascii("host") * 31 + F.length("host") * 17) % 97), "hosts")
     day = lambda e: F.expr(f"timestamp '2024-01-01 00:00:00' + make_dt_interval(CAST({e} AS INT), 0, 0, 0)")
     changes = [("add", "h % 20"), ("remove", "h % 20 + 10 + h % 7"), ("add", "h % 20 + 25")]
     entries = None
