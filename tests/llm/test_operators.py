@@ -377,3 +377,20 @@ def test_op10_without_training(spark):
     some = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     r = ppm.score_documents(wide(spark, [(some, "ab")])).first()
     assert r.train_tokens == 0 and r.n_known == 0 and math.isclose(r.score, -3 * math.log10(256))
+
+
+def test_slices_stand_alone():
+    """Slices of a batch, nulls included, give what their texts give by themselves."""
+    texts = ["Ab c", None, "", "Zz\nY " * 9, "é A"] * 7
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    seen = []
+    for part in textbatches.slices(batch, limit=50):
+        key, offsets = ppm.grams(part.column(1), 3)
+        hashes, picks, cuts = ppm.words(part.column(1))
+        for k, t in enumerate(part.column(1).to_pylist()):
+            alone, _ = ppm.grams(pa.array([t], pa.large_string()), 3)
+            h, p, _ = ppm.words(pa.array([t], pa.large_string()))
+            assert key[offsets[k] : offsets[k + 1]].tolist() == alone.tolist()
+            assert hashes[picks[cuts[k] : cuts[k + 1]]].tolist() == h[p].tolist()
+            seen.append(t)
+    assert seen == [t or "" for t in texts]

@@ -29,16 +29,16 @@ _RE2_SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\p{Z}]"
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text, or one row. Null texts become empty."""
     at = batch.schema.get_field_index(column)
-    text = pc.fill_null(batch.column(at).cast(pa.large_string()), "")
-    batch = pa.RecordBatch.from_arrays(
-        [text if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names
-    )
-    ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes.astype(np.int64)), 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
+        part = batch.slice(start, stop - start)
+        # a copy of the part alone, whose offsets begin at 0: kernels that keep offsets need that
+        text = part.column(at).take(pa.array(np.arange(part.num_rows)))
+        text = pc.fill_null(text.cast(pa.large_string()), "")
+        yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(part.columns)], names=batch.schema.names)
         start = stop
 
 
