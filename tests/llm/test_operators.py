@@ -355,6 +355,34 @@ def test_op10_equals_brute_force(spark, order, hot):
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, brute_ppm(train, texts[r.doc_id] or "", order), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def odd_texts():
+    rng = random.Random(4)
+    return [None, "", "zzz", *["".join(rng.choice("abAB é\n") for _ in range(rng.randint(0, 60))) for _ in range(40)]]
+
+
+@pytest.mark.parametrize(("order", "crowded"), [(1, 5), (5, 1000), (5, 8)])
+def test_op10_keeps_all_nodes(spark, order, crowded):
+    """Few frequent grams, many buckets and crowded endings give what the whole trie gives."""
+    texts = odd_texts()
+    df = wide(spark, [*enumerate(texts)]).select("doc_id", "text")
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
+    train = [t or "" for t, h in zip(texts, held, strict=True) if not h]
+    counts = ppm.count(df, ~ppm.held_out(F.col("doc_id")), order=order).where(F.col("kind") == ppm.GRAM).select("key", "n", "every")
+    got = {r.key: r.value for r in ppm.code_lengths(counts, order, bucket=20, crowded=crowded).collect()}
+    for t in texts:
+        keys, _ = ppm.grams(pa.array([t or ""], pa.large_string()), order)
+        assert math.isclose(sum(got[k] for k in keys.view(np.int64).tolist()), brute_ppm(train, t or "", order), rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_op10_joins_what_is_not_frequent(spark):
+    texts = odd_texts()
+    train = [t or "" for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = ppm.score_documents(wide(spark, [*enumerate(texts)]), hot_grams=3).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r.score, brute_ppm(train, texts[r.doc_id] or "", ppm.ORDER), rel_tol=1e-9, abs_tol=1e-9)
+
+
 def test_op10_pruned_trie_is_a_distribution():
     texts = pa.array(["abracadabra", "abraham", "cadabra"], pa.large_string())
     key, _ = ppm.grams(texts, 3)

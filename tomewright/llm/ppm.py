@@ -8,10 +8,11 @@ tried with all symbols of the longer one excluded; below order 0 all bytes left
 Sets of symbols are nested along a context's suffixes, so what an escape excludes depends on
 the context escaped from alone, and the code length of any byte is a sum of stored numbers.
 
-The trie is gathered from the whole training corpus as counts of (ORDER+1)-grams, added up
-within tasks before they are dealt. It is broadcast with at most MAX_NODES nodes: if there
-are more, nodes of three bytes and longer need a higher count (the least that suffices).
-Words' counts aren't bounded: the HOT_WORDS most frequent are broadcast, the others joined.
+(ORDER+1)-grams of all texts are counted, added up within tasks before they are dealt. All nodes
+of the trie are kept, however many: grams are dealt by the last bytes of their contexts, so that
+a bucket has all nodes that its grams' code lengths need, but for the shortest ones, which are
+shared; so each gram that occurs gets its code length once, into a table. Neither this table nor
+words' counts are bounded: the HOT_GRAMS and HOT_WORDS most frequent are broadcast, the others joined.
 Words are named by 64-bit hashes.
 
 Defined results: null text counts as empty (its end is still coded); rows with null doc_id are
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 from tomewright.llm.textbatches import slices
 from tomewright.session import materialize
 
-ORDER, MAX_NODES, HOT_WORDS = 5, 1_000_000, 300_000
+ORDER, HOT_GRAMS, HOT_WORDS = 5, 1_000_000, 300_000
 END = 0xFF
 #: Bytes of text that a task takes at once, and symbols that it scores at once.
 SLICE, AT_ONCE = 2 << 20, 1 << 18
+#: Grams of a bucket on average, and of the contexts with an ending before they are dealt by longer endings.
+BUCKET, CROWDED = 1 << 18, 1 << 17
 
 
 def grams(texts: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -75,22 +78,31 @@ WORD, GRAM = 0, 1
 
 
 def count(docs: DataFrame, train: Column, text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(kind, key, n) of all training texts: their words' and grams' counts."""
+    """(kind, key, n, every) of all texts' words and grams: their counts in training texts, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
-                texts = part.column(0)
-                hashes, picks, _ = words(texts)
-                found = np.bincount(picks, minlength=len(hashes))
-                keys, n = np.unique(grams(texts, order)[0], return_counts=True)
+                texts, learnt = part.column(0), np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                hashes, picks, cuts = words(texts)
+                key, offsets = grams(texts, order)
+                # a gram once for training texts and once for others, next to each other
+                both, times = np.unique((key << np.uint64(1)) | np.repeat(learnt, np.diff(offsets)), return_counts=True)
+                first = np.flatnonzero(np.r_[True, (both[1:] >> np.uint64(1)) != (both[:-1] >> np.uint64(1))][: len(both)])
+                keys = both[first] >> np.uint64(1)
+                n, every = np.add.reduceat(times * (both & np.uint64(1)).astype(np.int64), first), np.add.reduceat(times, first)
+                found = np.bincount(picks[np.repeat(learnt, np.diff(cuts))], minlength=len(hashes))
                 seen = found > 0
-                key = np.concatenate([hashes[seen].view(np.int64), keys.view(np.int64)])
-                kind = np.concatenate([np.full(seen.sum(), WORD, np.int32), np.full(len(keys), GRAM, np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(np.concatenate([found[seen], n]).astype(np.int64))], names=["kind", "key", "n"])
+                columns = [
+                    np.concatenate([np.full(seen.sum(), WORD, np.int32), np.full(len(keys), GRAM, np.int32)]),
+                    np.concatenate([hashes[seen].view(np.int64), keys.view(np.int64)]),
+                    np.concatenate([found[seen], n]).astype(np.int64),
+                    np.concatenate([found[seen], every]).astype(np.int64),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "every"])
 
-    rows = docs.where(train).select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, key long, n long")
-    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(text_col).alias("text"), train.alias("train")).mapInArrow(run, "kind int, key long, n long, every long")
+    return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 class Table:
@@ -213,36 +225,77 @@ class Trie:
         return out
 
 
-def gather_trie(counts: DataFrame, order: int = ORDER, max_nodes: int = MAX_NODES) -> Trie:
-    """The trie of the grams' counts, of at most ``max_nodes`` nodes and all of one or two bytes."""
-    cuts = [F.struct(F.lit(k).alias("length"), F.lit((1 << 8 * k) - 1).cast("long").alias("mask")) for k in range(1, order + 2)]
-    whole = counts.where(F.col("kind") == GRAM).select("key", "n", F.explode(F.array(*cuts)).alias("cut"))
-    key = F.col("key").bitwiseAND(F.col("cut.mask")).alias("key")
-    nodes = whole.groupBy(key, F.col("cut.length").alias("length")).agg(F.sum("n").alias("n"))
-    nodes = materialize(nodes, "trie")
-    always = F.col("length") <= 2
-    found = frequent(nodes, max_nodes, always)
-    return Trie.of(found["key"], found["length"], found["n"], order)
+def _summed(key: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of ``length`` bytes that strings with counts end in: keys, lengths and counts."""
+    keys, at = np.unique(key & ((1 << 8 * length) - 1), return_inverse=True)
+    return keys, np.full(len(keys), length, np.int64), np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+
+
+def _nodes(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    empty = np.empty(0, np.int64)
+    return tuple(np.concatenate([empty, *(p[k] for p in parts)]) for k in range(3))  # type: ignore[return-value]
+
+
+def code_lengths(counts: DataFrame, order: int = ORDER, bucket: int = BUCKET, crowded: int = CROWDED) -> DataFrame:
+    """(key, every, value) of each gram of (key, n, every): ``value`` is the log10 probability of its last
+    byte after those before, by the whole trie of all grams with their ``n``.
+
+    A gram's code length needs nodes that end in its last bytes, and their contexts' other symbols. So it
+    is dealt by its context's last two bytes, or the least longer ending that ``crowded`` grams at most share;
+    nodes whose contexts are shorter than that are shared by all (2**16 of two bytes at most, and 256 for each
+    crowded ending, of which there are few)."""
+    short = min(2, order)
+    ending = lambda k: F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long"))
+    node = lambda k: F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("key")
+    learnt, shared = counts.where(F.col("n") > 0), []
+
+    def collect(rows: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
+        found = rows.groupBy(node(length)).agg(F.sum("n").alias("n")).toArrow()
+        return tuple(found[c].to_numpy().astype(np.int64) for c in ("key", "n"))
+
+    if short:
+        key, n = collect(learnt, short)
+        shared += [_summed(key, n, k) for k in range(1, short + 1)]
+    depth, full = F.lit(short), F.lit(True)
+    for k in range(short, order):
+        sizes = counts.where(full).groupBy(ending(k).alias("ending")).agg(F.count("*").alias("c")).where(F.col("c") > crowded)
+        many = [r.ending for r in sizes.collect()]
+        if not many:
+            break
+        full = full & ending(k).isin(many)
+        shared.append(_summed(*collect(learnt.where(full), k + 1), k + 1))
+        depth = F.when(full, F.lit(k + 1)).otherwise(depth)
+    known = counts.sparkSession.sparkContext.broadcast(_nodes(shared))
+    buckets = max(1, -(-counts.count() // bucket))
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, n, depth = (rows[c].to_numpy().astype(np.int64) for c in ("key", "n", "depth"))
+        own = [_summed(key[use], n[use], k) for k in range(1, order + 2) if (use := (depth < k) & (n > 0)).any()]
+        trie = Trie.of(*_nodes([known.value, *own]), order)
+        return pa.table({"key": rows["key"], "every": rows["every"], "value": trie.log10(key.view(np.uint64))})
+
+    place = F.coalesce(*[F.when(F.col("depth") == k, F.xxhash64(ending(k), F.lit(k))) for k in range(short, order + 1)])
+    dealt = counts.select("key", "n", "every", depth.cast("int").alias("depth")).withColumn("bucket", F.pmod(place, F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(run, "key long, every long, value double")
 
 
 #: Least counts that are tried, in order, until few enough rows have them.
 FLOORS = [1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, *(1 << k for k in range(7, 60))]
 
 
-def frequent(rows: DataFrame, most: int, always: Column | None = None) -> dict[str, np.ndarray]:
-    """The columns of the rows of ``n`` at or above the least floor that leaves ``most`` rows, and of those of ``always``."""
-    kept = lambda f: (F.col("n") >= f) | always if always is not None else F.col("n") >= f
-    sizes = rows.agg(*[F.count_if(kept(f)).alias(str(f)) for f in FLOORS]).first()
+def frequent(rows: DataFrame, most: int, n: str = "n") -> dict[str, np.ndarray]:
+    """The columns of the rows of ``n`` at or above the least floor that leaves ``most`` rows."""
+    sizes = rows.agg(*[F.count_if(F.col(n) >= f).alias(str(f)) for f in FLOORS]).first()
     floor = next((f for f, size in zip(FLOORS, sizes, strict=True) if size <= most), FLOORS[-1])
-    found = rows.where(kept(floor)).toArrow()
-    return {c: found[c].to_numpy().astype(np.int64) for c in found.column_names}
+    found = rows.where(F.col(n) >= floor).toArrow()
+    return {c: found[c].to_numpy() for c in found.column_names}
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_grams: int = HOT_GRAMS, hot_words: int = HOT_WORDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -255,17 +308,29 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     under = float(np.log10(tokens + 0.5 * (distinct + 1)))
     hot = frequent(word_counts, hot_words)
     order_ = np.argsort(hot["key"])
-    trie = gather_trie(counts, order, max_nodes)
-    shared = spark.sparkContext.broadcast((trie, hot["key"][order_], hot["n"][order_]))
-    fields = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>"
+    lengths = materialize(code_lengths(counts.where(F.col("kind") == GRAM).select("key", "n", "every"), order), "code-lengths")
+    often = frequent(lengths, hot_grams, "every")
+    shared = spark.sparkContext.broadcast((Table(often["key"].view(np.uint64)), often["value"], hot["key"][order_], hot["n"][order_]))
+    fields = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>, times array<int>, grams array<long>, gram_times array<int>"
+
+    def lists(doc: np.ndarray, at: np.ndarray, names: np.ndarray, n: int) -> list[pa.ListArray]:
+        """Of each of n texts, its distinct names (by index) and how often it has them."""
+        size = max(1, len(names))
+        pairs, times = np.unique(doc * size + at, return_counts=True)
+        cuts = pa.array(np.searchsorted(pairs, np.arange(n + 1) * size).astype(np.int32))
+        return [pa.ListArray.from_arrays(cuts, pa.array(names[pairs % size])), pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, hot_keys, hot_counts = shared.value
+        table, values, hot_keys, hot_counts = shared.value
         for batch in batches:
             for part in slices(batch, limit=SLICE):
                 texts, n = part.column(part.schema.get_field_index("text")), part.num_rows
                 key, offsets = grams(texts, order)
-                score = np.add.reduceat(trie.log10(key), offsets[:-1])
+                place = np.concatenate([table.find(key[a : a + AT_ONCE]) for a in range(0, len(key), AT_ONCE)])
+                far = np.flatnonzero(place < 0)
+                score = np.add.reduceat(np.where(place < 0, 0.0, values[place]) if len(values) else np.zeros(len(key)), offsets[:-1])
+                others, far_at = np.unique(key[far], return_inverse=True)
+                gram_lists = lists(np.searchsorted(offsets, far, side="right") - 1, far_at, others.view(np.int64), n)
                 hashes, picks, cuts = words(texts)
                 h = hashes.view(np.int64)
                 at = np.minimum(np.searchsorted(hot_keys, h), max(0, len(hot_keys) - 1))
@@ -276,13 +341,9 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 known = add(is_hot.astype(np.int64)) + (ends > 0)
                 doc = np.repeat(np.arange(n), np.diff(cuts))
                 rare = ~is_hot[picks]
-                pairs, times = np.unique(doc[rare] * max(1, len(h)) + picks[rare], return_counts=True)
-                lists = np.searchsorted(pairs, np.arange(n + 1) * max(1, len(h))).astype(np.int32)
-                rare_lists = pa.ListArray.from_arrays(pa.array(lists), pa.array(h[pairs % max(1, len(h))]))
-                time_lists = pa.ListArray.from_arrays(pa.array(lists), pa.array(times.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(cuts) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rare_lists, time_lists],
-                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                    [part.column(0), part.column(1), pa.array(np.diff(cuts) + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), *lists(doc[rare], picks[rare], h, n), *gram_lists],
+                    names=["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "rare", "times", "grams", "gram_times"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -292,9 +353,12 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     cold = used.join(word_counts, "key", "left")
     worth = F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(under))
     sums_ = cold.groupBy("row").agg(F.sum(worth).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"))
-    whole = scored.drop("rare", "times").join(sums_, "row", "left")
+    # and rare grams, all of which have a code length
+    apart = scored.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("key"), F.col("x.gram_times").alias("times"))
+    coded = apart.join(lengths.select("key", "value"), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("longer"))
+    whole = scored.drop("rare", "times", "grams", "gram_times").join(sums_, "row", "left").join(coded, "row", "left")
     return whole.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("longer", F.lit(0.0))).alias("score"),
     )
