@@ -183,6 +183,23 @@ def test_op4_recall_and_measure(spark):
     assert neighbours.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def unit_vectors(n, dim=64):
+    points = np.random.default_rng(8).standard_normal((n, dim))
+    return (points / np.linalg.norm(points, axis=1)[:, None]).astype(np.float32).astype(np.float64)
+
+
+def test_op4_recall_of_unstructured_vectors_in_many_lists(spark):
+    points = unit_vectors(4000)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, F.col("vec_id") % 100 == 0, list_rows=16).toPandas()
+    hits = 0
+    for q, mine in got.groupby("query_id"):
+        d = np.sqrt(((points - points[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d, kind="stable")[:10]) & set(mine.vec_id))
+    assert got.query_id.nunique() == 40 and hits / 400 >= 0.98
+
+
 def test_op5_round_trip(spark, tmp_path):
     texts = [*ODD, None, "same passage here " * 200, "x" + "same passage here " * 200, "twice"]
     docs = wide(spark, [*enumerate(texts), (len(texts) - 1, "twice")])

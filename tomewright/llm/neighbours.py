@@ -5,10 +5,13 @@ hashes of vec_id) is split by balanced k-means, level by level, into clusters of
 centroids and a graph of near centroids are all that is broadcast (MOST_LISTS centroids at most).
 Every vector of the table is put into the posting list of its nearest centroid, and boundary
 vectors into those of other centroids nearly as near, unless a list already chosen is nearer to
-that centroid than the vector is. Centroids are searched by a beam over the graph. A query reads
-the lists whose distance is within a ratio of its nearest list's, and compares the vectors
-themselves in double precision. Lists above LIST_LIMIT rows are dealt into blocks, so equal or
-crowded vectors don't gather in one task. A query that finds too few reads all lists.
+that centroid than the vector is.
+Centroids are searched by a beam over the graph. How many lists a query reads is found at the table's
+own size: PROBES vectors are compared with all others, and the least number of nearest lists is
+taken that holds TARGET of their true neighbours (all lists, if it must be). If that is a large part of the lists,
+a beam saves nothing and all centroids are compared. Vectors are compared in double
+precision. Lists above LIST_LIMIT rows are dealt into blocks, so equal or crowded vectors don't
+gather in one task. A query that finds too few reads all lists.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part; a vec_id counts once (repeated rows and other vectors of a vec_id
@@ -31,8 +34,10 @@ from tomewright.session import materialize
 LIST_ROWS, MOST_LISTS, LIST_LIMIT = 256, 8192, 2048
 SAMPLE_PER_LIST, SAMPLE_MOST = 64, 1 << 17
 NEIGHBOURS, BEAM, REPLICAS = 16, 48, 4
-#: A vector is replicated to lists, and a query reads lists, whose centroid is within these ratios of the nearest.
-REPLICA_RATIO, SEARCH_RATIO = 1.15, 1.35
+#: A vector is replicated to lists whose centroid is within this ratio of the nearest.
+REPLICA_RATIO = 1.15
+#: Vectors compared with all others to find how many lists to read, and the share of their neighbours to be found.
+PROBES, TARGET = 256, 0.995
 FANOUT, ROUNDS = 8, 8
 
 
@@ -94,6 +99,8 @@ class ListIndex:
     def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids that the graph leads to, nearest first, and their distances."""
         n, beam = len(vectors), min(beam, len(self.centroids))
+        if 8 * beam > len(self.centroids) or beam > 4 * BEAM:
+            return self.compared(vectors, beam)
         own = (vectors * vectors).sum(1)
         squares = (self.centroids * self.centroids).sum(1)
 
@@ -122,6 +129,15 @@ class ListIndex:
         order = np.argsort(dist, axis=1, kind="stable")
         return np.take_along_axis(ids, order, 1), np.sqrt(np.take_along_axis(dist, order, 1))
 
+    def compared(self, vectors: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest of all centroids, nearest first, and their distances."""
+        ids, dist = [], []
+        for at in range(0, len(vectors), 512):
+            d = distances(vectors[at : at + 512], self.centroids)
+            ids.append(np.argsort(d, axis=1, kind="stable")[:, :most].astype(np.int32))
+            dist.append(np.take_along_axis(d, ids[-1], 1))
+        return np.concatenate(ids), np.concatenate(dist)
+
     def postings(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) pairs: each vector's nearest list, and the others that it is replicated to."""
         ids, dist = self.search(vectors, min(16, len(self.centroids)))
@@ -136,10 +152,10 @@ class ListIndex:
         row, col = np.nonzero(chosen)
         return row, ids[row, col]
 
-    def lists(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs that queries read."""
-        ids, dist = self.search(vectors)
-        row, col = np.nonzero(np.isfinite(dist) & (dist <= SEARCH_RATIO * dist[:, :1] + 1e-6))
+    def lists(self, vectors: np.ndarray, reads: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs that queries read: their ``reads`` nearest lists."""
+        ids, dist = self.search(vectors, reads)
+        row, col = np.nonzero(np.isfinite(dist))
         return row, ids[row, col]
 
 
@@ -166,7 +182,7 @@ def build(vectors: DataFrame, list_rows: int = LIST_ROWS) -> ListIndex | None:
     return ListIndex.of(balanced_centroids(np.stack(sample.v.to_numpy()).astype(np.float32), lists))
 
 
-def _listed(rows: DataFrame, index: ListIndex, how: str) -> DataFrame:
+def _listed(rows: DataFrame, index: ListIndex, how: str, *more: int) -> DataFrame:
     """(list, vec_id, v): each vector once for each list that it is in, or reads."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
@@ -176,36 +192,82 @@ def _listed(rows: DataFrame, index: ListIndex, how: str) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 flat = part.column(1).flatten().to_numpy()
-                row, lists = getattr(own, how)(flat.reshape(part.num_rows, -1).astype(np.float32))
+                row, lists = getattr(own, how)(flat.reshape(part.num_rows, -1).astype(np.float32), *more)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=["list", "vec_id", "v"])
 
     return rows.select("vec_id", "v").mapInArrow(run, "list int, vec_id long, v array<double>")
 
 
+def nearest(queries: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance) of the k nearest of ``points`` of each query but itself; the smaller id within ties."""
+    out, squares = [], (points * points).sum(1)
+    step = max(1, (1 << 21) // max(1, len(points)))
+    for at in range(0, len(queries), step):
+        q, own = queries[at : at + step], (queries[at : at + step] ** 2).sum(1)
+        # products tell which rows can be among the k nearest; their distances are then taken one by one
+        d = own[:, None] + squares[None, :] - 2 * (q @ points.T)
+        d[names[at : at + step, None] == ids[None, :]] = np.inf
+        last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        slack = 1e-9 * (own + squares.max())
+        row, col = np.nonzero((d <= (last + slack)[:, None]) & np.isfinite(d))
+        exact = np.sqrt(((points[col] - q[row]) ** 2).sum(1))
+        order = np.lexsort((ids[col], exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        out.append((row[nth < k] + at, col[nth < k], exact[nth < k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
 def _nearest(k: int):
     def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        rows = rows.sort_values("vec_id")
-        ids, points = rows.vec_id.to_numpy(), np.stack(rows.v.to_numpy())
-        out = []
-        for query, v in zip(queries.vec_id.to_numpy(), queries.v.to_numpy(), strict=True):
-            d = np.sqrt(((points - v) ** 2).sum(1))
-            d[ids == query] = np.inf
-            best = np.argsort(d, kind="stable")[:k]  # by vec_id within ties
-            best = best[np.isfinite(d[best])]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": d[best]}))
-        return pd.concat(out)
+        names, ids = queries.vec_id.to_numpy(), rows.vec_id.to_numpy()
+        row, col, score = nearest(np.stack(queries.v.to_numpy()), names, np.stack(rows.v.to_numpy()), ids, k)
+        return pd.DataFrame({"query_id": names[row], "vec_id": ids[col], "score": score})
 
     return run
 
 
-def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def reads_needed(vectors: DataFrame, queries: DataFrame, index: ListIndex, k: int, probes: int = PROBES, target: float = TARGET) -> int:
+    """The least number of lists that hold ``target`` of the k true neighbours of a sample of the queries."""
+    spark = vectors.sparkSession
+    some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toPandas()
+    if not len(some):
+        return 1
+    names, points = some.vec_id.to_numpy(), np.stack(some.v.to_numpy())
+    shared = spark.sparkContext.broadcast((index, names, points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, names, points = shared.value
+        rank = np.empty((len(names), len(own.centroids)), np.int32)
+        order = own.compared(points.astype(np.float32), len(own.centroids))[0]
+        np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int32)[None, :], 1)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
+                row, col, score = nearest(points, names, v, ids, k)
+                # the first list in a query's order that holds a copy of the neighbour
+                which, lists = own.postings(v.astype(np.float32))
+                starts = np.searchsorted(which, np.arange(len(ids) + 1))
+                n = np.diff(starts)[col]
+                flat = np.repeat(starts[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                first = np.minimum.reduceat(rank[np.repeat(row, n), lists[flat]], np.cumsum(n) - n) if len(n) else np.empty(0, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[col]), pa.array(score), pa.array(first)], names=["query_id", "vec_id", "score", "at"])
+
+    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, at int")
+    true = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("nth") <= k)
+    ranks = np.sort(np.array([r["at"] for r in true.select("at").collect()], np.int64))
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else 1
+
+
+def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found of each row that ``queries`` (a condition on
     ``vec_id``) picks, by Euclidean distance."""
     vectors = materialize(usable(rows, id_col, vector_col), "vectors")
-    index = build(vectors)
+    index = build(vectors, list_rows)
     if index is None:
         return vectors.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     posted = materialize(_listed(vectors, index, "postings"), "postings")
@@ -214,7 +276,8 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_
     sizes = F.broadcast(materialize(sizes, "lists"))
     posted = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = vectors.where(queries)
-    found = materialize(_compare(_listed(asked, index, "lists"), posted, sizes, k), "found")
+    reads = max(min(BEAM, len(index.centroids)), reads_needed(vectors, asked, index, k))
+    found = materialize(_compare(_listed(asked, index, "lists", reads), posted, sizes, k), "found")
     n = vectors.count()
     enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("c")).where(F.col("c") >= min(k, n - 1))
     short = asked.join(enough, asked.vec_id == enough.query_id, "left_anti")
