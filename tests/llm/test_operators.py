@@ -200,6 +200,13 @@ def test_op4_recall_of_unstructured_vectors_in_many_lists(spark):
     assert got.query_id.nunique() == 40 and hits / 400 >= 0.98
 
 
+def test_op4_replicates_unstructured_vectors():
+    points = unit_vectors(4000).astype(np.float32)
+    index = neighbours.ListIndex.of(neighbours.balanced_centroids(points, 100))
+    row, lists = index.postings(points)
+    assert len(row) / len(points) > 1.5 and len({*zip(row.tolist(), lists.tolist(), strict=True)}) == len(row)
+
+
 def test_op5_round_trip(spark, tmp_path):
     texts = [*ODD, None, "same passage here " * 200, "x" + "same passage here " * 200, "twice"]
     docs = wide(spark, [*enumerate(texts), (len(texts) - 1, "twice")])

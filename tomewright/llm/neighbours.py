@@ -5,7 +5,7 @@ hashes of vec_id) is split by balanced k-means, level by level, into clusters of
 centroids and a graph of near centroids are all that is broadcast (MOST_LISTS centroids at most).
 Every vector of the table is put into the posting list of its nearest centroid, and boundary
 vectors into those of other centroids nearly as near, unless a list already chosen is nearer to
-that centroid than the vector is.
+that centroid than both the vector and the chosen list's own neighbours in the graph are.
 Centroids are searched by a beam over the graph. How many lists a query reads is found at the table's
 own size: PROBES vectors are compared with all others, and the least number of nearest lists is
 taken that holds TARGET of their true neighbours (all lists, if it must be). If that is a large part of the lists,
@@ -84,17 +84,20 @@ class ListIndex:
     centroids: np.ndarray
     graph: np.ndarray  #: neighbours of each centroid: the nearest, and some far ones
     entries: np.ndarray  #: where a search begins
+    spacing: np.ndarray  #: mean distance of each centroid to its near ones in the graph
 
     @classmethod
     def of(cls, centroids: np.ndarray, seed: int = 3) -> ListIndex:
         n, rng = len(centroids), np.random.default_rng(seed)
         near = min(NEIGHBOURS, n)
-        graph = np.empty((n, near + 4), np.int32)
+        graph, spacing = np.empty((n, near + 4), np.int32), np.zeros(n, np.float32)
         for at in range(0, n, 1024):
             d = distances(centroids[at : at + 1024], centroids)
             graph[at : at + 1024, :near] = np.argpartition(d, near - 1, axis=1)[:, :near]
+            # its distance to itself is among them
+            spacing[at : at + 1024] = np.take_along_axis(d, graph[at : at + 1024, :near], 1).sum(1) / max(1, near - 1)
         graph[:, near:] = rng.integers(0, n, (n, 4))
-        return cls(centroids, graph, rng.choice(n, min(n, 16), replace=False).astype(np.int32))
+        return cls(centroids, graph, rng.choice(n, min(n, 16), replace=False).astype(np.int32), spacing)
 
     def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids that the graph leads to, nearest first, and their distances."""
@@ -147,7 +150,8 @@ class ListIndex:
             ok = np.isfinite(dist[:, j]) & (dist[:, j] <= REPLICA_RATIO * dist[:, 0]) & (chosen.sum(1) < REPLICAS)
             for i in range(j):
                 apart = np.sqrt(((self.centroids[ids[:, i]] - self.centroids[ids[:, j]]) ** 2).sum(1))
-                ok &= ~(chosen[:, i] & (apart < dist[:, j]))
+                # centroids of unstructured vectors are all nearer to each other than to any vector
+                ok &= ~(chosen[:, i] & (apart < np.minimum(dist[:, j], self.spacing[ids[:, i]])))
             chosen[:, j] = ok
         row, col = np.nonzero(chosen)
         return row, ids[row, col]
