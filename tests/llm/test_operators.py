@@ -446,3 +446,16 @@ def test_slices_stand_alone():
             assert hashes[picks[cuts[k] : cuts[k + 1]]].tolist() == h[p].tolist()
             seen.append(t)
     assert seen == [t or "" for t in texts]
+
+
+def test_op7_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 4000)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels, prior: seen.append((texts, labels)))
+    first = [r.id for r in spark.range(400).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
+    # in hash order: labels without documents, then long texts, then short ones; class 1 has long ones only
+    docs = [(i, "long " * 1000) for i in first[20:40]] + [(i, "short one") for i in first[40:80]] + [(i, "much " * 1000) for i in first[80:90]]
+    labels = [(i, 0) for i in first[:80]] + [(i, 1) for i in first[80:90]]
+    quality.train(wide(spark, docs).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int"), rows=30)
+    texts, classes = seen[0]
+    assert classes.count(0) == 30 and classes.count(1) == 1 and set(texts) - {"short one"} == {("much " * 1000)[:500]}

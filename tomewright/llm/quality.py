@@ -23,10 +23,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.llm.textbatches import slices
+from tomewright.session import materialize
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 16, 4, 12.0
 NGRAMS = (3, 4, 5)
@@ -162,21 +163,38 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: int = EPOC
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = CLASS_ROWS) -> Model:
-    """Fit on at most ``rows`` rows of each class, those of the smallest hashes of doc_id."""
+    """Fit on at most ``rows`` labelled documents of each class, those of the smallest hashes of doc_id, and on half
+    of SAMPLE_BYTES of each class: a text that doesn't fit into what is left of that is passed over."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
-    picked = None
-    for y in (0, 1):
-        one = usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows)
-        picked = one if picked is None else picked.unionByName(one)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # at most 2 * rows picked rows, so they may be broadcast; their texts are bounded before they are collected
-    sample = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"])
-    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = sample.withColumn("_bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("_bytes") <= SAMPLE_BYTES)
-    found = sized.select("text", "y").toPandas()
+    sizes = texts.groupBy("id").agg(F.min(F.octet_length("text")).cast("long").alias("bytes"))
+    labelled = usable.groupBy("id").agg(F.min("y").alias("y")).join(sizes, "id").withColumn("h", F.xxhash64("id"))
+    labelled, picked = materialize(labelled, "labelled"), []
+    for y in (0, 1):
+        left, wanted, after = SAMPLE_BYTES // 2, rows, F.lit(True)
+        one = labelled.where(F.col("y") == y)
+        while wanted:
+            # in a round all rows fit alone; what is passed over can't fit later, as less is left then
+            some = one.where(after & (F.col("bytes") <= left)).orderBy("h", "id").limit(wanted).collect()
+            for r in some:
+                if r.bytes <= left:
+                    picked.append((r.id, y, r.bytes))
+                    left, wanted = left - r.bytes, wanted - 1
+            if not some:
+                break
+            after = (F.col("h") > some[-1].h) | ((F.col("h") == some[-1].h) & (F.col("id") > some[-1].id))
+        if wanted == rows:  # all are too long: the beginning of one
+            picked += [(r.id, y, r.bytes) for r in one.orderBy("h", "id").limit(1).collect()]
+    # at most 2 * rows picked rows, so they may be broadcast; their texts are bounded
+    id_type = labelled.schema["id"].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(picked, f"id {id_type}, y int, bytes long")
+    sample = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("bytes")).dropDuplicates(["id"])
+    # a character has four bytes at most
+    fitting = F.when(F.col("bytes") <= SAMPLE_BYTES // 2, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 8))
+    found = sample.orderBy(F.xxhash64("id"), "id").select(fitting.alias("text"), "y").toPandas()
     return fit(found.text.tolist(), found.y.tolist(), counts.get(1, 0) / sum(counts.values()))
 
 
