@@ -459,3 +459,12 @@ def test_op7_passes_over_texts_that_do_not_fit(spark, monkeypatch):
     quality.train(wide(spark, docs).select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int"), rows=30)
     texts, classes = seen[0]
     assert classes.count(0) == 30 and classes.count(1) == 1 and set(texts) - {"short one"} == {("much " * 1000)[:500]}
+
+
+def test_op2_pools_the_last_sequences_of_shards(spark, monkeypatch):
+    """Pieces of like lengths fill no sequence well; each shard's last one is pooled nevertheless."""
+    monkeypatch.setattr(packing, "SHARD", 50)
+    pieces = spark.range(600).select(F.col("id").alias("item"), F.lit(30).cast("long").alias("length"))
+    got = packing.pack(pieces, 100).toPandas()
+    assert len(got) == 600 and got.item.nunique() == 600 and not got.duplicated(["sequence_id", "offset"]).any()
+    assert got.sequence_id.nunique() == 200

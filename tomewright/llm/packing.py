@@ -196,8 +196,14 @@ def pack(pieces: DataFrame, capacity: int, *, item: str = "item", length: str =
         done.append(bred.where(good))
         left = bred.where(~good).select("item", "length")
         more = left.count()
-        if shards > 1 and more > n * 0.9:  # pooling gains nothing any more
-            done[-1], more = bred, 0
+        if shards > 1 and more > n * 0.9:  # pooling all gains nothing any more: only each shard's worst-filled sequence
+            worst = bred.groupBy("shard").agg(F.min_by("bin", F.struct("fill", "bin")).alias("worst"))
+            marked = bred.join(worst, "shard")
+            done[-1] = marked.where(F.col("bin") != F.col("worst")).drop("worst")
+            left = marked.where(F.col("bin") == F.col("worst")).select("item", "length")
+            more = left.count()
+            if more > n * 0.9:
+                done[-1], more = bred, 0
         n, level = more, level + 1
     if not done:
         return whole
