@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import SF, same_rows
 from hypothesis import given, settings
@@ -468,3 +469,12 @@ def test_op2_pools_the_last_sequences_of_shards(spark, monkeypatch):
     got = packing.pack(pieces, 100).toPandas()
     assert len(got) == 600 and got.item.nunique() == 600 and not got.duplicated(["sequence_id", "offset"]).any()
     assert got.sequence_id.nunique() == 200
+
+
+def test_op5_recipes_lie_in_order(spark, tmp_path):
+    docs = wide(spark, [(i * 37 % 101, f"text {i} " * (i % 7)) for i in range(101)]).repartition(5)
+    idstore.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store", end_id=2).verify()
+    files = sorted((tmp_path / "store/rows/kind=1").glob("part-*.parquet"))
+    rows = [r for f in files for r in pq.read_table(f, partitioning=None).to_pylist()]
+    assert [r["doc_id"] for r in rows] == list(range(101))
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()

@@ -3,7 +3,7 @@
 Every whole text is encoded, the end id appended, and its id stream cut into chunks where a
 rolling hash of the last WINDOW ids meets a mask, so equal passages give equal chunks wherever
 they stand. Chunks are addressed by a digest of their bytes and stored once. A document's
-recipe lists its chunks' digests. Recipes lie in ascending doc_id order; Merkle manifests (a
+recipe lists its chunks' digests. Recipes lie in ascending doc_id order, over files and within them, with their start; Merkle manifests (a
 root for each block of recipes, a root over the blocks) verify them, and digests the chunks.
 
 Layout under the store's path: ``kind=0/`` chunks (digest, payload), ``kind=1/`` recipes,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tomewright.llm.textbatches import DistinctWordTokenizer, slices
 from tomewright.operators.ordered import prefix_sum
-from tomewright.session import materialize
+from tomewright.session import drop_path
 
 WINDOW = 16
 #: A cut comes after 1 id in 2**MASK_BITS; no chunk is longer than LONGEST.
@@ -38,6 +38,7 @@ BLOCK_IDS = 1 << 22
 #: Distinct digests that a task remembers, so that it sends a chunk once.
 REMEMBERED = 200_000
 ROWS = "kind int, key binary, payload binary, doc_id long, twin long, n_tokens long, chunks array<binary>"
+STORED = ROWS + ", start long"
 
 
 def gear_table(seed: int = 7) -> np.ndarray:
@@ -95,7 +96,7 @@ class IdStore:
     width: int
 
     def _rows(self) -> DataFrame:
-        return self.spark.read.schema(ROWS).parquet(self.path + "/rows")
+        return self.spark.read.schema(STORED).parquet(self.path + "/rows")
 
     def chunks(self) -> DataFrame:
         """(digest, n, crc32, payload) of each chunk, read back and held against its address."""
@@ -115,14 +116,14 @@ class IdStore:
         return self._rows().where("kind = 0").select("key", "payload").mapInArrow(read, "key binary, n long, crc long, payload binary")
 
     def recipes(self) -> DataFrame:
-        """(doc_id, twin, n_tokens, chunks, leaf) in no order; ``leaf`` is the recipe's Merkle leaf."""
-        rows = self._rows().where("kind = 1").select("doc_id", "twin", "n_tokens", "chunks")
+        """(doc_id, twin, n_tokens, chunks, start, leaf); ``leaf`` is the recipe's Merkle leaf."""
+        rows = self._rows().where("kind = 1").select("doc_id", "twin", "n_tokens", "chunks", "start")
         parts = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string"), F.hex(F.concat(F.lit(b""), F.array_join(F.transform("chunks", F.hex), "").cast("binary")))]
         return rows.withColumn("leaf", F.sha2(F.concat_ws("|", *parts), 256))
 
     def placed(self) -> DataFrame:
-        """Recipes with ``start``, the ids of all documents before."""
-        return prefix_sum(self.recipes(), "doc_id", "n_tokens", "start", ties=["twin", "leaf"])
+        """Recipes with ``start`` made again: the ids of all documents before."""
+        return prefix_sum(self.recipes().drop("start"), "doc_id", "n_tokens", "start", ties=["twin", "leaf"])
 
     @staticmethod
     def roots(placed: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ class IdStore:
         holds the documents that start within BLOCK_IDS ids, so its leaves are bounded too."""
         one = F.array_sort(F.collect_list(F.struct("start", "leaf")))
         block = F.floor(F.col("start") / BLOCK_IDS).cast("long").alias("block")
-        return placed.groupBy(block).agg(F.min("start").alias("first"), F.count("*").alias("leaves"), F.sha2(F.array_join(F.transform(one, lambda x: x["leaf"]), ""), 256).alias("root"))
+        return placed.groupBy(block).agg(F.min("start").alias("first"), F.count("*").alias("leaves"), F.sha2(F.array_join(F.transform(one, lambda x: F.concat_ws("|", x["start"].cast("string"), x["leaf"])), ""), 256).alias("root"))
 
     def manifest(self) -> DataFrame:
         return self.spark.read.schema("block long, first long, leaves long, root string").parquet(self.path + "/manifest")
@@ -142,7 +143,7 @@ class IdStore:
 
     def verify(self) -> None:
         """Hold recipes against the manifests, and these against the top root."""
-        fresh = self.roots(self.placed()).alias("a").join(self.manifest().alias("b"), "block", "full_outer")
+        fresh = self.roots(self.recipes()).alias("a").join(self.manifest().alias("b"), "block", "full_outer")
         bad = fresh.where(~(F.col("a.root").eqNullSafe(F.col("b.root")) & F.col("a.leaves").eqNullSafe(F.col("b.leaves")))).limit(1).collect()
         kept = self.spark.read.schema("root string").parquet(self.path + "/root").first()
         if bad or kept is None or kept.root != self.top_root():
@@ -153,7 +154,7 @@ class IdStore:
 
         Chunks are read once and their content reduced to a checksum; only checksums are
         dealt to the recipes, whose documents' checksums are then joined in order."""
-        recipes = materialize(self.placed().select("doc_id", "start", "chunks", "n_tokens"), "recipes")
+        recipes = self.recipes().select("doc_id", "start", "chunks", "n_tokens")
         parts = recipes.select("doc_id", "start", "n_tokens", F.posexplode("chunks").alias("pos", "key"))
         found = parts.join(self.chunks().drop("payload"), "key", "left")
         # start is a document's own: every document has an id at least
@@ -183,7 +184,7 @@ class IdStore:
 
     def streams(self) -> DataFrame:
         """(doc_id, start, ids) of every document, rebuilt from its chunks."""
-        parts = self.placed().select("doc_id", "start", F.posexplode("chunks").alias("pos", "key"))
+        parts = self.recipes().select("doc_id", "start", F.posexplode("chunks").alias("pos", "key"))
         rows = parts.join(self.chunks().select("key", "payload"), "key")
         whole = rows.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "payload"))).alias("p"))
         dtype = f"<u{self.width}"
@@ -254,7 +255,15 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, id_c
     dealt = rows.repartition(F.coalesce("key", F.hash("doc_id", "twin").cast("string").cast("binary"))).sortWithinPartitions("kind", "key")
     dealt.mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(path + "/rows")
     store = IdStore(spark, path, width)
-    store.roots(store.placed()).select("block", "first", "leaves", "root").write.parquet(path + "/manifest")
+    # recipes again, with their start and in its order, in place of the dealt ones
+    ordered = store.placed().drop("leaf", "block").repartitionByRange("start").sortWithinPartitions("start")
+    ordered.write.option("compression", "zstd").parquet(path + "/ordered")
+    drop_path(spark, path + "/rows/kind=1")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    place = hadoop(path + "/rows/kind=1")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(hadoop(path + "/ordered"), place):
+        raise OSError("the ordered recipes can't be put in their place")
+    store.roots(store.recipes()).select("block", "first", "leaves", "root").write.parquet(path + "/manifest")
     spark.createDataFrame([(store.top_root(),)], "root string").write.parquet(path + "/root")
     return store
 
