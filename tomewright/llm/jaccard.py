@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import slices
+from tomewright.llm.textbatches import map_batches, slices
 from tomewright.operators.components import connected_components
 from tomewright.session import materialize
 
@@ -226,7 +226,7 @@ def sign(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, twin long, rid long, n long, bands array<long>")
+    return map_batches(rows, run, "doc_id long, twin long, rid long, n long, bands array<long>")
 
 
 def _prune(floors: dict[int, int]):
@@ -306,14 +306,14 @@ def classes(docs: DataFrame, *, threshold: float = THRESHOLD, size: int = WORDS,
     tile = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other")).alias("tile")
     with_bands = dealt.select(tile, "band", "own", "other", "rid").join(one.select("rid", "bands"), "rid")
     with_bands = with_bands.select("tile", "band", "own", "other", "rid", "bands")
-    pruned = with_bands.repartition("tile").sortWithinPartitions("tile").mapInArrow(_prune(floors), "tile long, band int, own int, other int, rid long")
+    pruned = map_batches(with_bands.repartition("tile").sortWithinPartitions("tile"), _prune(floors), "tile long, band int, own int, other int, rid long")
     pruned = materialize(pruned, "survivors")
     wanted = pruned.select("rid").distinct().join(one.select("rid", "doc_id", "twin"), "rid")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
     same = source.doc_id.eqNullSafe(wanted.doc_id) & (source.twin == wanted.twin)
     whole = source.join(wanted, same).select("rid", "text")
     with_text = pruned.join(whole, "rid").select("tile", "band", "own", "other", "rid", "text")
-    linked = with_text.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verify(floors, threshold, size), "rid long, root long, links long")
+    linked = map_batches(with_text.repartition("tile").sortWithinPartitions("tile"), _verify(floors, threshold, size), "rid long, root long, links long")
     linked = materialize(linked, "links")
     roots = connected_components(linked, "rid", "root").withColumnRenamed("node", "rid")
     links = linked.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tomewright.llm.textbatches import map_batches
 from tomewright.operators.ordered import prefix_sum
 from tomewright.session import materialize
 
@@ -115,7 +116,7 @@ def later_copies(texts: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     ranked = suffix_ranks(materialize(stretches(texts), "stretches"), levels)
     fields = ["pos", F.col("words").cast("long").alias("words"), *[f"rank{i}" for i in range(levels + 1)]]
     whole = ranked.groupBy("row", "seg").agg(F.collect_list(F.struct(*fields)).alias("lines")).select("row", "lines")
-    windows = materialize(whole.mapInArrow(*_windows(min_words, levels)), "windows")
+    windows = materialize(map_batches(whole, *_windows(min_words, levels)), "windows")
     first = windows.groupBy("n", "a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1")
     return windows.join(first.select("n", "a", "b", "first"), ["n", "a", "b"]).where("first < pos").select("row", "pos", "n")
 
@@ -152,4 +153,4 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             by_name[text_col] = pa.array(made, by_name[text_col].type)
             yield pa.RecordBatch.from_arrays([*(by_name[c] for c in names), pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=[*names, "n_lines", "n_deleted"])
 
-    return both.select(*names, "__gone").mapInArrow(run, f"{kinds}, n_lines long, n_deleted long")
+    return map_batches(both.select(*names, "__gone"), run, f"{kinds}, n_lines long, n_deleted long")

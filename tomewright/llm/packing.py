@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import DistinctWordTokenizer, slices
+from tomewright.llm.textbatches import DistinctWordTokenizer, map_batches, slices
 from tomewright.session import materialize
 
 SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 8, 6
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int,
                     cols.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(lo, lo + length, strict=True)], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 class Breeder:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import slices
+from tomewright.llm.textbatches import map_batches, slices
 from tomewright.session import materialize
 
 ORDER, HOT_GRAMS, HOT_WORDS = 5, 1_000_000, 300_000
@@ -101,7 +101,7 @@ def count(docs: DataFrame, train: Column, text_col: str = "text", order: int = O
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "key", "n", "every"])
 
-    rows = docs.select(F.col(text_col).alias("text"), train.alias("train")).mapInArrow(run, "kind int, key long, n long, every long")
+    rows = map_batches(docs.select(F.col(text_col).alias("text"), train.alias("train")), run, "kind int, key long, n long, every long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
@@ -347,7 +347,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = materialize(rows.mapInArrow(run, fields), "lm-scored")
+    scored = materialize(map_batches(rows, run, fields), "lm-scored")
     # rare words: a row for each that a document has, joined to its count (none: never seen in training)
     used = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     cold = used.join(word_counts, "key", "left")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import slices
+from tomewright.llm.textbatches import map_batches, slices
 from tomewright.session import materialize
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 16, 4, 12.0
@@ -213,7 +213,7 @@ def score_documents(docs: DataFrame, model: Model, *, text_col: str = "text", ou
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(scores)], names=[*part.schema.names[:at], out])
 
     scored = docs.select(*[docs[c] for c in kept.columns], F.col(text_col).alias("__text"))
-    return scored.mapInArrow(run, f"{fields}, `{out}` double")
+    return map_batches(scored, run, f"{fields}, `{out}` double")
 
 
 def filter_documents(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import by_distinct, mixed, slices
+from tomewright.llm.textbatches import by_distinct, either_way, listed, map_batches, slices
 
 SPACE = "▁"
 #: Symbols of a segment up to which it goes into the shared agenda.
@@ -200,10 +200,13 @@ class MergeEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all whole texts, without begin and end ids, and len(texts)+1 offsets."""
-        odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | \\z|{SPACE}"), pc.equal(pc.binary_length(texts), 0))
-        flat, offsets = by_distinct(mixed(texts, odd, self._plain, self._careful), self.encode_distinct)
+        odd = pc.or_(pc.match_substring_regex(texts, f"  |^ | \\z|{SPACE}"), pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+        careful = lambda some: pa.array([self._careful(x) for x in some.to_pylist()], pa.large_list(pa.large_string()))
+        flat, offsets = either_way(
+            texts, odd, lambda x: by_distinct(*listed(self._plain(x)), self.encode_distinct), lambda x: by_distinct(*listed(careful(x)), self.encode_distinct)
+        )
         if self.check:
-            for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            for k in np.flatnonzero(odd).tolist():
                 if self.library.encode(texts[k].as_py()) != flat[offsets[k] : offsets[k + 1]].tolist():
                     raise ValueError("a text encodes otherwise than by the sentencepiece library")
         return flat, offsets
@@ -244,4 +247,4 @@ def encode_documents(
                 arrays = [pa.array(made[x], type=kinds.get(x, pa.string())) for x in outputs]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=[id_col, *outputs])
 
-    return picked.mapInArrow(run, schema)
+    return map_batches(picked, run, schema)
