@@ -50,12 +50,26 @@ def test_agenda_equals_library_on_any_text(encoder, texts):
     assert lists(*encoder.encode(pa.array(texts, pa.large_string()))) == encoder.library.encode(texts)
 
 
+SPECIAL = ["<|endoftext|>", "a <|endoftext|> b", "a\n <|endoftext|>\n<|startoftext|>c, d.", "x <|EndOfText|>!<|endoftext|", "one<|startoftext|>  two"]
+
+
+def plain_library(name, special_as_text=False):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+    tokenizer.encode_special_tokens = special_as_text
+    return tokenizer
+
+
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", "kept"), ("word_bpe_49k.json", "dropped")])
-def test_distinct_pieces_equal_whole_texts(name, spaces):
-    tokenizer = textbatches.DistinctWordTokenizer(public_tokenizers.path(name), spaces)
+def test_distinct_pieces_equal_whole_texts(name, spaces, special_as_text):
+    tokenizer = textbatches.DistinctWordTokenizer(public_tokenizers.path(name), spaces, special_as_text=special_as_text)
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choice("ab \n\t　é.▁1's") for _ in range(rng.randint(0, 30))) for _ in range(500)]
-    want = [x.ids for x in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts = ODD + SPECIAL + ["".join(rng.choice("abÉß \n\t　é.,!▁1'sΣİ") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    texts += ["".join(rng.choice(["the", " cat", " dog's", ",", "...", "\n", "\n\n", " ", "<|endoftext|>", "'ll", "Été"]) for _ in range(rng.randint(0, 20))) for _ in range(1500)]
+    texts.append("word, " * 200_000)
+    want = [x.ids for x in plain_library(name, special_as_text).encode_batch(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from the cache
         assert lists(*tokenizer.encode(pa.array(texts, pa.large_string()))) == want
 
@@ -72,10 +86,10 @@ def test_op1(spark, encoder):
 
 def test_op2(spark):
     rng = random.Random(1)
-    texts = [*ODD, None, *[" ".join(rng.choice(["one", "two,", "three3"]) for _ in range(rng.randint(1, 300))) for _ in range(120)], "word " * 1000]
+    texts = [*ODD, *SPECIAL, None, *[" ".join(rng.choice(["one", "two,", "three3"]) for _ in range(rng.randint(1, 300))) for _ in range(120)], "word " * 1000, "twice", "twice"]
     docs = wide(spark, list(enumerate(texts)))
     rows = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=256).toPandas()
-    tokenizer = textbatches.DistinctWordTokenizer(public_tokenizers.path("word_bpe_49k.json"), "dropped").tokenizer
+    tokenizer = plain_library("word_bpe_49k.json")
     for i, x in enumerate(tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         ids, mine = np.array([*x.ids, 1], "<u4"), rows[rows.doc_id == i].sort_values("piece")
         assert mine.start.tolist() == list(range(0, len(ids), 256)) and mine.length.sum() == len(ids)
@@ -209,11 +223,11 @@ def test_op4_replicates_unstructured_vectors():
 
 
 def test_op5_round_trip(spark, tmp_path):
-    texts = [*ODD, None, "same passage here " * 200, "x" + "same passage here " * 200, "twice"]
+    texts = [*ODD, *SPECIAL, None, "same passage here " * 200, "x" + "same passage here " * 200, "twice"]
     docs = wide(spark, [*enumerate(texts), (len(texts) - 1, "twice")])
     store = idstore.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store", end_id=2)
     store.verify()
-    tokenizer = textbatches.DistinctWordTokenizer(public_tokenizers.path("byte_bpe_50k.json"), "kept").tokenizer
+    tokenizer = plain_library("byte_bpe_50k.json")
     ids = [[*x.ids, 2] for x in tokenizer.encode_batch([t or "" for t in [*texts, "twice"]], add_special_tokens=False)]
     starts = np.cumsum([0, *map(len, ids)])
     rows = sorted(store.checksums().collect(), key=lambda r: r.start)

@@ -153,7 +153,7 @@ class DistinctWordTokenizer:
     The added tokens' strings in a text are those tokens, as the library has it; with
     ``special_as_text`` they are ordinary text (the library's ``encode_special_tokens``)."""
 
-    def __init__(self, path: str, spaces: str, *, special_as_text: bool = True) -> None:
+    def __init__(self, path: str, spaces: str, *, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
