@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
-    ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a folder
-    of our own is made and set as the checkpoint folder."""
+    ``spark.checkpoint.dir``. Where that is unset a folder of our own is made and set as the
+    checkpoint folder, if all executors are threads of the driver; on a cluster that is an error,
+    since each executor would write to its own disk."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="tomewright-shared-")
     spark.sparkContext.setCheckpointDir(f"file://{own}")
     return f"file://{own}"
@@ -36,7 +39,15 @@ def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     an empty frame stays empty."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` returned, once nothing will read them again."""
+    for table in tables:
+        drop_path(table.sparkSession, table.written_to)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
