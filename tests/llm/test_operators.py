@@ -110,6 +110,16 @@ def test_crossover_keeps_every_piece_once():
     assert len(b.breed([])) <= len(b.seed(0.0))
 
 
+def test_islands_breed_real_pieces(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lengths = [r.length for r in packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1).collect() if r.length < 4096]
+    b = packing.Breeder(lengths, 4096, 5)
+    first = b.fitness(b.seed(0.0))
+    best = b.breed([])
+    assert b.crossings == 2 * packing.GENERATIONS and b.gains > 0 and b.fitness(best) < first
+    assert sorted(i for x in best for i in x) == list(range(len(lengths))) and max(map(b.fill, best)) <= 1
+
+
 def exact_classes(texts, size=5, threshold=0.8):
     sets = []
     for t in texts:

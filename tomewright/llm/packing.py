@@ -1,9 +1,12 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm on islands (operator 2).
 
 Pieces are dealt to shards by a hash of their number, so no key is hot. Every shard is bred on
-several islands (tasks): solutions are groupings of pieces into sequences; a crossover injects
+several islands (tasks): solutions are groupings of pieces into sequences, seeded by best fits
+in noisy descending order; a crossover injects
 whole well-filled sequences of one parent into the other, drops the sequences that now hold a
-piece twice, and puts the displaced pieces back by best fit. After each epoch the islands'
+piece twice, and puts the displaced pieces back by best fit. Fewer sequences are fitter; of as many, those
+whose room is left over in one place, so that a shard's worst-filled sequence holds little and can be
+pooled. Every island breeds all its generations. After each epoch the islands'
 elites migrate to their neighbours. The best island's grouping stands; sequences that it left
 less than well filled are pooled over shards and bred again, until one shard holds them or
 nothing is gained. Island state is a shard's lengths, whose number is bounded.
@@ -23,9 +26,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomewright.llm.textbatches import DistinctWordTokenizer, map_batches, slices
-from tomewright.session import materialize
+from tomewright.session import forget, materialize
 
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 8, 6
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 4, 4
 WELL_FILLED = 0.995
 
 
@@ -64,7 +67,7 @@ class Breeder:
 
     def __init__(self, lengths: list[int], capacity: int, seed: int) -> None:
         self.n, self.capacity, self.rng = lengths, capacity, np.random.default_rng(seed)
-        self.bound = -(-sum(lengths) // capacity)
+        self.crossings, self.gains = 0, 0
 
     def best_fit(self, pieces: list[int], bins: list[list[int]]) -> list[list[int]]:
         """Put each piece, in order, where the least room is left over; open a sequence if none has room."""
@@ -125,18 +128,21 @@ class Breeder:
         return self.best_fit(loose, kept[drop:] + injected)
 
     def breed(self, elites: list[list[list[int]]]) -> list[list[int]]:
+        """The fittest after GENERATIONS. ``crossings`` counts the crossovers, ``gains`` those children
+        that were fitter than all before them."""
         people = [e for e in elites if e]
         while len(people) < POPULATION:
-            people.append(self.seed(0.0 if not people else 0.05 * len(people)))
-            if len(people[-1]) == self.bound:
-                return people[-1]
-        ranked = sorted(people, key=self.fitness)
+            people.append(self.seed(0.02 * len(people)))
+        ranked = sorted(((self.fitness(x), x) for x in people), key=lambda x: x[0])
         for _ in range(GENERATIONS):
-            if len(ranked[0]) == self.bound:
-                break
-            a, b = self.rng.choice(len(ranked), 2, replace=False)
-            ranked = sorted([*ranked, self.cross(ranked[min(a, b)], ranked[max(a, b)]), self.cross(ranked[max(a, b)], ranked[min(a, b)])], key=self.fitness)[:POPULATION]
-        return ranked[0]
+            a, b = sorted(self.rng.choice(len(ranked), 2, replace=False).tolist())
+            for taker, giver in ((a, b), (b, a)):
+                child = self.cross(ranked[taker][1], ranked[giver][1])
+                fit = self.fitness(child)
+                self.crossings, self.gains = self.crossings + 1, self.gains + (fit < ranked[0][0])
+                ranked.append((fit, child))
+            ranked = sorted(ranked, key=lambda x: x[0])[:POPULATION]
+        return ranked[0][1]
 
 
 def _epoch(capacity: int, first: bool):
@@ -163,35 +169,41 @@ def _epoch(capacity: int, first: bool):
     return run
 
 
-def _breed(items: DataFrame, capacity: int, shards: int, label: str) -> DataFrame:
-    """(item, length, shard, bin): the best island's grouping of every shard."""
+def _breed(items: DataFrame, capacity: int, shards: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """(item, length, shard, bin): the best island's grouping of every shard; and the table that it is read from."""
     rows = items.select("item", "length", F.pmod(F.xxhash64("item", F.lit(label)), F.lit(shards)).cast("long").alias("shard"))
     out = "shard long, island long, item long, length long, bin long"
     state = rows.withColumn("island", F.explode(F.array(*[F.lit(i).cast("long") for i in range(ISLANDS)]))).withColumn("origin", F.col("island")).withColumn("bin", F.lit(0).cast("long"))
     for epoch in range(EPOCHS):
         elite = state.groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch == 0), out)
         elite = materialize(elite, f"elite-{label}-{epoch}")
+        if epoch > 0:
+            forget(bred)
+        bred = elite
         if epoch < EPOCHS - 1:  # elites stay, and migrate to the next island
             here = F.array(F.col("island"), (F.col("island") + 1) % ISLANDS)
             state = elite.withColumn("origin", F.col("island")).withColumn("island", F.explode(here))
     fills = elite.groupBy("shard", "island", "bin").agg(F.sum("length").alias("fill"))
     score = fills.groupBy("shard", "island").agg(F.count("*").alias("bins"), F.sum(F.pow(F.col("fill") / capacity, 2)).alias("even"))
     best = score.groupBy("shard").agg(F.min_by("island", F.struct("bins", -F.col("even"), "island")).alias("island"))
-    return elite.join(best, ["shard", "island"]).select("item", "length", "shard", "bin")
+    return elite.join(best, ["shard", "island"]).select("item", "length", "shard", "bin"), elite
 
 
 def pack(pieces: DataFrame, capacity: int, *, item: str = "item", length: str = "length") -> DataFrame:
     """(item, sequence_id, offset) for pieces with a unique long ``item`` and a ``length``."""
     items = pieces.select(F.col(item).alias("item"), F.col(length).cast("long").alias("length"))
     whole = items.where(F.col("length") == capacity).select("item", (-F.col("item") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    left, done, level = items.where(F.col("length") < capacity), [], 0
+    left, done, level, numbered = items.where(F.col("length") < capacity), [], 0, 0
     n = left.count()
     while n:
         shards = -(-n // SHARD)
-        # a shard has at most 2**13 sequences, whose numbers are unique over levels and shards
-        bred = _breed(left, capacity, shards, f"level{level}")
+        bred, elites = _breed(left, capacity, shards, f"level{level}")
         fills = Window.partitionBy("shard", "bin")
-        bred = materialize(bred.withColumn("fill", F.sum("length").over(fills)).withColumn("level", F.lit(level)), f"bred-{level}")
+        # a shard is given 2**14 numbers, and each level those after the last one's
+        sequence = F.lit(numbered).cast("long") + F.col("shard") * F.lit(1 << 14) + F.col("bin")
+        numbered += shards << 14
+        bred = materialize(bred.withColumn("fill", F.sum("length").over(fills)).withColumn("sequence_id", sequence), f"bred-{level}")
+        forget(elites)
         good = (F.col("fill") >= WELL_FILLED * capacity) if shards > 1 else F.lit(True)
         done.append(bred.where(good))
         left = bred.where(~good).select("item", "length")
@@ -210,9 +222,8 @@ def pack(pieces: DataFrame, capacity: int, *, item: str = "item", length: str =
     packed = done[0]
     for x in done[1:]:
         packed = packed.unionByName(x)
-    sequence = (F.col("level") * F.lit(1 << 58) + F.col("shard") * F.lit(1 << 13) + F.col("bin")).cast("long")
     order = Window.partitionBy("sequence_id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
-    packed = packed.select("item", "length", sequence.alias("sequence_id"))
+    packed = packed.select("item", "length", "sequence_id")
     return packed.select("item", "sequence_id", F.coalesce(F.sum("length").over(order), F.lit(0)).alias("offset")).unionByName(whole)
 
 
