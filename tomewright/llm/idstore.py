@@ -23,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm.textbatches import DistinctWordTokenizer, slices
+from tomewright.llm.textbatches import DistinctWordTokenizer, map_batches, slices
 from tomewright.operators.ordered import prefix_sum
 from tomewright.session import drop_path
 
@@ -48,10 +49,11 @@ def gear_table(seed: int = 7) -> np.ndarray:
 
 def cut_points(ids: np.ndarray, offsets: np.ndarray, gear: np.ndarray) -> np.ndarray:
     """Ends of the chunks of all streams (flat ``ids``, a stream between two ``offsets``), ascending."""
-    h = np.zeros(len(ids), np.uint64)
-    words = gear[ids & 0xFFFF]
-    for j in range(min(WINDOW, len(ids))):
-        h[j:] += words[: len(ids) - j] << np.uint64(j)
+    h, j = gear[ids & 0xFFFF], 1
+    while j < min(WINDOW, len(ids)):  # sums over 2j words from sums over j
+        moved = h[:-j] << np.uint64(j)
+        h[j:] += moved
+        j *= 2
     h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MASK_BITS)
     found = np.flatnonzero(h == 0) + 1
     begins = offsets[np.searchsorted(offsets, found - 1, side="right") - 1]
@@ -113,7 +115,7 @@ class IdStore:
                 n = [len(x) // width for x in payloads]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), batch.column(1)], names=["key", "n", "crc", "payload"])
 
-        return self._rows().where("kind = 0").select("key", "payload").mapInArrow(read, "key binary, n long, crc long, payload binary")
+        return map_batches(self._rows().where("kind = 0").select("key", "payload"), read, "key binary, n long, crc long, payload binary")
 
     def recipes(self) -> DataFrame:
         """(doc_id, twin, n_tokens, chunks, start, leaf); ``leaf`` is the recipe's Merkle leaf."""
@@ -180,7 +182,7 @@ class IdStore:
                     raise ValueError("a document's chunks don't have its length")
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        return docs.mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return map_batches(docs, join, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def streams(self) -> DataFrame:
         """(doc_id, start, ids) of every document, rebuilt from its chunks."""
@@ -194,7 +196,7 @@ class IdStore:
                 ids = [np.frombuffer(b"".join(x["payload"] for x in p), dtype).astype(np.int32) for p in batch.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
 
-        return whole.mapInArrow(decode, "doc_id long, start long, ids array<int>")
+        return map_batches(whole, decode, "doc_id long, start long, ids array<int>")
 
 
 def digest(payload: bytes) -> bytes:
@@ -242,18 +244,17 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, *, end_id: int, id_c
                 yield pa.RecordBatch.from_arrays(arrays, schema=SCHEMA)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last = pa.array([None], pa.binary())
         for batch in batches:
-            keep = []
-            for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keep.append(kind == 1 or key != last)
-                last = key
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            keys = batch.column(1)
+            same = pc.equal(keys, pa.concat_arrays([last, keys[:-1]]))  # null beside a recipe, which has no key
+            last = keys[-1:] if len(keys) else last
+            yield batch.filter(pc.invert(pc.fill_null(same, False)))
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("twin"))
-    rows = picked.mapInArrow(encode, ROWS)
+    rows = map_batches(picked, encode, ROWS)
     dealt = rows.repartition(F.coalesce("key", F.hash("doc_id", "twin").cast("string").cast("binary"))).sortWithinPartitions("kind", "key")
-    dealt.mapInArrow(once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(path + "/rows")
+    map_batches(dealt, once, ROWS).write.partitionBy("kind").option("compression", "zstd").parquet(path + "/rows")
     store = IdStore(spark, path, width)
     # recipes again, with their start and in its order, in place of the dealt ones
     ordered = store.placed().drop("leaf", "block").repartitionByRange("start").sortWithinPartitions("start")
