@@ -334,6 +334,35 @@ def test_op8_equals_brute_force(spark):
     assert rules.measure(wide(spark, []).where("false")).count() == 0
 
 
+def test_rejected_rows_skip_costly_rules(spark):
+    bomb = rules.Rule("bomb", lambda t: F.raise_error(F.concat(F.lit("asked "), F.left(t, F.lit(20)))).cast("boolean"))
+    cheap = rules.Rule("cheap", lambda t: F.contains(t, F.lit("stop")))
+    short, loops = (0, "a b stop"), (1, "one two three " * 40)
+    stopped = (2, " ".join(f"w{i}" for i in range(60)) + " stop")
+    rows = rules.measure(wide(spark, [short, loops, stopped]), [*rules.production_rules(), cheap, bomb], in_order=True)
+    assert {r.doc_id: r.failed_rule for r in rows.collect()} == {0: "too_few_words", 1: "repeated_words", 2: "cheap"}
+    left = wide(spark, [(3, " ".join(f"w{i}" for i in range(60)))])
+    with pytest.raises(Exception, match="asked w0"):
+        rules.measure(left, [cheap, bomb], in_order=True).collect()
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    docs = wide(spark, [(i, f"text {i} " + "x " * (i % 7)) for i in range(20_000)])
+    assert 100 < rules.sample(docs, "text").count() <= rules.SAMPLE_ROWS
+    a, b, c = (rules.Rule(x, lambda t: F.lit(True)) for x in "abc")
+    assert [r.name for r in rules.by_gain([(a, 1.0, 0.1), (b, 0.1, 0.1), (c, 0.01, 0.0)])] == ["b", "a", "c"]
+
+
+def test_op8_very_long_text(spark):
+    text = "\n".join(f"line {i % 50000} of a long text" for i in range(120_000))
+    (row,) = rules.measure(wide(spark, [(0, text)])).collect()
+    w = text.split()
+    again = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    marks = {p for i in range(len(w) - 2) if again[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
+    assert (row.n_words, row.n_dup_lines, row.n_repeat_words) == (len(w), 70_000, len(marks))
+
+
+
 def test_op8_has_no_python_in_its_plan(spark):
     plan = rules.measure(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -1,18 +1,23 @@
 """Quality rules as a short-circuit cascade (operator 8), with DataFrame functions only.
 
 A rule is a predicate over metrics of the whole text that says whether a document fails.
-Cost and selectivity of every rule are estimated on a bounded sample of rows; rules then run
+Cost and selectivity of every rule are estimated on a bounded hashed sample of rows; rules then run
 in descending order of rejection per cost, as the branches of one CASE, so a document that
 a cheap rule rejects never pays for a dear one. The order can't change a verdict.
+``filter_documents`` computes every rule from the text, and only where the rules before it left a document.
+``measure`` returns the base metrics of every document, so there a rule that needs no more than those costs
+a comparison; the others are computed only for documents that neither the base nor a rule before rejected.
 
 Words are runs of characters other than space and U+0009..U+000D.
 
 Defined results: a null text has no words and fails; repeated rows are judged each; an empty
-table gives no rows; other columns are kept by ``filter_documents`` and ignored by ``measure``."""
+table gives no rows; other columns are kept by ``filter_documents`` and ignored by ``measure``; a text
+of any length is read whole, in one row's arrays (a few times its size)."""
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +27,8 @@ from tomewright.session import materialize
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Rows of the sample on which cost and selectivity are estimated.
-SAMPLE_ROWS = 400
+#: Rows of the sample on which cost and selectivity are estimated: the first to be found among 1 in SAMPLE_STEP by hash.
+SAMPLE_ROWS, SAMPLE_STEP = 400, 16
 
 
 def text_of(text: str | Column) -> Column:
@@ -52,7 +57,8 @@ def n_symbols(text: Column) -> Column:
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    found = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return F.when(F.instr(text, "\n") == 0, F.lit(0)).otherwise(found).cast("long")
 
 
 def n_lines(text: Column) -> Column:
@@ -100,61 +106,80 @@ def let(value: Column, body) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` says of the text column whether a document is rejected."""
+    """``fails`` says of the text column whether a document is rejected; ``known``, if given, says the same
+    where the base metrics are columns. ``base`` rules are part of ``base_failed``."""
 
     name: str
-    fails: object
+    fails: Callable[[Column], Column]
+    known: Callable[[Column], Column] | None = None
+    base: bool = False
 
     def __call__(self, text: Column) -> Column:
         return self.fails(text)
 
+    def after_metrics(self, text: Column) -> Column:
+        return (self.known or self.fails)(text)
+
 
 def production_rules() -> list[Rule]:
     """Rules of this engine. The first and the last are the base; the others catch markup
     debris, shouting, and texts of repeated lines, with room for clean prose."""
+    words_, chars, symbols, dup = (F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines"))
     return [
-        Rule("too_few_words", lambda t: n_words(t) < 50),
-        Rule("symbols", lambda t: n_symbols(t) * 10 > n_words(t)),
-        Rule("word_length", lambda t: (word_chars(t) * 2 < n_words(t) * 5) | (word_chars(t) > n_words(t) * 15)),
-        Rule("repeated_lines", lambda t: n_dup_lines(t) * 10 > n_lines(t) * 3),
-        Rule("repeated_words", lambda t: 100 * n_repeat_words(words(t)) > 50 * n_words(t)),
+        Rule("too_few_words", lambda t: n_words(t) < 50, lambda t: words_ < 50, base=True),
+        Rule("symbols", lambda t: n_symbols(t) * 10 > n_words(t), lambda t: symbols * 10 > words_),
+        Rule("word_length", lambda t: (word_chars(t) * 2 < n_words(t) * 5) | (word_chars(t) > n_words(t) * 15), lambda t: (chars * 2 < words_ * 5) | (chars > words_ * 15)),
+        # texts without such a line don't have their lines counted
+        Rule("repeated_lines", lambda t: n_dup_lines(t) * 10 > n_lines(t) * 3, lambda t: (dup > 0) & (dup * 10 > n_lines(t) * 3)),
+        Rule("repeated_words", lambda t: 100 * n_repeat_words(words(t)) > 50 * n_words(t), lambda t: 100 * F.col("n_repeat_words") > 50 * words_, base=True),
     ]
 
 
-def estimate(docs: DataFrame, rules: list[Rule], *, text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds on the sample, share rejected) from at most ``rows`` rows."""
-    local = materialize(docs.select(text_of(text_col).alias("text")).limit(rows), "rule-sample")
+def sample(docs: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """A table of at most ``rows`` texts that a hash picks: no pass over all rows."""
+    text = text_of(text_col)
+    return materialize(docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_STEP)) == 0).limit(rows), "rule-sample")
+
+
+def estimate(local: DataFrame, failures: list[tuple[Rule, Column]]) -> list[tuple[Rule, float, float]]:
+    """(rule, cost in seconds, share rejected) on the rows of ``local``, for rules given with their column there."""
     total, found = max(1, local.count()), []
-    base = _timed(local, lambda t: F.length(t) < 0)[0]
-    for rule in rules:
-        cost, hits = _timed(local, rule)
+    base = _timed(local, F.length("text") < 0)[0]
+    for rule, failed in failures:
+        cost, hits = _timed(local, failed)
         found.append((rule, max(cost - base, 1e-4), hits / total))
     return found
 
 
-def _timed(rows: DataFrame, rule) -> tuple[float, int]:
+def _timed(rows: DataFrame, failed: Column) -> tuple[float, int]:
     """The faster of two runs: seconds, and rows that fail."""
     best, hits = float("inf"), 0
     for _ in range(2):
         began = time.perf_counter()
-        hits = rows.agg(F.count_if(F.coalesce(rule(F.col("text")), F.lit(True)))).first()[0]
+        hits = rows.agg(F.count_if(F.coalesce(failed, F.lit(True)))).first()[0]
         best = min(best, time.perf_counter() - began)
     return best, hits
 
 
-def ordered(docs: DataFrame, rules: list[Rule] | None = None, *, text_col: str = "text") -> list[Rule]:
+def by_gain(scored: list[tuple[Rule, float, float]]) -> list[Rule]:
     """Rules in descending order of rejection per cost."""
-    scored = estimate(docs, rules or production_rules(), text_col=text_col)
     return [r for r, cost, share in sorted(scored, key=lambda x: (-x[2] / x[1], x[1]))]
 
 
-def first_failure(text: Column, rules: list[Rule]) -> Column:
-    """The name of the first rule that a text fails, or null; later rules aren't evaluated."""
+def ordered(docs: DataFrame, rules: list[Rule] | None = None, *, text_col: str = "text") -> list[Rule]:
+    """The order of rules that are computed from the text."""
+    local = sample(docs, text_col)
+    return by_gain(estimate(local, [(r, r(F.col("text"))) for r in rules or production_rules()]))
+
+
+def first_failure(text: Column, rules: list[Rule], failed: Callable[[Rule], Column] | None = None) -> Column:
+    """The name of the first rule that a text fails, or null; later rules aren't evaluated.
+    ``failed`` gives a rule's column, by default that from the text."""
     case = None
     for rule in rules:
-        failed = F.coalesce(rule(text), F.lit(True))
-        case = F.when(failed, F.lit(rule.name)) if case is None else case.when(failed, F.lit(rule.name))
-    return case
+        bad = F.coalesce(failed(rule) if failed else rule(text), F.lit(True))
+        case = F.when(bad, F.lit(rule.name)) if case is None else case.when(bad, F.lit(rule.name))
+    return F.lit(None).cast("string") if case is None else case
 
 
 def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, *, text_col: str = "text") -> DataFrame:
@@ -162,32 +187,35 @@ def filter_documents(docs: DataFrame, rules: list[Rule] | None = None, *, text_c
     return docs.where(first_failure(text_of(text_col), ordered(docs, rules, text_col=text_col)).isNull())
 
 
-def measure(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Metrics and verdict of every document: id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, and the first rule that failed (null if none).
-
-    Metrics are computed once, in a projection below the verdict; rules read them there."""
-    order = ordered(docs, rules, text_col=text_col)
+def metrics(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, which has a ``text`` without nulls, and the base metrics."""
     text = F.col("text")
-    metrics = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).select(
-        "doc_id",
-        "text",
+    found = docs.select(
+        "*",
         word_chars(text).alias("word_chars"),
         n_symbols(text).alias("n_symbols"),
         n_dup_lines(text).alias("n_dup_lines"),
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), n_repeat_words(w).alias("r"))).alias("_w"),
     )
-    few, repeated = F.col("n_words") < 50, 100 * F.col("n_repeat_words") > 50 * F.col("n_words")
-    flat = metrics.select("doc_id", "text", F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words"))
-    known = {
-        "too_few_words": few,
-        "symbols": F.col("n_symbols") * 10 > F.col("n_words"),
-        "word_length": (F.col("word_chars") * 2 < F.col("n_words") * 5) | (F.col("word_chars") > F.col("n_words") * 15),
-        "repeated_lines": F.col("n_dup_lines") * 10 > n_lines(text) * 3,
-        "repeated_words": repeated,
-    }
-    cascade = [Rule(r.name, (lambda c: lambda t: c)(known[r.name])) if r.name in known else r for r in order]
-    judged = flat.withColumn("base_failed", few | repeated).withColumn("failed_rule", first_failure(text, cascade))
+    return found.select(*docs.columns, F.col("_w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_w.r").alias("n_repeat_words"))
+
+
+def measure(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
+    """Metrics and verdict of every document: id, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, and the first rule that failed (null if none).
+
+    The base metrics are asked of every document. Of the other rules, a document is put to each only if
+    the base and the rules before left it; their order is estimated on the sample, unless ``in_order``
+    says that ``rules`` have it."""
+    rules, text = rules or production_rules(), F.col("text")
+    base, others = [r for r in rules if r.base], [r for r in rules if not r.base]
+    if not in_order:
+        local = materialize(metrics(sample(docs, text_col)), "rule-metrics")
+        others = by_gain(estimate(local, [(r, r.after_metrics(text)) for r in others]))
+    flat = metrics(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
+    few = F.col("n_words") < 50
+    flat = flat.withColumn("base_failed", few | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    judged = flat.withColumn("failed_rule", first_failure(text, [*base, *others], lambda r: r.after_metrics(text)))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.col("failed_rule").isNull()).alias("kept"), "failed_rule",
