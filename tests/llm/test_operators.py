@@ -382,7 +382,7 @@ def test_op9_ranks_are_a_suffix_array(spark):
     rng = random.Random(6)
     seq = {r: [rng.choice("ab") for _ in range(rng.randint(2, 9))] for r in range(12)}
     rows = [(r * 100 + k, r, r, ord(c), 1) for r, s in seq.items() for k, c in enumerate(s)]
-    ranked = linededup.suffix_ranks(spark.createDataFrame(rows, "pos long, seg long, row long, rank0 long, words int"), 2).collect()
+    ranked = linededup.suffix_ranks(spark.createDataFrame(rows, "pos long, seg long, row long, rank0 long, words int"), 2)[0].collect()
     key = lambda r, n: seq[r.row][r.pos % 100 : r.pos % 100 + n]
     for n, name in ((1, "rank0"), (2, "rank1"), (4, "rank2")):
         for a, b in itertools.combinations(ranked, 2):

@@ -28,55 +28,62 @@ from pyspark.sql import functions as F
 
 from tomewright.llm.textbatches import map_batches
 from tomewright.operators.ordered import prefix_sum
-from tomewright.session import materialize
+from tomewright.session import forget, materialize
 
 MIN_WORDS = 50
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sequences(rows: DataFrame) -> DataFrame:
-    """(row, start, ids, words) of each text of (row, doc_id, text): its lines' ids and numbers of words,
+    """(row, start, ids, words) of each text of (row, doc_id, text): its lines' 128-bit hashes and numbers of words,
     and the number of lines in all texts before."""
     with_words = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(_WORD))
     lines = rows.where(F.col("text").isNotNull()).select("row", "doc_id", with_words.alias("lines")).where(F.size("lines") > 0)
     lines = lines.select(
         "row", "doc_id", F.size("lines").cast("long").alias("n"),
-        F.transform("lines", lambda x: F.xxhash64(x)).alias("ids"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORD))).alias("words"),
+        F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("ids"), F.transform("lines", lambda x: F.regexp_count(x, F.lit(_WORD))).alias("words"),
     )
     lines = materialize(lines, "lines")
     starts = prefix_sum(lines.select("row", "doc_id", "n"), "doc_id", "n", "start", ties=["row"])
-    return materialize(lines.join(starts.select("row", "start"), "row").select("row", "start", "ids", "words"), "sequences")
+    found = materialize(lines.join(starts.select("row", "start"), "row").select("row", "start", "ids", "words"), "sequences")
+    forget(lines)
+    return found
 
 
 def stretches(texts: DataFrame) -> DataFrame:
-    """(pos, seg, row, rank0, words) of each line that occurs twice or more; lines of a ``seg`` are neighbours."""
+    """(pos, seg, row, rank0, words) of each line that occurs twice or more; lines of a ``seg`` are neighbours,
+    and equal lines have the same rank0."""
     lines = texts.select("row", "start", F.posexplode(F.arrays_zip("ids", "words")).alias("at", "x"))
-    lines = lines.select("row", (F.col("start") + F.col("at")).alias("pos"), F.col("x.ids").alias("rank0"), F.col("x.words").alias("words"))
-    twice = lines.groupBy("rank0").agg(F.count("*").alias("c")).where("c > 1").select("rank0")
-    found = lines.join(twice, "rank0")
+    lines = lines.select("row", (F.col("start") + F.col("at")).alias("pos"), F.col("x.ids.a").alias("a"), F.col("x.ids.b").alias("b"), F.col("x.words").alias("words"))
+    # a table, so that both sides of the join are plain exchanges, of which Spark splits a very common line's
+    twice = lines.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b", F.monotonically_increasing_id().alias("rank0"))
+    found = lines.join(materialize(twice, "repeated"), ["a", "b"])
     place = F.row_number().over(Window.partitionBy("row").orderBy("pos"))
     return found.withColumn("seg", F.col("pos") - place).select("pos", F.xxhash64("row", "seg").alias("seg"), "row", "rank0", "words")
 
 
-def double(positions: DataFrame, level: int) -> DataFrame:
-    """Add ``rank{level+1}``, the order of 2**(level+1) lines, from ``rank{level}``."""
+def double(positions: DataFrame, level: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Add ``rank{level+1}``, the order of 2**(level+1) lines, from ``rank{level}``; also the tables that this reads."""
     k, own = 1 << level, f"rank{level}"
     after = F.lead(own, k).over(Window.partitionBy("seg").orderBy("pos"))
     paired = materialize(positions.withColumn("after", after), f"pairs{level}")
     # ids that grow with the range partition and the place in it are an order of the sorted pairs
     distinct = paired.select(own, "after").distinct()
     order = [F.col(own).asc(), F.col("after").asc_nulls_first()]
-    ranked = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rank", F.monotonically_increasing_id())
-    ranked = materialize(ranked, f"ranks{level}").select(F.col(own).alias("_own"), F.col("after").alias("_after"), "_rank")
+    ranks = materialize(distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_rank", F.monotonically_increasing_id()), f"ranks{level}")
+    ranked = ranks.select(F.col(own).alias("_own"), F.col("after").alias("_after"), "_rank")
     same = (paired[own] == ranked["_own"]) & paired["after"].eqNullSafe(ranked["_after"])
-    return paired.join(ranked, same).drop("_own", "_after", "after").withColumnRenamed("_rank", f"rank{level + 1}")
+    return paired.join(ranked, same).drop("_own", "_after", "after").withColumnRenamed("_rank", f"rank{level + 1}"), [paired, ranks]
 
 
-def suffix_ranks(positions: DataFrame, levels: int) -> DataFrame:
-    """Ranks of 1, 2, 4, ... 2**levels lines of every position."""
+def suffix_ranks(positions: DataFrame, levels: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Ranks of 1, 2, 4, ... 2**levels lines of every position; also the tables that this reads."""
+    spent: list[DataFrame] = []
     for level in range(levels):
-        positions = double(positions, level)
-    return positions
+        positions, read = double(positions, level)
+        forget(*spent)
+        spent = read
+    return positions, spent
 
 
 def _windows(min_words: int, levels: int):
@@ -113,12 +120,14 @@ def _windows(min_words: int, levels: int):
 def later_copies(texts: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     """(row, pos, n): runs of n lines from the line of number pos (over all texts) that occur earlier too."""
     levels = max(0, min_words.bit_length() - 1)
-    ranked = suffix_ranks(materialize(stretches(texts), "stretches"), levels)
+    repeated = materialize(stretches(texts), "stretches")
+    ranked, spent = suffix_ranks(repeated, levels)
     fields = ["pos", F.col("words").cast("long").alias("words"), *[f"rank{i}" for i in range(levels + 1)]]
     whole = ranked.groupBy("row", "seg").agg(F.collect_list(F.struct(*fields)).alias("lines")).select("row", "lines")
     windows = materialize(map_batches(whole, *_windows(min_words, levels)), "windows")
-    first = windows.groupBy("n", "a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1")
-    return windows.join(first.select("n", "a", "b", "first"), ["n", "a", "b"]).where("first < pos").select("row", "pos", "n")
+    forget(repeated, *spent)
+    first = materialize(windows.groupBy("n", "a", "b").agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "intervals")
+    return windows.join(first, ["n", "a", "b"]).where("first < pos").select("row", "pos", "n")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
