@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,15 +152,18 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         white = str.maketrans("", "", " \t\n\x0b\x0c\r")
         for batch in batches:
             by_name = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
-            made, counts, deleted = [], [], []
-            for text, gone in zip(by_name[text_col].to_pylist(), by_name["__gone"].to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
+            texts, gone = by_name[text_col], by_name["__gone"]
+            # a line with a word is matched from the word to its end
+            counts = pc.fill_null(pc.count_substring_regex(texts, pattern=r"[^\x20\x09-\x0D][^\n]*"), 0).cast(pa.int64())
+            changed = pc.is_valid(gone)
+            made = []
+            for text, at in zip(texts.filter(changed).to_pylist(), gone.filter(changed).to_pylist(), strict=True):
+                lines = text.split("\n")
                 real = [k for k, x in enumerate(lines) if x.translate(white)]
-                drop = {real[k] for k in gone or ()}
-                made.append("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else text)
-                counts.append(len(real))
-                deleted.append(len(drop))
-            by_name[text_col] = pa.array(made, by_name[text_col].type)
-            yield pa.RecordBatch.from_arrays([*(by_name[c] for c in names), pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], names=[*names, "n_lines", "n_deleted"])
+                drop = {real[k] for k in at}
+                made.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
+            by_name[text_col] = pc.replace_with_mask(texts, changed, pa.array(made, texts.type))
+            deleted = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*(by_name[c] for c in names), counts, deleted], names=[*names, "n_lines", "n_deleted"])
 
     return map_batches(both.select(*names, "__gone"), run, f"{kinds}, n_lines long, n_deleted long")
