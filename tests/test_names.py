@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tomewright.functions import columns as C
-from tomewright.functions import names, udfs
+from tomewright.functions import names, stems, udfs
 
 
 @pytest.mark.parametrize(("raw", "want"), [
@@ -45,15 +45,15 @@ def test_parse_name(name, want):
 
 
 def test_discs_and_groups():
-    assert names.split_disc_marker("The Martian - Disc 2") == ("The Martian", 2)
-    assert names.split_disc_marker("Part IV") == ("", 4)
-    assert names.split_disc_marker("Fahrenheit 451") == ("Fahrenheit 451", None)
-    assert [names.disc_child_number(x) for x in ("03", "D01", "(6of17)", "Part VII", "1_ Part I - The World", "Home")] == [3, 1, 6, 7, 1, None]
-    assert names.prefix_key("Lee Child - Reacher 27 - Personal 12") == "lee child - reacher 27 - personal"
-    assert names.prefix_key("Opening Credits") is None
-    grouped = names.group_files(["d/Dawn Girl - 01.mp3", "d/Dawn Girl - 02.mp3", "d/Bonus.mp3", "d/Other.m4b"], False)
+    assert stems.split_disc_marker("The Martian - Disc 2") == ("The Martian", 2)
+    assert stems.split_disc_marker("Part IV") == ("", 4)
+    assert stems.split_disc_marker("Fahrenheit 451") == ("Fahrenheit 451", None)
+    assert [stems.disc_child_number(x) for x in ("03", "D01", "(6of17)", "Part VII", "1_ Part I - The World", "Home")] == [3, 1, 6, 7, 1, None]
+    assert stems.prefix_key("Lee Child - Reacher 27 - Personal 12") == "lee child - reacher 27 - personal"
+    assert stems.prefix_key("Opening Credits") is None
+    grouped = stems.group_files(["d/Dawn Girl - 01.mp3", "d/Dawn Girl - 02.mp3", "d/Bonus.mp3", "d/Other.m4b"], False)
     assert grouped == [("Dawn Girl", ["d/Dawn Girl - 01.mp3", "d/Dawn Girl - 02.mp3", "d/Bonus.mp3"]), ("Other", ["d/Other.m4b"])]
-    assert names.group_hint(["028 - Prodigal_Son.mp3", "029 - Prodigal_Son.mp3"]) == "Prodigal Son"
+    assert stems.group_hint(["028 - Prodigal_Son.mp3", "029 - Prodigal_Son.mp3"]) == "Prodigal Son"
 
 
 def test_paths():

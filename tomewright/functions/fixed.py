@@ -1,5 +1,7 @@
 """Lists, tables and patterns that results depend on, stated as they must be."""
 
+import re
+
 # --- fixed values: file kinds ---
 AUDIO_EXTS = (".m4b", ".m4a", ".mp3", ".flac", ".ogg", ".opus", ".wma", ".aac")
 EBOOK_EXTS = (".epub", ".mobi", ".azw", ".azw3", ".pdf")
@@ -57,9 +59,9 @@ JUNK_TOKEN = (
     r"unabridged|abridged|unabr|unb|retail|hq|ipod|itunes|\d{2,3}\s*k(?:bps|b/s|bit)?|\d{2,3}kbps|"
     r"\d{2}(?:\.\d)?\s*khz|\d+(?:\.\d+)?\s*(?:mb|gb|mib|gib))"
 )
-JUNK_TAIL = (
-    r"(?:[\s._\-]+|^)(?:[\(\[\{]\s*" + JUNK_TOKEN + r"(?:[\s,]+" + JUNK_TOKEN + r")*\s*[\)\]\}]|" + JUNK_TOKEN + r")\s*$"
-)
+JUNK_UNIT = r"(?:[\(\[\{]\s*" + JUNK_TOKEN + r"(?:[\s,]+" + JUNK_TOKEN + r")*\s*[\)\]\}]|" + JUNK_TOKEN + r")"
+BODY_AND_JUNK = r"^(?P<body>.*?\S.*?)(?:[\s._\-]+" + JUNK_UNIT + r"\s*){0,8}$"
+AUDIOBOOK_HEAD = r"^\s*(?:full\s+)?audio\s*book[\s_\-:]+"
 RELEASE_TAG = (
     r"^\s*[\[\{](?:(?i:[\w-]+\.(?:to|com|org|net|me|cc|io|info|ws|se|nz|li|is))|[A-Z]{2,5}|TGx|"
     r"(?i:audiobookbay|rarbg|yts))[\]\}]\s*[-_.]?\s*"
@@ -89,8 +91,8 @@ PLACEHOLDER_TITLE = r"(?i)^(untitled|unknown.*|track \d+|chapter \d+|\d{1,3})$"
 #: Fields of a book that enrichment only fills where they are empty.
 FILL_FIELDS = ("narrator", "year", "publisher", "description", "genres", "asin", "isbn", "language")
 EDITABLE = (
-    "title", "author", "series", "series_index", "narrator", "year", "publisher", "description", "genres", "asin",
-    "isbn", "language",
+    "author", "series", "series_index", "title", "narrator", "year", "publisher", "description", "genres",
+    "language", "asin", "isbn",
 )
 KNOWN_NARRATORS = (
     "scott brick", "ray porter", "luke daniels", "steven pacey", "tim gerard reynolds", "r.c. bray", "rc bray",
@@ -109,3 +111,89 @@ GENERIC_TITLES = (
     "book two", "book 1", "book 2", "part one", "part two", "part 1", "part 2", "chapter one", "chapter 1",
     "untitled", "the gift", "the return", "the hunt", "the escape",
 )
+
+# --- fixed values: patterns of names ---
+ANY_ID = r"\s*\(\d+\)\s*$"
+CATALOG_ID = r"\s*\(\d{3,}\)\s*$"
+BETWEEN_AUTHORS = r"\s*(?:[;/&]|\band\b|\bwith\b)\s*"
+NUMBERED_FOLDER = r"^(?P<word>book|vol(?:ume)?|part|#)?\s*(?P<n>\d{1,3}(?:\.\d)?)\s*[-. ]\s*(?P<title>.+)$"
+FOLDER_BY = r"^(?P<what>.+?)\s+by\s+(?P<who>[A-Z][\w.'\- ]+)$"
+FILE_ENDING = r"\.(?:doc|docx|txt|rtf|lit|htm|html|epub|mobi|azw3?|pdf)$"
+BRACKETS = r"\s*[\(\[][^\)\]]*[\)\]]"
+BRACKETS_AT_END = r"(?:\s*[\(\[][^\)\]]*[\)\]])+\s*$"
+#: Rewrites of a name before it is read: (pattern, replacement, flags).
+NAME_RULES = (
+    (r"\.(m4b|m4a|mp3|flac|ogg|opus|wma|aac|epub|mobi|azw3?|pdf)$", "", re.I),
+    (r"[\[\(](?:unabridged|abridged|audiobook|\d{4}|mp3|64k|128k)[\]\)]", "", re.I),
+    (r"^\s*(?:19|20)\d{2}\s*[-._]\s*", "", 0),
+)
+#: Rewrites of a title or series in order; {author} and {series} stand for those values.
+TEXT_RULES = (
+    (NOISE_PAREN, "", re.I),
+    (r"\s*[\(\[]\s*\d{1,3}\s*of\s*\d{1,3}\s*[\)\]]", "", 0),
+    (r"\s*\bB0[0-9A-Z]{8}\b", "", re.I),
+    (r"\s*[\(\[]\s*\d+\s*(?:mp3s?|files|tracks|discs?|parts?|cds?|books?)\b[^\)\]]*[\)\]]", "", re.I),
+    (r"[\s\-_.,]*\b(?:unb|unabr|unabridged|abridged)\b[\s\-_.,]*", " ", re.I),
+    (r"\s+\d{10}(?:\d{3})?\s*$", "", 0),
+    (r"^[A-Z]{1,4}\s?\d{1,3}\s+(?=[A-Za-z])", "", 0),
+    (r"^{author}\s*[-:]\s*", "", re.I),
+    (r"^(?:collection|novel|audiobook)\s*[-:]\s*", "", re.I),
+    (r"[\s:,\-]*\bA Novel\s*$", "", re.I),
+    (r"(\w)_ (?=\w)", r"\1: ", 0),
+    (r"(\w)- (?=[A-Za-z])", r"\1: ", 0),
+    (r"\s+by\s+{author}\s*$", "", re.I),
+    (r"\s*[\(\[]\s*{series}(?:\s*(?:,|#|book)?\s*\d+)?\s*[\)\]]", "", re.I),
+)
+#: A series' name at the end of a title: its own, and any with a number.
+SERIES_ECHO = (
+    (r"\s*[:\-,(]\s*(?:the\s+)?{series}[^,:()]*?(?:,?\s*(?:book|bk|vol(?:ume)?|#)\s*\d+)?\s*\)?\s*$", "", re.I),
+    (r"\s*[:\-]\s*[^:]*?\b(?:book|bk|vol(?:ume)?)\s*\d+\s*$", "", re.I),
+)
+VOLUME_RANGE = (
+    r"[\(\[]\s*(?:books?|vols?\.?|volumes?)?\s*(\d{1,3}\s*[-–]\s*\d{1,3})\s*[\)\]]|"
+    r"\b(?:books?|vols?\.?|volumes?)\s+(\d{1,3}\s*[-–]\s*\d{1,3})\b"
+)
+TITLE_BY = r"^(?P<title>.+?)\s+by\s+(?P<author>[A-Za-z][\w.'\- ]+)$"
+BRACKETED_SERIES = r"^[\[\(](?P<series>[^\]\)]+?)\s+(?P<series_index>\d{1,3}(?:\.\d+)?)[\]\)]\s*[-:]?\s*(?P<title>.+)$"
+AUTHOR_SERIES_TITLE = (
+    r"^(?P<author>[A-Z][\w.']+ [A-Z][\w.']+)\s+(?:Trilogy|Series|Saga)\s+(?P<series>.+?)\s*[-\s]+"
+    r"(?P<series_index>\d{1,2})[-\s]*(?P<title>[A-Za-z].+)$"
+)
+PERSON_DASH_TITLE = r"^(?P<author>[^-\d]+?)\s*-\s*(?P<title>[^-]*\S\s+\S[^-]*)$"
+SERIES_NUMBER = r"^(?P<series>[A-Za-z][^-]*?)\s+(?P<series_index>\d{1,3}(?:\.\d+)?)$"
+SERIES_AT_END = r"^(?P<series>.+?)(?:\s+series)?,?\s*(?:book|bk|vol(?:ume)?|#)\s*(?P<series_index>\d{1,3})\s*$"
+SERIES_BEFORE_TITLE = (
+    (
+        r"^(?P<series>.+?)\s*(?:,|-)?\s*(?:book|bk|vol(?:ume)?|#)\s*(?P<series_index>\d+(?:\.\d+)?)\s*[-:]\s*"
+        r"(?P<title>.+)$",
+        re.I,
+    ),
+    (r"^(?P<series>.+?)\s+(?P<series_index>\d{1,2}(?:\.\d+)?)\s*[-:]\s*(?P<title>.+)$", 0),
+)
+INDEX_TITLE = r"^(?P<series_index>\d{1,2}(?:\.\d)?)\s*[-. ]\s*(?P<title>.+)$"
+
+# --- fixed values: patterns of numbered parts ---
+_COUNT = r"(?:\s*(?:of|/)\s*\d{1,3})?"
+DISC = rf"{DISC_WORD}[\s._\-]*(?P<n>\d{{1,3}}|{ROMAN}){_COUNT}"
+DISC_FOLDER = (
+    r"(\d{1,3})|[A-Z]{1,2}(\d{1,3})|[\(\[]?\s*(\d{1,3})\s*of\s*\d{1,3}\s*[\)\]]?|"
+    rf"(?:\d{{1,3}}[\s._\-)]+)?{DISC_WORD}[\s._\-]*(\d{{1,3}}|{ROMAN}){_COUNT}(?:\s*[-:_.]\s*.+)?"
+)
+ENCODED = r"\d\s*(?:k|kbps|mb|gb|khz)\b|\b(?:mp3|m4b|aac|vbr|cbr)\b"
+_RANGE = r"(?:\s*(?:of|/|-|to)\s*\d{1,3}(?!\d))?"
+PART_NUMBER = (
+    r"[\s._\-\(\[]*(?:(?<![A-Za-z])(?:disc|disk|cd|part|pt|side|tape|chapter|chap|ch|track|trk|episode|ep)"
+    rf"[\s._\-]*(?:\d{{1,3}}|{ROMAN})(?![a-z]){_RANGE}"
+    rf"|(?<![A-Za-z\d])[A-Za-z]{{1,5}}\d{{1,3}}(?:\.\d{{1,3}})?(?!\d){_RANGE}"
+    rf"|(?<!\d)\d{{1,3}}(?:\.\d{{1,3}})?(?!\d){_RANGE})"
+)
+PART_WORD = r"disc|cd|part|track|chapter"
+LAST_NUMBER = rf"^(?P<mid>.*?\S)[\s._\-]+(?P<n>\d{{1,3}}(?!\d|\.\d){_RANGE})\s*$"
+CHAPTER_BEFORE = r"\b(?:chapter|chap|ch|track|trk|part|pt|disc|disk|cd|episode|ep)\.?\s*$"
+INDEX_BEFORE = r"(?:\b(?:book|bk|vol|volume|no|number|season|series)\.?|#)\s*$"
+CODE_BEFORE = r"\b[A-Z]{2,4}\s*$"
+BARE_CHAPTER = r"(?:chapter|ch|track|part)?\s*\d*"
+NUMBER_FIRST = r"^\d{1,3}\s*[-–]\s*"
+NUMBER_AROUND = r"[\s._\-]*(?<!\d)\d{1,2}$"
+PART_OF = r"[\s._\-]+(?:of|/)[\s._\-]*\d{1,3}$"
+PART_OF_BRACKET = r"[\s._\-]*[\(\[]\s*\d{1,3}(?:\s*(?:of|/)\s*\d{1,3})?\s*[\)\]]"

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tomewright.functions import names
+from tomewright.functions import names, stems
 
 
 def strings(*fields: str) -> T.StructType:
@@ -49,8 +49,8 @@ ascii_fold = _plain(names.ascii_fold, T.StringType())
 author_key = _plain(names.author_key, T.StringType())
 clean_author = _plain(names.clean_author, T.StringType())
 strip_release_junk = _plain(names.strip_release_junk, T.StringType())
-disc_child_number = _plain(names.disc_child_number, T.IntegerType())
-prefix_key = _plain(names.prefix_key, T.StringType())
+disc_child_number = _plain(stems.disc_child_number, T.IntegerType())
+prefix_key = _plain(stems.prefix_key, T.StringType())
 
 
 @F.pandas_udf(META)
@@ -65,7 +65,7 @@ def infer_from_path(s: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StructType([T.StructField("base", T.StringType()), T.StructField("disc", T.IntegerType())]))
 def split_disc_marker(s: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([names.split_disc_marker(x) for x in s.fillna("")], columns=["base", "disc"]).astype({"disc": "Int32"})
+    return pd.DataFrame([stems.split_disc_marker(x) for x in s.fillna("")], columns=["base", "disc"]).astype({"disc": "Int32"})
 
 
 @F.pandas_udf(strings("text", "narrator"))

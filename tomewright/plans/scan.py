@@ -29,7 +29,10 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     none = F.expr(EMPTY_META)
     many = F.size("files") > 1
     leaf = C.strip_catalog_id(C.basename("book_dir"))
-    folder = F.when(C.is_junk_folder(leaf), "").otherwise(udfs.split_disc_marker(leaf)["base"])
+    parent = C.basename(C.dirname("book_dir"))
+    # a number below an author's folder is a title ('George Orwell/1984'), else a year or a count
+    numeric = leaf.rlike(r"^\d{1,4}$") & (parent != "") & C.looks_like_author(parent)
+    folder = F.when(C.is_junk_folder(leaf) & ~numeric, "").otherwise(udfs.split_disc_marker(leaf)["base"])
     stem = F.when(many & (F.col("kind") == "audio"), "").otherwise(udfs.split_disc_marker(C.stem("_first"))["base"])
     rows = rows.withColumns({
         "opf": F.coalesce("opf", none), "json": F.coalesce("json", none), "path": udfs.infer_from_path("book_dir"),
@@ -40,11 +43,14 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     ebook = F.col("kind") == "ebook"  # whose file name goes before its folder's
     rows = rows.withColumns({"hint_meta": resolve.ordered_name("hint", "_known"), "folder": resolve.ordered_name(F.when(ebook, F.col("_stem")).otherwise(F.col("_folder")), "_known"), "stem": resolve.ordered_name(F.when(ebook, F.col("_folder")).otherwise(F.col("_stem")), "_known"), "hint_text": F.col("hint")})
     rows = rows.drop("hint").withColumnRenamed("hint_meta", "hint")
-    parent = C.basename(C.dirname("book_dir"))
     rows = resolve.merge_evidence(rows, resolve.order(**trust))
     lone = (F.col("author") == "") & (parent != "") & C.looks_like_author(parent) & ~parent.rlike("(?i)" + tree.fixed.SERIES_WORDS)
     fallback = F.when(F.col("hint_text") != "", F.col("hint_text")).when(F.col("_folder") != "", F.col("_folder")).otherwise(C.stem("_first"))
     rows = rows.withColumns({"author": F.when(lone, parent).otherwise(F.col("author")), "title": F.when(F.col("title").rlike(r"\p{L}|\p{N}{3,}"), F.col("title")).otherwise(fallback)})
+    # which of title and series an audio book's folder names is the title
+    said = F.lower(udfs.clean_text(F.regexp_replace("_folder", r"^(?:19|20)\d{2}\s*[-._]\s*", ""), F.col("author"), F.lit(""))["text"])
+    swap = ~ebook & (F.col("series") != "") & (F.col("title") != "") & (said != "") & (udfs.similar(said, "series") > 0.85) & (udfs.similar(said, "title") < 0.6)
+    rows = rows.withColumns({"title": F.when(swap, F.col("series")).otherwise(F.col("title")), "series": F.when(swap, F.col("title")).otherwise(F.col("series"))})
     rows = rows.withColumn("_done", resolve.finished("title", "author", "series", "series_index", F.concat_ws(" ", C.basename("book_dir"), "hint_text")))
     books = rows.select(
         F.xxhash64("book_dir", "kind", "files").alias("id"), "kind", "files", "extras", F.col("book_dir").alias("src_display"), "_done.*", "meta_source", "fingerprint",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tomewright.functions import columns as C
-from tomewright.functions import fixed, names, udfs
+from tomewright.functions import fixed, names, stems, udfs
 from tomewright.operators.schema import FILE
 
 
@@ -71,17 +71,17 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
 def _folder_books(rows: pd.DataFrame) -> pd.DataFrame:
     """The audio books of one folder's files (and its absorbed discs')."""
     audio = rows[rows.ext.isin(fixed.AUDIO_EXTS)]
-    paths = sorted(audio.rel_path, key=names.natural_key)
+    paths = sorted(audio.rel_path, key=stems.natural_key)
     sidecar = bool(((rows.name.str.lower() == "metadata.json") | (rows.ext == ".opf"))[rows.dir == rows.book_dir].any())
     spans = audio.dir.nunique() > 1
-    groups = [(None, paths)] if spans else names.group_files(paths, sidecar)
+    groups = [(None, paths)] if spans else stems.group_files(paths, sidecar)
     out = []
     for hint, files in groups:
-        files = sorted(files, key=names.disc_order)
+        files = sorted(files, key=stems.disc_order)
         if hint is None and len(files) > 1 and not spans:
-            hint = names.group_hint(files)
+            hint = stems.group_hint(files)
         useful = bool(hint) and (len(groups) > 1 or bool(names.parse_name(hint).get("author")))
-        extras = sorted(rows[rows.ext.isin(fixed.EXTRA_EXTS)].rel_path, key=names.natural_key) if len(groups) == 1 else []
+        extras = sorted(rows[rows.ext.isin(fixed.EXTRA_EXTS)].rel_path, key=stems.natural_key) if len(groups) == 1 else []
         base = rows.base.iloc[0]
         out.append((rows.book_dir.iloc[0], "audio", files, extras, base or (hint if useful else "")))
     return pd.DataFrame(out, columns=["book_dir", "kind", "files", "extras", "hint"])
