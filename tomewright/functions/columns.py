@@ -46,10 +46,12 @@ def series_index(idx: Column | str) -> Column:
 
 
 def _padded(number: Column) -> Column:
-    """A number with two digits or more before the point, and two at most after it."""
+    """A number with two digits or more before the point, and two significant ones at most after it."""
     whole = F.when(number < 0, F.ceil(number)).otherwise(F.floor(number)).cast("long")
     width = F.greatest(F.lit(2), F.length(whole.cast("string")))
-    rest = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", F.abs(number - whole)), "^0", ""), r"\.?0+$", "")
+    part = F.abs(number - whole)
+    digits = F.when(part >= 0.1, F.bround(part, 2)).when(part >= 0.01, F.bround(part, 3)).when(part >= 0.001, F.bround(part, 4)).otherwise(F.bround(part, 5))
+    rest = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", digits), r"0+$", ""), "^0", F.when(number < 0, "-0").otherwise(""))
     return F.concat(F.lpad(whole.cast("string"), width, "0"), F.when(number == whole, "").otherwise(rest))
 
 
@@ -121,12 +123,11 @@ def natural_key(s: Column | str) -> Column:
 
 
 def html_to_text(html: Column | str) -> Column:
-    """Text of a page: without scripts, styles and tags, common entities resolved, white space collapsed."""
+    """Text of a page: without scripts, styles and tags, entities resolved, white space collapsed."""
+    from tomewright.functions.udfs import unescape
+
     s = F.regexp_replace(text(html), r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(value))
-    return squeeze(s)
+    return squeeze(unescape(F.regexp_replace(s, r"<[^>]+>", " ")))
 
 
 def _checksum13(digits: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +44,12 @@ def _pair(function, kind: T.DataType = T.DoubleType()):  # noqa: B008
     return run
 
 
+@F.pandas_udf(T.StringType())
+def unescape(s: pd.Series) -> pd.Series:
+    """Every entity of HTML resolved; texts without one aren't touched."""
+    return s.where(~s.str.contains("&", regex=False, na=False), s.map(html.unescape, na_action="ignore"))
+
+
 similar = _pair(names.similar)
 ratio = _pair(names.ratio)
 token_sort = _pair(names.token_sort)

@@ -81,6 +81,21 @@ def remember(books: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.withColumns(put).select(*books.columns), corrections
 
 
+def merge_remembered(books: DataFrame, corrections: DataFrame) -> DataFrame:
+    """Ebooks that were merged into another before are merged again: the keeper takes the files whose
+    formats it lacks, and the merged book goes."""
+    to = corrections.where(F.map_contains_key("fields", F.lit("_merge_into"))).select(F.col("fp").alias("fingerprint"), F.element_at("fields", F.lit("_merge_into")).alias("_keep"))
+    first = books.where("coalesce(fingerprint, '') <> ''").groupBy(F.col("fingerprint").alias("_keep")).agg(F.max("id").alias("_keeper"))
+    gone = books.where("kind = 'ebook'").join(to, "fingerprint").join(first, "_keep").where("id <> _keeper")
+    parts = gone.select("_keeper", "id", F.posexplode("files").alias("_p", "_f")).withColumn("_e", C.extension("_f"))
+    once = parts.groupBy("_keeper", "_e").agg(F.min_by("_f", F.struct("id", "_p")).alias("_f"))
+    more = once.groupBy("_keeper").agg(F.array_sort(F.collect_list(F.struct("_e", "_f"))).alias("_more"))
+    rows = books.join(gone.select("id").distinct(), "id", "left_anti").join(more, F.col("id") == F.col("_keeper"), "left")
+    have = F.transform("files", lambda f: C.extension(f))
+    lacking = F.transform(F.filter("_more", lambda x: ~F.array_contains(have, x["_e"])), lambda x: x["_f"])
+    return rows.withColumn("files", F.concat("files", F.coalesce(lacking, F.array().cast("array<string>")))).select(*books.columns)
+
+
 def sizes(tables: dict[str, DataFrame]) -> DataFrame:
     """(table, n): rows of every decisions table."""
     out = None

@@ -12,8 +12,8 @@ from tomewright.session import materialize
 
 
 def records(books: DataFrame) -> DataFrame:
-    """What duplicate search compares of each book that has a title and isn't skipped."""
-    rows = books.where((F.col("status") != "skipped") & (C.text("title") != ""))
+    """What duplicate search compares of each book that has a title and isn't done with."""
+    rows = books.where(~F.col("status").isin(*fixed.DONE_STATUSES) & (C.text("title") != ""))
     first_author = F.get(F.split(C.text("author"), ","), F.lit(0))
     rows = rows.withColumns({"_fold": udfs.ascii_fold("title"), "ak": F.when(C.text("author") == "", "").otherwise(udfs.author_key(first_author))})
     rows = rows.withColumns({"nt": C.norm_title("_fold"), "mt": C.main_title("_fold")})
@@ -26,10 +26,14 @@ def records(books: DataFrame) -> DataFrame:
     )
 
 
-def equal_pairs(rows: DataFrame, keys: list[str], id_col: str = "id", largest: int = 50) -> DataFrame:
+def equal_pairs(rows: DataFrame, keys: list[str], id_col: str = "id", largest: int | None = 50) -> DataFrame:
     """(src, dst, keys) of rows that agree in ``keys``, for keys that 2 to ``largest`` rows have.
 
-    The sizes are counted before the join, so a key that too many rows share never meets it."""
+    The sizes are counted before the join, so a key that too many rows share never meets it. Without ``largest``
+    the rows of a key are linked in a chain, which has the same components and one link a row."""
+    if largest is None:
+        before = F.lag(id_col).over(Window.partitionBy(*keys).orderBy(id_col))
+        return rows.select(*keys, before.alias("src"), F.col(id_col).alias("dst")).where("src IS NOT NULL").select("src", "dst", *keys)
     sized = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, largest)).drop("_n")
     kept = rows.join(sized, keys, "left_semi")
     a, b = kept.select(*keys, F.col(id_col).alias("src")), kept.select(*keys, F.col(id_col).alias("dst"))
@@ -52,34 +56,50 @@ def band_pairs(rows: DataFrame, key: str, value: str, tolerance, id_col: str = "
     return met.where(later & (F.col("_u") - F.col("_v") <= F.col("_w"))).select("src", "dst")
 
 
-def edges(recs: DataFrame, threshold: int = 90, largest: int = 50, block: int = 4000) -> DataFrame:
-    """All links between records, with their reason and score."""
-    full = lambda c: F.col(c) != ""
+#: The keys under which equal records are linked: condition, columns, reason.
+EQUAL = (
+    ("fp <> ''", ["fp"], "Identical files"),
+    ("length(asin) = 10", ["asin"], "Same ASIN"),
+    ("length(isbn) IN (10, 13)", ["isbn"], "Same ISBN"),
+    ("nt <> '' AND ak <> ''", ["kind", "nt", "ak"], "Same title and author"),
+)
+
+
+def left_out(recs: DataFrame, largest: int = 50, block: int = 4000) -> DataFrame:
+    """(reason, rows) of what the caps of ``edges`` leave unlinked: keys and surnames that too many records share."""
+    found = None
+    for condition, keys, reason in (*EQUAL, ("surname <> ''", ["kind", "surname"], "Similar title")):
+        n = recs.where(condition).groupBy(*keys).count().where(F.col("count") > (block if reason == "Similar title" else largest))
+        one = n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).select(F.lit(reason).alias("reason"), "rows")
+        found = one if found is None else found.unionByName(one)
+    return found.where("rows > 0")
+
+
+def _near(recs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of records of one kind and surname that agree in ``keys`` and differ in title."""
+    on = ["kind", "surname", *keys]
+    side = lambda x: recs.select(*on, *[F.col(c).alias(f"{c}{x}") for c in ("id", "ak", "nt")])
+    return side(1).join(side(2), on).where("id1 < id2 AND nt1 <> nt2").select("id1", "id2", "ak1", "ak2", "nt1", "nt2")
+
+
+def edges(recs: DataFrame, threshold: int = 90, largest: int | None = 50, block: int | None = 4000) -> DataFrame:
+    """All links between records, with their reason and score. Keys and surnames with more records than
+    ``largest`` and ``block`` are left out, and ``left_out`` counts them; None takes all of them in."""
     found = []
-    for condition, keys, reason in (
-        (full("fp"), ["fp"], "Identical files"),
-        (F.length("asin") == 10, ["asin"], "Same ASIN"),
-        (F.length("isbn").isin(10, 13), ["isbn"], "Same ISBN"),
-        (full("nt") & full("ak"), ["kind", "nt", "ak"], "Same title and author"),
-    ):
+    for condition, keys, reason in EQUAL:
         pairs = equal_pairs(recs.where(condition), keys, largest=largest)
         found.append(pairs.select("src", "dst", F.lit(reason).alias("reason"), F.lit(100).alias("score")))
-    in_block = recs.where(full("surname"))
-    sized = in_block.groupBy("kind", "surname").agg(F.count("*").alias("n")).where(F.col("n").between(2, block)).drop("n")
-    in_block = in_block.join(sized, ["kind", "surname"], "left_semi")
-    a, b = in_block.alias("a"), in_block.alias("b")
-    pairs = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.surname") == F.col("b.surname")) & (F.col("a.id") < F.col("b.id")))
-    same_main = (F.length("a.mt") >= 4) & (F.col("a.mt") == F.col("b.mt")) & (F.col("a.mnums") == F.col("b.mnums"))
-    near = same_main | (F.col("a.nums") == F.col("b.nums"))
-    # cheap predicates first, in a stage of their own: no order is promised around UDFs
-    close = pairs.where((F.col("a.nt") != F.col("b.nt")) & near).select(
-        F.col("a.id").alias("src"), F.col("b.id").alias("dst"), same_main.alias("same_main"), (F.col("a.nums") == F.col("b.nums")).alias("same_nums"),
-        F.col("a.ak").alias("ak1"), F.col("b.ak").alias("ak2"), F.col("a.nt").alias("nt1"), F.col("b.nt").alias("nt2"),
-    )
-    scored = close.withColumns({"by": udfs.similar("ak1", "ak2") * 100, "s": udfs.similar("nt1", "nt2") * 100})
-    scored = scored.where((F.col("ak1") == F.col("ak2")) | (F.col("by") >= 85))
-    found.append(scored.where("same_main").select("src", "dst", F.lit("Same title, other subtitle").alias("reason"), F.lit(100).alias("score")))
-    found.append(scored.where(~F.col("same_main") & F.col("same_nums") & (F.col("s") >= threshold)).select("src", "dst", F.lit("Similar title").alias("reason"), F.col("s").cast("int").alias("score")))
+    in_block = recs.where("surname <> ''")
+    if block is not None:
+        sized = in_block.groupBy("kind", "surname").agg(F.count("*").alias("n")).where(F.col("n").between(2, block)).drop("n")
+        in_block = in_block.join(sized, ["kind", "surname"], "left_semi")
+    # what a pair must agree in is its key, so a large surname meets only in part
+    main = _near(in_block.where("length(mt) >= 4"), ["mt", "mnums"]).withColumn("same_main", F.lit(True))
+    other = _near(in_block, ["nums"]).join(main.select("id1", "id2"), ["id1", "id2"], "left_anti").withColumn("same_main", F.lit(False))
+    scored = main.unionByName(other).withColumn("by", F.when(F.col("ak1") == F.col("ak2"), 100.0).otherwise(udfs.similar("ak1", "ak2") * 100)).where("by >= 85")
+    found.append(scored.where("same_main").select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Same title, other subtitle").alias("reason"), F.lit(100).alias("score")))
+    alike = scored.where("NOT same_main").withColumn("s", udfs.similar("nt1", "nt2") * 100).where(F.col("s") >= threshold)
+    found.append(alike.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Similar title").alias("reason"), F.col("s").cast("int").alias("score")))
     long = in_block.where((F.col("kind") == "audio") & (F.col("dur") >= 1200))
     same_length = band_pairs(long, "ak", "dur", lambda v: F.greatest(F.lit(3.0), v * 0.0005))
     found.append(same_length.select("src", "dst", F.lit("Same author and length").alias("reason"), F.lit(100).alias("score")))
@@ -109,10 +129,10 @@ def file_stats(books: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def groups(books: DataFrame, files: DataFrame, dismissed: DataFrame | None = None, threshold: int = 90) -> DataFrame:
+def groups(books: DataFrame, files: DataFrame, dismissed: DataFrame | None = None, threshold: int = 90, largest: int | None = 50, block: int | None = 4000) -> DataFrame:
     """(key, ids, reasons, keep, merge_formats, quality) of every duplicate group that wasn't dismissed, in order."""
     recs = materialize(records(books), "recs")
-    links = materialize(edges(recs, threshold), "edges")
+    links = materialize(edges(recs, threshold, largest, block), "edges")
     roots = connected_components(links)
     best = links.join(roots, links.src == roots.node).groupBy("root", "reason").agg(F.max("score").alias("score"))
     told = F.transform(F.array_sort(F.collect_list(F.struct(rank_of(F.col("reason")).alias("rank"), "reason", "score"))), lambda x: F.struct(x["reason"].alias("reason"), x["score"].alias("score")))

@@ -74,15 +74,14 @@ def detail(books: DataFrame, book_id: int, root: str = "") -> DataFrame:
     return books.where(F.col("id") == book_id).withColumn("file_list", short)
 
 
-def hold_reason(threshold: int, move: bool, min_confidence: int | None) -> Column:
-    """Why a book isn't transferred, or null; the first reason that applies counts."""
-    locked = F.size(F.array_intersect("locked", F.array(F.lit("title"), F.lit("author")))) == 2
-    held = F.when(C.text("health") != "", "damaged").when((C.text("author") == "") | (C.text("title") == ""), "incomplete")
+def hold_reason(threshold: int, move: bool, min_confidence: int | None = None, *, hold_damaged: bool = True, hold_review: bool = True) -> Column:
+    """Why a book isn't transferred, or null; the first reason that applies counts. A move takes only books that
+    are approved: sure enough, or with title and author locked; a copy holds back what is below ``min_confidence``."""
+    locked = F.size(F.array_intersect(F.coalesce("locked", F.array().cast("array<string>")), F.array(F.lit("title"), F.lit("author")))) == 2
+    held = F.when(F.lit(hold_damaged) & (C.text("health") != ""), "damaged").when(F.lit(hold_review) & ((C.text("author") == "") | (C.text("title") == "")), "incomplete")
     if move:
-        held = held.when((F.col("confidence") < threshold) & ~locked, "unapproved")
-    if min_confidence is not None:
-        held = held.when((F.col("confidence") < min_confidence) & ~locked, "low confidence")
-    return held
+        return held.when((F.col("confidence") < max(threshold, min_confidence or 0)) & ~locked, "unapproved")
+    return held.when(F.col("confidence") < min_confidence, "low confidence") if min_confidence else held
 
 
 def collisions(books: DataFrame, dest: str = "dest") -> DataFrame:
@@ -109,5 +108,10 @@ def export_csv(books: DataFrame, path: str) -> None:
     books.select(*EXPORT).orderBy(F.lower("author"), F.lower("series"), F.lower("title"), "id").write.csv(path, header=True)
 
 
+def journal_page(journal: DataFrame, limit: int = 100_000) -> DataFrame:
+    """What was done, newest first."""
+    return journal.orderBy(F.col("id").desc()).limit(limit)
+
+
 def export_journal(journal: DataFrame, path: str, limit: int = 100_000) -> None:
-    journal.orderBy(F.col("id").desc()).limit(limit).write.csv(path, header=True)
+    journal_page(journal, limit).write.csv(path, header=True)

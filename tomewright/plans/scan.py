@@ -58,7 +58,7 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     )
     books = conform(books)
     if aliases is not None and corrections is not None:
-        books = decisions.apply_memory(books, aliases, corrections)
+        books = decisions.merge_remembered(decisions.apply_memory(books, aliases, corrections), corrections)
     return resolve.narrator_pass(resolve.library_pass(materialize(books, "resolved")))
 
 

@@ -15,7 +15,7 @@ from tomewright.sources.metadata import online_record
 PERSON = "array<struct<name:string>>"
 PRODUCT = f"""struct<asin:string,title:string,subtitle:string,authors:{PERSON},narrators:{PERSON},runtime_length_min:int,
 series:array<struct<title:string,sequence:string>>,release_date:string,publisher_name:string,product_images:map<string,string>,
-publisher_summary:string,language:string>"""
+publisher_summary:string,language:string,category_ladders:array<struct<ladder:array<struct<name:string>>>>>"""
 DETAIL = f"""title string, subtitle string, seriesPrimary struct<name:string,position:string>, genres array<struct<name:string,type:string>>,
 narrators {PERSON}, authors {PERSON}, image string, summary string, isbn string"""
 VOLUMES = """items array<struct<volumeInfo:struct<title:string,subtitle:string,authors:array<string>,publishedDate:string,publisher:string,
@@ -46,8 +46,14 @@ def _struct(**known: Column) -> Column:
     return F.struct(*[F.coalesce(known.get(n, empty[kind]), empty[kind]).cast(kind).alias(n) for n, kind in fields])
 
 
-def _plain(html: Column) -> Column:
-    return C.html_to_text(html)
+def _product(p: Column) -> Column:
+    """A product with its subtitle, language, and the first four names of its category ladders."""
+    steps = F.transform(F.flatten(F.transform(p["category_ladders"], lambda x: x["ladder"])), lambda x: x["name"])
+    genres = F.slice(F.array_distinct(F.filter(steps, lambda n: F.coalesce(n, F.lit("")) != "")), 1, 4)
+    record = online_record(p)
+    for field, value in (("genres", F.array_join(genres, ", ")), ("subtitle", p["subtitle"]), ("language", F.initcap(p["language"]))):
+        record = record.withField(field, F.coalesce(value, F.lit("")))
+    return record
 
 
 def _volume(x: Column) -> Column:
@@ -57,7 +63,7 @@ def _volume(x: Column) -> Column:
     cover = F.concat(F.regexp_replace(F.regexp_replace(cover, "^http://", "https://"), r"&edge=curl|&zoom=\d", ""), F.lit("&fife=w1200"))
     return _struct(
         source=F.lit("Google Books"), title=v["title"], subtitle=v["subtitle"], author=F.array_join(F.slice(v["authors"], 1, 3), ", "), year=F.substring(v["publishedDate"], 1, 4),
-        publisher=v["publisher"], description=_plain(v["description"]), isbn=F.coalesce(number("ISBN_13"), number("ISBN_10")), genres=F.array_join(F.slice(v["categories"], 1, 3), ", "),
+        publisher=v["publisher"], description=v["description"], isbn=F.coalesce(number("ISBN_13"), number("ISBN_10")), genres=F.array_join(F.slice(v["categories"], 1, 3), ", "),
         language=v["language"], cover_url=cover,
     )
 
@@ -75,11 +81,12 @@ def candidates(answers: DataFrame) -> DataFrame:
     v = F.col("value")
     product = F.from_json(v, f"product {PRODUCT}, products array<{PRODUCT}>")
     products = F.concat(F.filter(F.array(product["product"]), lambda p: p.isNotNull()), F.coalesce(F.slice(product["products"], 1, 10), F.array().cast(f"array<{PRODUCT}>")))
-    found = F.when(F.col("kind") == "audible", F.transform(products, lambda p: online_record(p)))
+    found = F.when(F.col("kind") == "audible", F.transform(products, _product))
     found = found.when(F.col("kind") == "google", F.transform(F.slice(F.from_json(v, VOLUMES)["items"], 1, 6), _volume))
     found = found.when(F.col("kind") == "openlibrary", F.transform(F.slice(F.from_json(v, WORKS)["docs"], 1, 5), _work))
     rows = answers.where(C.text("value") != "").select("id", "ordinal", F.posexplode(found).alias("n", "c"))
-    return rows.where(C.text("c.title") != "").select("id", (F.col("ordinal") * 100 + F.col("n")).alias("ordinal"), "c")
+    plain = F.col("c").withField("description", C.html_to_text("c.description"))  # here, since no UDF runs in a lambda
+    return rows.where(C.text("c.title") != "").select("id", (F.col("ordinal") * 100 + F.col("n")).alias("ordinal"), plain.alias("c"))
 
 
 def merge_details(found: DataFrame, details: DataFrame) -> DataFrame:
@@ -89,7 +96,7 @@ def merge_details(found: DataFrame, details: DataFrame) -> DataFrame:
     genres = F.array_join(F.slice(F.transform(F.filter("d.genres", lambda g: g["type"] == "genre"), lambda g: g["name"]), 1, 4), ", ")
     told = {
         "series": F.col("d.seriesPrimary.name"), "series_index": F.col("d.seriesPrimary.position"), "genres": genres, "narrator": names_(F.col("d.narrators"), 4),
-        "isbn": C.valid_isbn("d.isbn"), "description": _plain(F.col("d.summary")), "cover_url": F.col("d.image"),
+        "isbn": C.valid_isbn("d.isbn"), "description": C.html_to_text("d.summary"), "cover_url": F.col("d.image"),
     }
     rows = found.join(d, (F.col("c.asin") == F.col("_asin")) & (C.text("c.asin") != ""), "left")
     c = F.col("c")
