@@ -59,6 +59,7 @@ clean_author = _plain(names.clean_author, T.StringType())
 strip_release_junk = _plain(names.strip_release_junk, T.StringType())
 disc_child_number = _plain(stems.disc_child_number, T.IntegerType())
 prefix_key = _plain(stems.prefix_key, T.StringType())
+file_group_key = _plain(stems.file_group_key, T.StringType())
 
 
 @F.pandas_udf(META)

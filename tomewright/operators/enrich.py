@@ -25,7 +25,8 @@ def probe(parts: DataFrame) -> DataFrame:
 def gather_covers(found: DataFrame, most: int = 8) -> DataFrame:
     """(id, cover, cover_info, cover_candidates) from (id, kind, path, origin, w, h, bytes, ordinal): images of 1,500 bytes or
     more, each once, best first; of equal scores the first found."""
-    rows = found.where((F.col("bytes") >= 1500) & (F.col("w") > 0)).dropDuplicates(["id", "path"])
+    nth = F.row_number().over(Window.partitionBy("id", "path").orderBy("ordinal"))
+    rows = found.where((F.col("bytes") >= 1500) & (F.col("w") > 0)).withColumn("_n", nth).where("_n = 1").drop("_n")
     rows = rows.withColumn("score", C.cover_score(F.col("w"), F.col("h"), F.col("kind")))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "ordinal"))
     rows = rows.withColumn("_r", rank).where(F.col("_r") <= most)

@@ -21,55 +21,6 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("state_counts", """
-SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'O') AS ready, count(*) FILTER (WHERE o_orderstatus = 'F') AS copied,
-  count(*) FILTER (WHERE o_orderstatus = 'P') AS review,
-  count(*) FILTER (WHERE o_orderstatus <> 'F' AND o_totalprice < 100000) AS low,
-  count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS damaged FROM orders""")
-def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("o_orderstatus")
-    return t(spark, sf_dir, "orders").agg(
-        F.count("*").alias("total"), F.count_if(s == "O").alias("ready"), F.count_if(s == "F").alias("copied"), F.count_if(s == "P").alias("review"),
-        F.count_if((s != "F") & (F.col("o_totalprice") < 100000)).alias("low"), F.count_if(F.col("o_orderpriority").startswith("1")).alias("damaged"),
-    )
-
-
-@query("list_page", """
-SELECT p_partkey, p_name, p_brand, p_type FROM part
-WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'e') AND p_size >= 10
-ORDER BY lower(p_brand), lower(p_name), p_partkey LIMIT 200 OFFSET 200""")
-def list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "part").where(V.search("E", "p_name", "p_brand", "p_type") & (F.col("p_size") >= 10))
-    rows = rows.orderBy(F.lower("p_brand"), F.lower("p_name"), "p_partkey").select("p_partkey", "p_name", "p_brand", "p_type")
-    return V.page(rows, 2, 200)[0]
-
-
-@query("list_by_confidence", """
-SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus NOT IN ('F') AND o_totalprice < 50000
-ORDER BY o_totalprice, o_orderkey LIMIT 100""")
-def list_by_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "orders").where(~F.col("o_orderstatus").isin("F") & (F.col("o_totalprice") < 50000))
-    return rows.select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey").limit(100)
-
-
-@query("exact_dupes", """
-WITH f AS (SELECT doc_id, sha1(CAST(strlen(text) AS VARCHAR) || text) AS fp FROM documents)
-SELECT fp, min(doc_id) AS first_id, count(*) AS n FROM f GROUP BY fp HAVING count(*) > 1""")
-def exact_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fp = F.sha1(F.concat(F.octet_length("text").cast("string"), F.col("text")))
-    return t(spark, sf_dir, "documents").select("doc_id", fp.alias("fp")).groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-
-
-@query("book_fingerprints", """
-WITH f AS (SELECT source, lang, sha1(CAST(strlen(text) AS VARCHAR) || text) AS fp FROM documents)
-SELECT source, lang, substr(sha1(string_agg(fp, '|' ORDER BY fp)), 1, 20) AS book_fp, count(*) AS parts FROM f GROUP BY source, lang""")
-def book_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fp = F.sha1(F.concat(F.octet_length("text").cast("string"), F.col("text")))
-    rows = t(spark, sf_dir, "documents").select("source", "lang", fp.alias("fp"))
-    joined = F.array_join(F.array_sort(F.collect_list("fp")), "|")
-    return rows.groupBy("source", "lang").agg(F.substring(F.sha1(joined), 1, 20).alias("book_fp"), F.count("*").alias("parts"))
-
-
 PARTS = "(SELECT p_partkey AS id, p_name, p_brand FROM part)"
 PAIRS = f"""WITH k AS (SELECT p_name, p_brand FROM {PARTS} GROUP BY ALL HAVING count(*) BETWEEN 2 AND 50),
 p AS (SELECT id, p_name, p_brand FROM {PARTS} SEMI JOIN k USING (p_name, p_brand)),
@@ -110,17 +61,6 @@ def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_runtime_pairs(spark, sf_dir))
 
 
-@query("keeper", """
-WITH s AS (SELECT o_custkey, o_orderkey, round(floor(o_totalprice / 100) / 8 + CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 0 END
-  - CASE WHEN o_orderpriority LIKE '5%' THEN 25 ELSE 0 END, 2) AS quality FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY quality DESC, o_orderkey DESC) AS rn FROM s)
-SELECT o_custkey, o_orderkey AS keep, quality FROM r WHERE rn = 1""")
-def keeper(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.round(F.floor(F.col("o_totalprice") / 100) / 8 + F.when(F.col("o_orderstatus") == "F", 8).otherwise(0) - F.when(F.col("o_orderpriority").startswith("5"), 25).otherwise(0), 2)
-    best = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max(F.struct(q.alias("quality"), F.col("o_orderkey").alias("keep"))).alias("b"))
-    return best.select("o_custkey", "b.keep", "b.quality")
-
-
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("grp"), F.col("o_orderkey").alias("id"), F.unix_timestamp("o_orderdate").alias("mtime"), F.col("o_totalprice").alias("size"),
@@ -140,82 +80,12 @@ def policy_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("reasons_rollup", """
-WITH e AS (SELECT l_orderkey AS grp, l_returnflag || l_linestatus AS reason, max(CAST(l_quantity AS INTEGER)) AS score FROM lineitem GROUP BY ALL)
-SELECT grp, string_agg(reason || ':' || score, '|' ORDER BY reason) AS reasons FROM e GROUP BY grp""")
-def reasons_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("grp"), F.concat("l_returnflag", "l_linestatus").alias("reason")).agg(F.max(F.col("l_quantity").cast("int")).alias("score"))
-    return e.groupBy("grp").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("reason", "score"))), lambda x: F.concat_ws(":", x["reason"], x["score"])), "|").alias("reasons"))
-
-
-@query("group_keys", """
-WITH g AS (SELECT p_brand, p_size, p_partkey || '@' || p_type AS k FROM part)
-SELECT p_brand, p_size, md5(string_agg(k, '|' ORDER BY k)) AS key, count(*) AS n FROM g GROUP BY p_brand, p_size HAVING count(*) > 1""")
-def group_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.concat_ws("@", "p_partkey", "p_type")
-    rows = t(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.md5(F.array_join(F.array_sort(F.collect_list(k)), "|")).alias("key"), F.count("*").alias("n"))
-    return rows.where("n > 1")
-
-
-@query("merge_formats", """
-WITH g AS (SELECT o_custkey, count(DISTINCT o_orderstatus) AS d, count(*) AS n, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS exts FROM orders GROUP BY o_custkey)
-SELECT o_custkey, exts, d = n AND n > 1 AS merge FROM g""")
-def merge_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"), F.count("*").alias("n"))
-    return g.select("o_custkey", F.array_join(F.array_sort("s"), ",").alias("exts"), ((F.size("s") == F.col("n")) & (F.col("n") > 1)).alias("merge"))
-
-
 @query("author_counts", "SELECT p_brand AS name, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS trust FROM part WHERE p_brand <> '' GROUP BY p_brand")
 def author_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = t(spark, sf_dir, "part").select(F.col("p_brand").alias("author"), F.lit("ready").alias("status"), F.col("p_size").alias("confidence"))
     return A.counts(books)
 
 
-@query("canonical", """
-WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, length(p_type) DESC, p_type DESC) AS rn FROM c)
-SELECT p_brand, p_type AS canonical, n FROM r WHERE rn = 1""")
-def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = t(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    best = c.groupBy("p_brand").agg(F.max(F.struct("n", F.length("p_type").alias("l"), "p_type")).alias("b"))
-    return best.select("p_brand", F.col("b.p_type").alias("canonical"), F.col("b.n").alias("n"))
-
-
-@query("semi_anti_swap", """
-WITH k AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_acctbal > 0)
-SELECT c_custkey, c_nationkey IN (SELECT n FROM k) AND (c_nationkey + 1) % 25 NOT IN (SELECT n FROM k) AS swap FROM customer""")
-def semi_anti_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = t(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_nationkey").distinct()
-    rows = t(spark, sf_dir, "customer").join(known.toDF("kt"), F.col("c_nationkey") == F.col("kt"), "left")
-    rows = rows.join(known.toDF("ka"), (F.col("c_nationkey") + 1) % 25 == F.col("ka"), "left")
-    return rows.select("c_custkey", (F.col("kt").isNotNull() & F.col("ka").isNull()).alias("swap"))
-
-
-@query("alias_apply", """
-SELECT c_custkey, coalesce(upper(n_name), c_name) AS name, n_name IS NOT NULL AS locked
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey""")
-def alias_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = t(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), F.upper("n_name").alias("canonical"))
-    rows = t(spark, sf_dir, "customer").join(aliases, F.col("c_nationkey") == F.col("k"), "left")
-    return rows.select("c_custkey", F.coalesce("canonical", "c_name").alias("name"), F.col("canonical").isNotNull().alias("locked"))
-
-
-@query("reject_anti", f"{PAIRS} SELECT src, dst FROM e WHERE NOT EXISTS (SELECT 1 FROM (SELECT src AS a, dst AS b FROM e WHERE (src + dst) % 3 = 0) WHERE a = src AND b = dst)")
-def reject_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _part_pairs(spark, sf_dir)
-    return pairs.join(pairs.where("(src + dst) % 3 = 0"), ["src", "dst"], "left_anti")
-
-
-@query("dismiss_anti", """
-SELECT p_brand || '|' || p_size AS key, count(*) AS n FROM part GROUP BY p_brand, p_size HAVING count(*) > 1
-AND p_brand || '|' || p_size NOT IN (SELECT p_brand || '|' || p_size FROM part WHERE p_partkey % 50 = 0)""")
-def dismiss_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.concat_ws("|", "p_brand", "p_size").alias("key")
-    part = t(spark, sf_dir, "part")
-    groups = part.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return groups.join(part.where("p_partkey % 50 = 0").select(key).distinct(), "key", "left_anti")
-
-
 @query("conditional_confidence", """
 WITH s AS (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 72 WHEN o_orderpriority LIKE '2%' THEN 66 WHEN o_orderpriority LIKE '3%' THEN 62 ELSE 45 END
   - CASE WHEN o_orderstatus = 'P' THEN 15 ELSE 0 END + CAST(o_custkey % 17 AS INTEGER) - CASE WHEN o_totalprice < 20000 THEN 10 ELSE 0 END AS a, o_orderkey % 11 = 0 AS placeholder, o_orderkey % 13 = 0 AS flagged FROM orders)
@@ -231,7 +101,7 @@ def conditional_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_text", r"""
 WITH s AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM s)
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM s)
 SELECT page_id, regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS text FROM e""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", C.html_to_text("html").alias("text"))
@@ -245,12 +115,6 @@ def norm_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", C.norm_title(F.concat("p_name", F.lit(" (Unabridged) & The "), "p_type")).alias("nt"))
 
 
-@query("json_sidecar", "SELECT event_id, event_type AS title, CAST(json_extract_string(props, '$.k') AS BIGINT) AS series_index FROM events")
-def json_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = F.from_json("props", "k bigint")
-    return t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("title"), told["k"].alias("series_index"))
-
-
 @query("sanitize_names", r"""
 WITH s AS (SELECT p_partkey, regexp_replace(p_brand || ': ' || p_name || '? <' || p_type || '> ..', '\s*:\s*', ' - ', 'g') AS x FROM part)
 SELECT p_partkey, substr(regexp_replace(regexp_replace(translate(x, '<>:"/\|?*', '---------'), '\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 120) AS name FROM s""")
@@ -304,17 +168,6 @@ def free_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.numbered_folders(rows, "d", "p_partkey").select("p_partkey", "free")
 
 
-@query("hold_reasons", """
-SELECT hold, count(*) AS n FROM (SELECT CASE WHEN o_orderpriority LIKE '5%' THEN 'damaged' WHEN o_orderstatus = 'P' THEN 'incomplete'
-  WHEN o_totalprice < 90000 THEN 'unapproved' ELSE 'free' END AS hold FROM orders) GROUP BY hold""")
-def hold_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    books = t(spark, sf_dir, "orders").select(
-        F.when(F.col("o_orderpriority").startswith("5"), "bad").alias("health"), F.when(F.col("o_orderstatus") != "P", "a").alias("author"), F.lit("t").alias("title"),
-        (F.col("o_totalprice") >= 90000).cast("int").alias("confidence"), F.array(F.lit("title")).alias("locked"),
-    )
-    return books.select(F.coalesce(V.hold_reason(1, True, None), F.lit("free")).alias("hold")).groupBy("hold").agg(F.count("*").alias("n"))
-
-
 @query("decisions_upsert", """
 SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 def decisions_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,58 +193,11 @@ def cache_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.fresh(rows.join(F.broadcast(now)), F.col("now"), 5).select("event_id")
 
 
-@query("journal_page", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 1000")
-def journal_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").select("event_id", "event_type").orderBy(F.col("event_id").desc()).limit(1000)
-
-
 @query("decision_sizes", "SELECT 'nation' AS \"table\", count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def decision_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sizes({x: t(spark, sf_dir, x) for x in ("nation", "region", "supplier")})
 
 
-@query("union_topk", """
-WITH u AS (SELECT item_id AS id, 'benchmark' AS origin, length(text) AS score FROM benchmark UNION ALL SELECT doc_id, source, length(text) FROM documents)
-SELECT origin, id, score FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY score DESC, id) AS rn FROM u) WHERE rn <= 5""")
-def union_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit("benchmark").alias("origin"), F.length("text").cast("long").alias("score"))
-    b = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.length("text").cast("long").alias("score"))
-    w = Window.partitionBy("origin").orderBy(F.desc("score"), "id")
-    return a.unionByName(b).withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("origin", "id", "score")
-
-
-@query("set_difference", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
-def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return t(spark, sf_dir, "orders").select("o_orderkey").join(held, "o_orderkey", "left_anti")
-
-
-@query("lock_containment", """
-SELECT o_custkey, list_contains(list(o_orderstatus), 'O') AND list_contains(list(o_orderstatus), 'F') AS approved FROM orders GROUP BY o_custkey""")
-def lock_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    locked = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("locked"))
-    return locked.select("o_custkey", (F.size(F.array_intersect("locked", F.array(F.lit("O"), F.lit("F")))) == 2).alias("approved"))
-
-
-@query("file_stats", """
-SELECT l_orderkey AS id, CAST(round(sum(l_extendedprice)) AS BIGINT) AS size, max(l_shipdate) AS mtime, CAST(min(l_linenumber) AS INTEGER) AS rank, count(*) AS nfiles,
-  string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS exts FROM lineitem GROUP BY l_orderkey""")
-def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
-        F.round(F.sum("l_extendedprice")).cast("long").alias("size"), F.max("l_shipdate").alias("mtime"), F.min("l_linenumber").cast("int").alias("rank"), F.count("*").alias("nfiles"),
-        F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("exts"),
-    )
-
-
-@query("dirs_in_use", "SELECT p_partkey FROM part p WHERE EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_size = p.p_size AND q.p_partkey <> p.p_partkey AND q.p_retailprice < 1200)")
-def dirs_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = t(spark, sf_dir, "part")
-    # another member of the folder: the folder's count of unmoved books, less the book itself
-    used = part.where("p_retailprice < 1200").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
-    rows = part.join(used, ["p_brand", "p_size"])
-    return rows.where(F.col("n") - F.when(F.col("p_retailprice") < 1200, 1).otherwise(0) > 0).select("p_partkey")
-
-
 @query("isbn_checks", """
 WITH c AS (SELECT p_partkey, '978' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS b FROM part),
 d AS (SELECT p_partkey, b, list_sum([CAST(b[i] AS INTEGER) * CASE WHEN i % 2 = 1 THEN 1 ELSE 3 END FOR i IN range(1, 13)]) AS s FROM c)
@@ -401,15 +207,6 @@ def isbn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", C.find_isbn(text).alias("isbn"))
 
 
-@query("isbn_find", r"""
-WITH m AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?:^|[^0-9X])(97[89][- ]?(?:[0-9][- ]?){9}[0-9]|[0-9]{9}[0-9Xx])(?:$|[^0-9X])', 1) AS f FROM documents)
-SELECT doc_id, len(f) > 0 AS shaped FROM m""")
-def isbn_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tomewright.functions import fixed
-
-    return t(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).rlike(fixed.ISBN).alias("shaped"))
-
-
 @query("cover_scores", """
 WITH i AS (SELECT p_partkey, p_size * 40 AS w, CAST(200 + p_partkey % 1500 AS INTEGER) AS h, CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 0.66 END AS ideal FROM part)
 SELECT p_partkey, CASE WHEN w <= 0 OR h <= 0 THEN 0.0 ELSE round(greatest(0.0, CAST(least(least(w, h), 1600) AS DOUBLE) / 1600 - 0.6 * least(1.5 * abs(CAST(w AS DOUBLE) / h - ideal), 0.9) - CASE WHEN least(w, h) < 300 THEN 0.5 ELSE 0 END), 3) END AS score FROM i""")
@@ -419,18 +216,6 @@ def cover_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "part").select("p_partkey", score.alias("score"))
 
 
-@query("fuzzy_pairs")
-def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar names within a brand and size (difflib; no SQL has it: see the golden tests)."""
-    from tomewright.functions import udfs
-
-    part = t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", C.norm_title("p_name").alias("nt"))
-    a, b = part.alias("a"), part.alias("b")
-    same = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey"))
-    pairs = a.join(b, same).select(F.col("a.p_partkey").alias("src"), F.col("b.p_partkey").alias("dst"), F.col("a.nt").alias("x"), F.col("b.nt").alias("y"))
-    return pairs.withColumn("score", (udfs.similar("x", "y") * 100).cast("int")).where("score >= 60").select("src", "dst", "score")
-
-
 @query("author_cluster")
 def author_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author groups of names made from suppliers (greedy; no SQL has it: see the golden tests)."""
