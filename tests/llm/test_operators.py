@@ -531,3 +531,27 @@ def test_op5_recipes_lie_in_order(spark, tmp_path):
     rows = [r for f in files for r in pq.read_table(f, partitioning=None).to_pylist()]
     assert [r["doc_id"] for r in rows] == list(range(101))
     assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist()
+
+
+def test_very_long_texts(spark, encoder):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(200_000))
+    docs = wide(spark, [(0, long), (1, long + " end of it"), (2, "short text of no more than nine words here"), (3, "")])
+    (row,) = sentencepieces.encode_documents(docs.where("doc_id = 0"), public_tokenizers.path("piece_bpe_32k.model"), outputs=("n_tokens", "ids_sha256")).collect()
+    ids = [1, *encoder.library.encode(long), 2]
+    assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    found = {r.doc_id: r for r in jaccard.join_documents(docs).collect()}
+    assert (found[1].class_id, found[1].n_links, found[2].n_links) == (0, 1, 0)
+    lines = "\n".join(f"line {i} with some words of its own" for i in range(30_000))
+    left = {r.doc_id: r for r in linededup.dedup_lines(wide(spark, [(0, lines), (1, "a\n" + lines + "\nb")])).collect()}
+    assert (left[0].n_deleted, left[1].n_deleted, left[1].text) == (0, 30_000, "a\nb")
+
+
+def test_long_url_has_only_prefixes_that_entries_have(spark):
+    url = "http://a.example/" + "x/" * 3000
+    pages = spark.createDataFrame([(1, url, "2024-01-05", "clash"), (2, "http://b.example/y", "2024-01-05", "clash")], "page_id long, url string, fetched string, list string")
+    entries = spark.createDataFrame([("l", "prefix", "a.example/x/x", "add", "2024-01-01")], "list string, kind string, key string, action string, at string").withColumn("at", F.to_timestamp("at"))
+    assert urlfilter.depth_of(entries) == 2
+    (size,) = pages.where("page_id = 1").select(F.size(urlfilter.keys_of(F.col("url"), 2))).first()
+    assert size <= 6
+    assert {r.page_id: r.blocked for r in urlfilter.evaluate(pages, entries).collect()} == {1: True, 2: False}

@@ -164,7 +164,8 @@ def fit(texts: list[str], labels: list[int], prior: float, *, epochs: int = EPOC
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = CLASS_ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents of each class, those of the smallest hashes of doc_id, and on half
-    of SAMPLE_BYTES of each class: a text that doesn't fit into what is left of that is passed over."""
+    of SAMPLE_BYTES of each class: a text that doesn't fit into what is left of that is passed over (if none of a
+    class fits, the beginning of one stands for it). A repeated id counts once, with its least label."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = {r.y: r.n for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -191,9 +192,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     # at most 2 * rows picked rows, so they may be broadcast; their texts are bounded
     id_type = labelled.schema["id"].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(picked, f"id {id_type}, y int, bytes long")
-    sample = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("bytes")).dropDuplicates(["id"])
+    sample = texts.join(F.broadcast(chosen), "id").where(F.octet_length("text") == F.col("bytes"))
+    # of different texts of one id and length the least
+    sample = sample.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
     # a character has four bytes at most
-    fitting = F.when(F.col("bytes") <= SAMPLE_BYTES // 2, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 8))
+    fitting = F.when(F.octet_length("text") <= SAMPLE_BYTES // 2, F.col("text")).otherwise(F.substring("text", 1, SAMPLE_BYTES // 8))
     found = sample.orderBy(F.xxhash64("id"), "id").select(fitting.alias("text"), "y").toPandas()
     return fit(found.text.tolist(), found.y.tolist(), counts.get(1, 0) / sum(counts.values()))
 

@@ -7,11 +7,13 @@ of its URL. Of an entry at most one interval is active at a time.
 
 Intervals are dealt over periods of PERIOD_DAYS that they overlap, and a capture looks up its own
 period, so the join's keys are (entry, period): a host with a third of all captures is
-spread over time, and many changes of one entry don't meet all captures of it.
+spread over time, and many changes of one entry don't meet all captures of it. Both sides of the
+join are plain exchanges, so Spark splits a key that still has too many captures within a period.
 
 Defined results: null or odd URLs have no host and match nothing; a null fetch time matches nothing;
 of changes on one date removal is the last; repeated captures are judged each; repeated entries count
-once; without entries nothing is blocked; other columns are ignored."""
+once; without entries nothing is blocked; other columns, also of clashing names, are ignored; of a URL
+of any length only the prefixes that an entry can have are looked up."""
 
 from __future__ import annotations
 
@@ -30,14 +32,21 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), HOST, 1), r"\.+$", "")
 
 
-def keys_of(url: Column) -> Column:
-    """(kind, key) of all entries that can concern a URL."""
+def depth_of(entries: DataFrame) -> int:
+    """Path segments of the deepest prefix entry."""
+    deepest = F.max(F.length("key") - F.length(F.translate("key", "/", "")))
+    return entries.where("kind = 'prefix'").agg(F.coalesce(deepest, F.lit(0)).alias("n")).first().n
+
+
+def keys_of(url: Column, deepest: int) -> Column:
+    """(kind, key) of all entries that can concern a URL. No entry is a longer prefix than of ``deepest``
+    segments, so longer ones aren't made: their lengths would add up to the square of a path's."""
     host = host_of(url)
     labels = F.split(host, r"\.")
     depth = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), F.greatest(depth - 1, F.lit(1))), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, depth), ".").alias("key")))
     path = F.rtrim(F.regexp_extract(F.coalesce(url, F.lit("")), "(?i)" + PATH, 1), F.lit("/"))
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, deepest) if deepest else F.array().cast("array<string>")
     prefixes = F.when(
         F.size(parts) > 0,
         F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("key"))),
@@ -68,7 +77,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, *, id_col: str = "page_id"
     lo, hi = (span.lo, span.hi) if span.lo is not None else (0, -1)
     first, last = F.greatest(_period(F.col("since")), F.lit(lo)), F.least(F.coalesce(_period(F.col("until")), F.lit(hi)), F.lit(hi))
     active = intervals(entries).where(first <= last).withColumn("period", F.explode(F.sequence(first, last)))
-    asked = rows.where("at IS NOT NULL").select("row", "at", _period(F.col("at")).alias("period"), F.explode(keys_of(F.col("url"))).alias("k"))
+    asked = rows.where("at IS NOT NULL").select("row", "at", _period(F.col("at")).alias("period"), F.explode(keys_of(F.col("url"), depth_of(entries))).alias("k"))
     asked = asked.select("row", "at", "period", "k.kind", "k.key")
     hits = asked.join(active, ["kind", "key", "period"]).where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
     verdicts = hits.groupBy("row").agg(F.count_distinct("list").alias("n_lists"), F.min("list").alias("list"), F.min("since").alias("since"))
