@@ -257,6 +257,16 @@ def test_op5_finds_a_changed_chunk(spark, tmp_path):
         idstore.IdStore(spark, f"file://{tmp_path}/bad", 2).checksums().collect()
 
 
+def test_manifest_levels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "BLOCK_IDS", 4)
+    monkeypatch.setattr(idstore, "FAN", 3)
+    docs = wide(spark, [(i, f"text number {i} of a few words") for i in range(40)])
+    store = idstore.write_store(docs, public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store", end_id=2)
+    assert store.manifest().count() > 9
+    store.verify()
+    assert store.top_root() == store.top_root() and len(store.top_root()) == 64
+
+
 def test_crc_of_joined_parts():
     a, b, c = b"abc", b"defghij" * 9, b"x"
     parts = [a, b, c]

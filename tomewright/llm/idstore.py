@@ -36,6 +36,8 @@ WINDOW = 16
 MASK_BITS, LONGEST = 8, 2048
 #: Ids of a Merkle block.
 BLOCK_IDS = 1 << 22
+#: Digests under one node of the manifests' tree.
+FAN = 4096
 #: Distinct digests that a task remembers, so that it sends a chunk once.
 REMEMBERED = 200_000
 ROWS = "kind int, key binary, payload binary, doc_id long, twin long, n_tokens long, chunks array<binary>"
@@ -139,8 +141,14 @@ class IdStore:
         return self.spark.read.schema("block long, first long, leaves long, root string").parquet(self.path + "/manifest")
 
     def top_root(self) -> str:
-        """The digest over the blocks' roots (a row for BLOCK_IDS ids)."""
-        order = [x.root for x in self.manifest().orderBy("block").select("root").toLocalIterator()]
+        """The digest over the blocks' roots (a row for BLOCK_IDS ids), level by level: no more than FAN digests
+        are put together at once, here or on the executors."""
+        level = self.manifest().select("block", "root")
+        while level.count() > FAN:
+            listed = F.array_sort(F.collect_list(F.struct("block", "root")))
+            above = level.groupBy(F.floor(F.col("block") / FAN).cast("long").alias("block"))
+            level = above.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
+        order = [x.root for x in level.orderBy("block").collect()]
         return hashlib.sha256("".join(order).encode()).hexdigest()
 
     def verify(self) -> None:
