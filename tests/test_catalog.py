@@ -249,3 +249,62 @@ def test_model_answers(spark):
     got = {r.id: r for r in resolve.apply_answers(rows, answers).collect()}
     assert (got[1].title, got[1].author, got[1].series, got[1].meta_source, got[1].match_bonus) == ("T", "A", "S", "AI", 32)
     assert got[2].title == "Home" and got[2].ai.pending
+
+
+def test_transfer_holds_refuses_and_copies(spark, tmp_path):
+    from tomewright.operators import copying, edits
+    from tomewright.plans.scan import conform
+
+    source, dest = tmp_path / "source", tmp_path / "dest"
+    put(source, {"a/one.m4b": "1" * 10, "b/two.m4b": "2" * 20, "c/three.m4b": "3" * 30})
+    rows = [(1, "Ann Bell", "One", 90, str(source / "a/one.m4b"), "", ""), (2, "Ann Bell", "Two", 20, str(source / "b/two.m4b"), "", ""), (3, "Ann Bell", "Three", 95, str(source / "c/three.m4b"), "bad", "")]
+    books = spark.createDataFrame(rows, "id long, author string, title string, confidence int, f string, health string, series string")
+    books = conform(books.withColumns({"files": F.array("f"), "kind": F.lit("audio"), "status": F.lit("ready"), "extras": F.array().cast("array<string>"), "locked": F.array().cast("array<string>")}))
+    files = spark.createDataFrame([(r[4], 10 * r[0]) for r in rows], "path string, size long")
+    todo, held = copying.split(books, copying.Options(move=True))
+    assert [r.id for r in todo.collect()] == [1] and {r.id: r.hold for r in held.collect()} == {2: "unapproved", 3: "damaged"}
+    assert {r.id for r in copying.split(books, copying.Options())[0].collect()} == {1, 2} and copying.bytes_needed(books, files) == 60
+    for bad in (str(source), str(source / "x")):
+        with pytest.raises(copying.Refused, match="inside"):
+            copying.guard(books, files, str(source), bad, copying.Options())
+    twins = books.withColumn("title", F.lit("Same"))
+    with pytest.raises(copying.Refused, match="land in a folder"):
+        copying.transfer(twins, files, str(source), str(dest), copying.Options())
+    with pytest.raises(copying.Refused, match="3 damaged|nothing"):
+        copying.transfer(books.withColumn("health", F.lit("bad")), files, str(source), str(dest))
+    after, told = copying.transfer(books, files, str(source), str(dest), copying.Options())
+    assert {r.id: r.status for r in after.collect()} == {1: "copied", 2: "copied", 3: "ready"}
+    assert (dest / "Ann Bell/One/One.m4b").read_text() == "1" * 10 and "<dc:title>One" in (dest / "Ann Bell/One/metadata.opf").read_text()
+    own, _ = copying.transfer(twins, files, str(source), str(dest), copying.Options(keep_all=True, write_opf=False))
+    assert sorted(x.name for x in (dest / "Ann Bell").iterdir()) == ["One", "Same", "Same (2)", "Two"]
+
+    low = edits.targets(books, which="low", threshold=70)
+    assert [r.id for r in low.collect()] == [2] and {r.id for r in edits.remove(books, low).collect()} == {1, 3}
+    assert {r.id: r.status for r in edits.skip(books, low)[0].collect()} == {1: "ready", 2: "skipped", 3: "ready"}
+    changed, kept = edits.set_fields(books.withColumn("fingerprint", F.col("title")), low, {"series": " Saga ", "nope": "x"})
+    assert {r.id: r.series for r in changed.collect()} == {1: "", 2: "Saga", 3: ""} and kept.first().fields == {"series": "Saga"}
+    asked = books.withColumn("ai", F.struct(F.lit("New").alias("title"), F.lit("").alias("author"), F.lit(90).alias("confidence"), F.lit(True).alias("pending")))
+    done = {r.id: r for r in edits.accept_answers(asked, low)[0].collect()}
+    assert (done[2].title, done[2].author, done[2].ai.pending, done[1].title) == ("New", "Ann Bell", False, "One")
+    assert {r.id: sorted(r.locked) for r in edits.approve(books, low)[0].collect()}[2] == ["author", "title"]
+    covers = books.withColumn("cover_candidates", F.array(F.struct(F.lit("c.jpg").alias("path"), F.lit("folder").alias("origin"), F.lit(5).alias("w"), F.lit(6).alias("h"), F.lit(0.5).alias("score"))))
+    assert {r.id: r.cover_info for r in edits.choose_cover(covers, 2, "c.jpg").collect()}[2] == "5x6 folder"
+
+
+def test_dedupe_exact_option_and_report(spark):
+    rows = [(i, "ebook", f"Title {'x' * (i % 2)}", "Ann Bell", "ready") for i in range(6)]
+    books = scan.conform(spark.createDataFrame(rows, "id long, kind string, title string, author string, status string"))
+    recs = dedupe.records(books)
+    assert {r.reason: r.rows for r in dedupe.left_out(recs, largest=2, block=5).collect()} == {"Same title and author": 6, "Similar title": 6}
+    assert dedupe.edges(recs, largest=2, block=5).count() == 0
+    assert dedupe.edges(recs, largest=None, block=None).where("reason = 'Same title and author'").count() == 4
+    gone = books.withColumn("status", F.when(F.col("id") < 5, "copied").otherwise("ready"))
+    assert dedupe.records(gone).count() == 1
+
+
+def test_small_fixes(spark):
+    from tomewright.functions import columns as C
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(C.series_index(F.lit(x))) for x in ("1.125", "1.005", "2.25", "0.5", "12.375")] == ["01.12", "01.005", "02.25", "00.5", "12.38"]
+    assert one(C.html_to_text(F.lit("caf&eacute; &mdash; &#8217;"))) == "café — ’"

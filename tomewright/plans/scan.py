@@ -23,9 +23,9 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     wanted = files.where((F.col("ext") == ".opf") | (F.lower("name") == "metadata.json")).select("rel_path")
     content = read_content(wanted, root)
     side = metadata.sidecar_choice(files, content)
-    first = read_content(found.select(F.get("files", F.lit(0)).alias("rel_path")).distinct(), root).withColumnRenamed("rel_path", "_first")
+    leading = found.select(F.get("files", F.lit(0)).alias("rel_path"), (F.size("files") > 1).alias("many")).distinct()
+    first = metadata.read_tags(leading, root).withColumnRenamed("rel_path", "_first")
     rows = found.join(side.withColumnRenamed("dir", "book_dir"), "book_dir", "left").join(first, F.get(F.col("files"), F.lit(0)) == F.col("_first"), "left")
-    ext = C.extension("_first")
     none = F.expr(EMPTY_META)
     many = F.size("files") > 1
     leaf = C.strip_catalog_id(C.basename("book_dir"))
@@ -36,7 +36,7 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     stem = F.when(many & (F.col("kind") == "audio"), "").otherwise(udfs.split_disc_marker(C.stem("_first"))["base"])
     rows = rows.withColumns({
         "opf": F.coalesce("opf", none), "json": F.coalesce("json", none), "path": udfs.infer_from_path("book_dir"),
-        "tags": F.when(ext == ".epub", metadata.read_epub("content")).when(ext.isin(".mobi", ".azw", ".azw3"), metadata.read_mobi("content")).when(F.col("kind") == "audio", F.when(many, metadata.read_audio_part("content")).otherwise(metadata.read_audio("content"))).otherwise(none),
+        "tags": F.coalesce("tags", none),
     })
     known = F.coalesce(*[F.nullif(F.col(f"{c}.author"), F.lit("")) for c in ("opf", "json", "path", "tags")], F.lit(""))
     rows = rows.withColumns({"_known": known, "_folder": folder, "_stem": stem})
@@ -69,7 +69,7 @@ def conform(books: DataFrame) -> DataFrame:
 
 
 def read_content(paths: DataFrame, root: str) -> DataFrame:
-    """(rel_path, content) of files, read whole by the executors (for sidecars and books' first files)."""
+    """(rel_path, content) of files, read whole by the executors (for sidecars, which are small)."""
 
     def run(batches):
         import os

@@ -8,12 +8,14 @@ from __future__ import annotations
 import importlib.util
 import io
 import json
+import os
 import posixpath
 import re
 import struct
 import urllib.parse
 import zipfile
 from html import unescape
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+from tomewright.functions import fixed
 from tomewright.functions.udfs import META, strings
 
 DC = "{http://purl.org/dc/elements/1.1/}"
@@ -60,8 +63,12 @@ def _package(archive: zipfile.ZipFile) -> tuple[str, ElementTree.Element]:
     return path, ElementTree.fromstring(archive.read(path))
 
 
-def epub_meta(data: bytes) -> dict[str, str]:
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
+def _file(data: bytes | BinaryIO) -> BinaryIO:
+    return io.BytesIO(data) if isinstance(data, bytes) else data
+
+
+def epub_meta(data: bytes | BinaryIO) -> dict[str, str]:
+    with zipfile.ZipFile(_file(data)) as z:
         return opf_meta(_package(z)[1])
 
 
@@ -118,6 +125,8 @@ def _mutagen():
     return mutagen
 
 
+#: Bytes at the start of a MOBI file that hold its header and metadata.
+MOBI_HEAD = 1 << 20
 #: Tag names by container, in the order in which they are tried. Fixed values.
 AUDIO_TAGS = {
     "mp4": {"title": ["©alb", "©nam"], "author": ["aART", "©ART", "©wrt"], "series": ["©mvn", "----:com.apple.iTunes:SERIES"], "series_index": ["©mvi", "----:com.apple.iTunes:SERIES-PART"]},
@@ -126,10 +135,10 @@ AUDIO_TAGS = {
 }
 
 
-def audio_meta(data: bytes, multi: bool = False) -> dict[str, str]:
+def audio_meta(data: bytes | BinaryIO, multi: bool = False) -> dict[str, str]:
     """The four fields of an audio file's tags; in a book of many files only the album names it."""
     mutagen = _mutagen()
-    file = mutagen.File(io.BytesIO(data)) if mutagen else None
+    file = mutagen.File(_file(data)) if mutagen else None
     if file is None or file.tags is None:
         return {}
     kind = "mp4" if type(file).__name__ == "MP4" else "id3" if hasattr(file.tags, "getall") else "vorbis"
@@ -294,6 +303,32 @@ def read_epub_cover(content: pd.Series) -> pd.Series:
     return pd.Series([_safe(epub_cover, c, b"") for c in content])
 
 
+def read_tags(firsts, root: str):
+    """(rel_path, tags) of (rel_path, many): what is embedded in books' first files. Executors open the files and
+    read what the readers seek, so no file's bytes become rows."""
+
+    def tags(path: str, many: bool) -> dict[str, str]:
+        ext = os.path.splitext(path)[1].lower()
+        try:
+            with open(os.path.join(root, path), "rb") as fh:
+                if ext == ".epub":
+                    return epub_meta(fh)
+                if ext in (".mobi", ".azw", ".azw3"):
+                    return mobi_meta(fh.read(MOBI_HEAD))
+                return audio_meta(fh, many) if ext in fixed.AUDIO_EXTS else {}
+        except _BROKEN:
+            return {}
+
+    def run(batches):
+        for rows in batches:
+            found = [tags(*x) for x in zip(rows.rel_path, rows.many, strict=True)]
+            yield pd.DataFrame({"rel_path": rows.rel_path, **{k: [m.get(k, "") for m in found] for k in META.names}})
+
+    fields = ", ".join(f"{k} string" for k in META.names)
+    made = firsts.select("rel_path", "many").mapInPandas(run, f"rel_path string, {fields}")
+    return made.select("rel_path", F.struct(*META.names).alias("tags"))
+
+
 def sidecar_choice(files, contents):
     """(dir, opf, json): of each folder the metadata of its first readable .opf (metadata.opf first), and of metadata.json."""
     rows = files.join(contents, "rel_path").where((F.col("ext") == ".opf") | (F.lower("name") == "metadata.json"))
