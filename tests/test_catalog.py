@@ -308,3 +308,19 @@ def test_small_fixes(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert [one(C.series_index(F.lit(x))) for x in ("1.125", "1.005", "2.25", "0.5", "12.375")] == ["01.12", "01.005", "02.25", "00.5", "12.38"]
     assert one(C.html_to_text(F.lit("caf&eacute; &mdash; &#8217;"))) == "café — ’"
+
+
+def test_move_takes_leftovers_along(spark, tmp_path):
+    from tomewright.operators import copying
+
+    source, dest = tmp_path / "source", tmp_path / "dest"
+    put(source, {"a/one.m4b": "1" * 10, "a/cover.jpg": "img", "a/desc.txt": "about", "a/Thumbs.db": "x", "b/two.m4b": "2" * 20, "b/three.m4b": "3" * 30, "b/notes.txt": "n"})
+    rows = [(1, "One", 90, "a/one.m4b"), (2, "Two", 90, "b/two.m4b"), (3, "Three", 20, "b/three.m4b")]
+    books = scan.conform(spark.createDataFrame([(i, t, "Ann Bell", c, [str(source / f)], "audio", "ready", [], []) for i, t, c, f in rows], "id long, title string, author string, confidence int, files array<string>, kind string, status string, extras array<string>, locked array<string>"))
+    files = spark.createDataFrame([(str(source / f), 10) for _, _, _, f in rows], "path string, size long")
+    after, _ = copying.transfer(books, files, str(source), str(dest), copying.Options(move=True))
+    assert {r.id: r.status for r in after.collect()} == {1: "moved", 2: "moved", 3: "ready"}
+    assert sorted(x.name for x in (dest / "Ann Bell/One").iterdir()) == ["One.m4b", "cover.jpg", "desc.txt", "metadata.json", "metadata.opf"]
+    assert json.loads((dest / "Ann Bell/One/metadata.json").read_text())["authors"] == ["Ann Bell"]
+    # another book stays in b, so what is beside it stays too
+    assert not (source / "a").exists() and sorted(x.name for x in (source / "b").iterdir()) == ["notes.txt", "three.m4b"]

@@ -6,6 +6,10 @@ import re
 AUDIO_EXTS = (".m4b", ".m4a", ".mp3", ".flac", ".ogg", ".opus", ".wma", ".aac")
 EBOOK_EXTS = (".epub", ".mobi", ".azw", ".azw3", ".pdf")
 EXTRA_EXTS = (".jpg", ".jpeg", ".png", ".nfo", ".cue", ".opf", ".txt")
+SIDECAR_EXTS = (
+    ".jpg", ".jpeg", ".png", ".webp", ".gif", ".nfo", ".txt", ".opf", ".json", ".cue", ".pdf", ".m3u", ".m3u8", ".sfv",
+    ".md5", ".log", ".url",
+)
 FORMAT_RANK = {
     ".m4b": 0, ".m4a": 1, ".flac": 2, ".opus": 3, ".ogg": 4, ".mp3": 5, ".aac": 6, ".wma": 7,
     ".epub": 0, ".azw3": 1, ".azw": 2, ".mobi": 3, ".pdf": 4,

@@ -32,6 +32,8 @@ class Options:
     force: bool = False
     rename_parts: bool = False
     write_opf: bool = True
+    write_json: bool = True
+    write_cover: bool = True
 
 
 def split(books: DataFrame, o: Options, ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -101,12 +103,16 @@ def transfer(books: DataFrame, files: DataFrame, source: str, dest: str, o: Opti
     if todo.isEmpty():
         raise Refused("nothing to transfer: " + ", ".join(f"{r['count']} {r.hold}" for r in held.groupBy("hold").count().orderBy("hold").collect()))
     guard(todo, files, source, dest, o)
-    plan = sink.copy_plan(todo, dest, layout=o.layout, rename_parts=o.rename_parts, move=o.move)
+    plan = sink.copy_plan(todo, dest, layout=o.layout, rename_parts=o.rename_parts, write_cover=o.write_cover, move=o.move)
     if o.keep_all:  # books that would share a folder get folders of their own
         own = plan.select("id", "folder").distinct()
         plan = plan.join(views.numbered_folders(own, "folder", "id").select("id", "free"), "id").withColumn("folder", F.col("free")).drop("free")
-    opf = todo.select("id", sink.opf_document().alias("opf")) if o.write_opf else None
-    done = list(sink.execute(plan, dest, move=o.move, conflict=o.conflict, source_root=source, documents=opf))
+    nothing = F.lit(None).cast("string")
+    documents = todo.select(
+        "id", (sink.opf_document() if o.write_opf else nothing).alias("opf"), (F.to_json(F.struct(*fixed.EDITABLE)) if o.write_json else nothing).alias("document"),
+        (F.col("cover") if o.write_cover else nothing).alias("cover"),
+    )
+    done = list(sink.execute(plan, dest, move=o.move, conflict=o.conflict, source_root=source, documents=documents, in_use=dirs_in_use(books, todo)))
     told = books.sparkSession.createDataFrame(done, "id long, status string, folder string")
     after = books.join(told.select("id", F.col("status").alias("_s")), "id", "left").withColumn("status", F.coalesce("_s", "status"))
     return after.select(*books.columns), told

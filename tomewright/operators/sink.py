@@ -185,29 +185,61 @@ def tidy(dirs: list[str], root: str) -> None:
             folder = os.path.dirname(folder)
 
 
-def execute(plan: DataFrame, root: str, *, move: bool = False, conflict: str = "skip", source_root: str = "", documents: DataFrame | None = None) -> Iterator[tuple[int, str, str]]:
+def follow(dirs: list[str], folder: str) -> None:
+    """Sidecars that are all that is left in a book's folders go after it; nothing at the destination is overwritten."""
+    for place in (d for d in dirs if os.path.isdir(d)):
+        left = [os.path.join(place, x) for x in os.listdir(place) if x.lower() not in OS_JUNK]
+        if not all(os.path.isfile(x) and os.path.splitext(x)[1].lower() in fixed.SIDECAR_EXTS for x in left):
+            continue
+        for src in left:
+            name = os.path.basename(src)
+            free = next((t for t in (os.path.join(folder, name), os.path.join(folder, f"original-{name}")) if not os.path.exists(t)), None)
+            if os.path.exists(os.path.join(folder, name)) and filecmp.cmp(src, os.path.join(folder, name), shallow=False):
+                os.remove(src)
+            elif free:
+                shutil.move(src, free)
+
+
+def finish(folder: str, opf: str | None, document: str | None, cover: str | None) -> None:
+    """What is written beside a book once its files are there: its package, metadata.json and cover."""
+    if cover and os.path.isfile(cover):
+        end = os.path.splitext(cover)[1].lower()
+        shutil.copyfile(cover, os.path.join(folder, f"cover{end if end in ('.png', '.jpg') else '.jpg'}"))
+    if opf:
+        with open(os.path.join(folder, "metadata.opf"), "w", encoding="utf-8") as fh:
+            fh.write(opf)
+    if document:
+        write_json(folder, json.loads(document))
+
+
+def execute(plan: DataFrame, root: str, *, move: bool = False, conflict: str = "skip", source_root: str = "", documents: DataFrame | None = None, in_use: DataFrame | None = None) -> Iterator[tuple[int, str, str]]:
     """Carry the plan out book by book; yields (id, status, folder): copied, moved, in destination, or ERROR: why.
 
-    Rows stream to the driver ordered by book, so it holds one book's at a time."""
-    texts = {r.id: r.opf for r in documents.select("id", "opf").toLocalIterator()} if documents is not None else {}
+    Rows stream to the driver ordered by book, so it holds one book's at a time, with what ``documents``
+    (id, opf, document, cover) has of it. ``in_use`` (dir) are source folders where other books stay: what is in
+    them isn't tidied."""
+    rows = plan.withColumn("_dir", C.dirname("src"))
+    rows = rows.join(documents, "id", "left") if documents is not None else rows.withColumns({c: F.lit(None).cast("string") for c in ("opf", "document", "cover")})
+    stays = in_use.select(F.col("dir").alias("_dir"), F.lit(True).alias("stays")).distinct() if in_use is not None else None
+    rows = rows.join(stays, "_dir", "left") if stays is not None else rows.withColumn("stays", F.lit(None).cast("boolean"))
     book: list = []
 
     def one() -> tuple[int, str, str]:
-        files, folder = [(r.src, r.target, r.is_primary) for r in book], book[0].folder
+        files, first = [(r.src, r.target, r.is_primary) for r in book], book[0]
         try:
-            folder, _ = transfer_book(files, folder, root, move=move, conflict=conflict)
+            folder, _ = transfer_book(files, first.folder, root, move=move, conflict=conflict)
         except BookExists:
-            return book[0].id, "in destination", folder
+            return first.id, "in destination", first.folder
         except OSError as e:
-            return book[0].id, f"ERROR: {e}", folder
-        if book[0].id in texts:
-            with open(os.path.join(folder, "metadata.opf"), "w", encoding="utf-8") as fh:
-                fh.write(texts[book[0].id])
+            return first.id, f"ERROR: {e}", first.folder
+        finish(folder, first.opf, first.document, first.cover)
         if move and source_root:
-            tidy([os.path.dirname(s) for s, _, _ in files], source_root)
-        return book[0].id, "moved" if move else "copied", folder
+            own = sorted({r["_dir"] for r in book if not r.stays})
+            follow(own, folder)
+            tidy(own, source_root)
+        return first.id, "moved" if move else "copied", folder
 
-    for row in plan.orderBy("id", "ordinal").toLocalIterator():
+    for row in rows.orderBy("id", "ordinal").toLocalIterator():
         if book and row.id != book[0].id:
             yield one()
             book = []
