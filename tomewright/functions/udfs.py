@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,6 +51,34 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.where(~s.str.contains("&", regex=False, na=False), s.map(html.unescape, na_action="ignore"))
 
 
+def _most_alike(values: pd.Index, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What ``similar`` of each pair is at most: by the letters that the strings have in common, in any order."""
+    counts = np.zeros((len(values), 64), np.int32)
+    for i, v in enumerate(values):
+        letters = np.frombuffer(v.lower().encode("utf-32-le"), "<u4") % 64
+        counts[i] = np.bincount(letters, minlength=64)
+    sizes = counts.sum(1)
+    total = sizes[left] + sizes[right]
+    return np.where(total > 0, 2 * np.minimum(counts[left], counts[right]).sum(1) / np.maximum(total, 1), 1.0)
+
+
+def similar_from(least: float):
+    """A UDF as ``similar``, but 0 for pairs that can't reach ``least``, which aren't compared."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(pd.concat([a.fillna(""), b.fillna("")], ignore_index=True))
+        pairs, back = np.unique(codes[: len(a)].astype(np.int64) * len(values) + codes[len(a) :], return_inverse=True)
+        left, right = pairs // max(len(values), 1), pairs % max(len(values), 1)
+        found = (left == right).astype(float)
+        for i in np.flatnonzero((left != right) & (_most_alike(values, left, right) >= least - 1e-9)).tolist():
+            found[i] = names.similar(values[left[i]], values[right[i]])
+        found = found[back]
+        return pd.Series(found)
+
+    return run
+
+
 similar = _pair(names.similar)
 ratio = _pair(names.ratio)
 token_sort = _pair(names.token_sort)

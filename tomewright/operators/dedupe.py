@@ -96,9 +96,9 @@ def edges(recs: DataFrame, threshold: int = 90, largest: int | None = 50, block:
     # what a pair must agree in is its key, so a large surname meets only in part
     main = _near(in_block.where("length(mt) >= 4"), ["mt", "mnums"]).withColumn("same_main", F.lit(True))
     other = _near(in_block, ["nums"]).join(main.select("id1", "id2"), ["id1", "id2"], "left_anti").withColumn("same_main", F.lit(False))
-    scored = main.unionByName(other).withColumn("by", F.when(F.col("ak1") == F.col("ak2"), 100.0).otherwise(udfs.similar("ak1", "ak2") * 100)).where("by >= 85")
+    scored = main.unionByName(other).withColumn("by", F.when(F.col("ak1") == F.col("ak2"), 100.0).otherwise(udfs.similar_from(0.85)("ak1", "ak2") * 100)).where("by >= 85")
     found.append(scored.where("same_main").select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Same title, other subtitle").alias("reason"), F.lit(100).alias("score")))
-    alike = scored.where("NOT same_main").withColumn("s", udfs.similar("nt1", "nt2") * 100).where(F.col("s") >= threshold)
+    alike = scored.where("NOT same_main").withColumn("s", udfs.similar_from(threshold / 100)("nt1", "nt2") * 100).where(F.col("s") >= threshold)
     found.append(alike.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Similar title").alias("reason"), F.col("s").cast("int").alias("score")))
     long = in_block.where((F.col("kind") == "audio") & (F.col("dur") >= 1200))
     same_length = band_pairs(long, "ak", "dur", lambda v: F.greatest(F.lit(3.0), v * 0.0005))
