@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
+from tomewright.llm import conversations, idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
 from tomewright.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,83 @@ WITH p AS (
 SELECT page_id, n IS NOT NULL AS blocked, CAST(coalesce(n, 0) AS BIGINT) AS n_lists, coalesce(list, '') AS list,
   coalesce(strftime(DATE '2024-01-01' + CAST(s AS INTEGER), '%Y-%m-%d'), '') AS since
 FROM p LEFT JOIN v USING (rid)"""
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage by rule."""
+    repaired = conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+    return repaired.withColumn("repaired_sha256", conversations.digest(F.col("messages"))).drop("messages")
+
+
+ORACLES["op11_conversations"] = r"""
+WITH RECURSIVE tb AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab
+), keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations
+), k AS (
+  SELECT * EXCLUDE (bytes, tab), xor(list_reduce(bytes, lambda c, b: xor(tab[CAST(xor(c, b) & 255 AS INT) + 1], c >> 8),
+    CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS kind
+  FROM keyed, tb
+), r AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM k WHERE kind <> 0
+), o AS (
+  SELECT conv_id, turn, role, text, row_number() OVER w AS i, lag(role[1]) OVER w || role[1] AS pair,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), f AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 't' ELSE '' END AS fault,
+    coalesce(pair NOT IN ('su', 'ua', 'au'), false) AS odd
+  FROM o
+), g AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (odd) AS illegal, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, list(fault ORDER BY i) AS faults
+  FROM f GROUP BY conv_id
+), c AS (
+  SELECT a.conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(roles, CAST([] AS VARCHAR[])) AS roles, coalesce(texts, CAST([] AS VARCHAR[])) AS texts, coalesce(faults, CAST([] AS VARCHAR[])) AS faults
+  FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id
+), paths(conv_id, i, state, cost, path) AS (
+  SELECT conv_id, 0, 'E', 0, '' FROM c
+  UNION ALL
+  SELECT conv_id, i, state, cost, path FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, path) AS nth FROM (
+      SELECT q.conv_id, q.i + 1 AS i, e.state, q.cost + e.cost AS cost, q.path || e.letters AS path
+      FROM (
+        SELECT p.conv_id, p.i, x.state, p.cost + x.cost AS cost, p.path || x.letters AS path FROM paths p
+        JOIN (VALUES ('E', 'E', 0, ''), ('S', 'S', 0, ''), ('U', 'U', 0, ''), ('A', 'A', 0, ''), ('E', 'U', 3, 'I'), ('S', 'U', 3, 'I'),
+          ('A', 'U', 3, 'I'), ('U', 'A', 3, 'J'), ('E', 'A', 6, 'IJ'), ('S', 'A', 6, 'IJ'), ('A', 'A', 6, 'IJ'), ('U', 'U', 6, 'JI')) x(was, state, cost, letters) ON p.state = x.was
+      ) q JOIN c ON q.conv_id IS NOT DISTINCT FROM c.conv_id AND q.i < c.n
+      JOIN (VALUES ('E', 'E', 4, 'D', ''), ('S', 'S', 4, 'D', ''), ('U', 'U', 4, 'D', ''), ('A', 'A', 4, 'D', ''), ('E', 'S', 0, 'K', 's'),
+        ('E', 'U', 0, 'K', 'u'), ('S', 'U', 0, 'K', 'u'), ('A', 'U', 0, 'K', 'u'), ('U', 'A', 0, 'K', 'a'),
+        ('E', 'U', 3, 'R', ''), ('S', 'U', 3, 'R', ''), ('A', 'U', 3, 'R', ''), ('U', 'A', 3, 'S', '')) v(was, state, cost, letters, initial)
+        ON q.state = v.was AND (v.initial = '' OR v.initial = c.roles[q.i + 1][1]) AND (v.letters = 'D' OR c.faults[q.i + 1] NOT IN ('b', 'd')),
+      LATERAL (SELECT v.state, v.letters, v.cost + CASE WHEN v.letters <> 'D' AND c.faults[q.i + 1] = 't' THEN 3 ELSE 0 END AS cost) e
+    )) WHERE nth = 1
+), last AS (
+  SELECT conv_id, min({'cost': cost, 'path': path}) AS best FROM (
+    SELECT p.conv_id, p.cost + x.cost AS cost, p.path || x.letters AS path
+    FROM paths p JOIN c ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = c.n
+    JOIN (VALUES ('E', 0, ''), ('A', 0, ''), ('U', 3, 'J'), ('S', 6, 'IJ')) x(was, cost, letters) ON p.state = x.was
+  ) GROUP BY conv_id
+), done AS (
+  SELECT c.*, best.cost AS cost, best.path AS path, regexp_extract_all(best.path, '[IJ]*[KRSD]') AS edits, regexp_extract(best.path, '[IJ]*$') AS tail
+  FROM c JOIN last ON c.conv_id IS NOT DISTINCT FROM last.conv_id
+), t AS (
+  SELECT *, array_to_string(list_transform(range(1, n + 1), lambda j: replace(replace(regexp_extract(edits[j], '^[IJ]*'), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10))
+    || CASE right(edits[j], 1) WHEN 'K' THEN roles[j] || ':' || texts[j] || chr(10) WHEN 'R' THEN 'user:' || texts[j] || chr(10)
+      WHEN 'S' THEN 'assistant:' || texts[j] || chr(10) ELSE '' END), '') || replace(replace(tail, 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) AS text
+  FROM done
+)
+SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CAST(duplicate AS BIGINT) AS duplicate, CAST(truncated AS BIGINT) AS truncated,
+  CAST(illegal AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, translate(path, 'JS', 'IR') AS audit,
+  sha256(CASE WHEN text = '' THEN '' ELSE left(text, -1) END) AS repaired_sha256
+FROM t"""
