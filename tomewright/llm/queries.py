@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import conversations, idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
+from tomewright.llm import conversations, htmltext, idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
 from tomewright.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,9 @@ SELECT conv_id, CAST(gaps AS BIGINT) AS gaps, CAST(blank AS BIGINT) AS blank, CA
   CAST(illegal AS BIGINT) AS illegal, CAST(cost AS BIGINT) AS cost, translate(path, 'JS', 'IR') AS audit,
   sha256(CASE WHEN text = '' THEN '' ELSE left(text, -1) END) AS repaired_sha256
 FROM t"""
+
+
+@query
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every whole page."""
+    return htmltext.extract(table(spark, sf_dir, "pages"))
