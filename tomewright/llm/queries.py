@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tomewright.llm import conversations, htmltext, idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
+from tomewright.llm import alignment, conversations, htmltext, idstore, jaccard, linededup, neighbours, packing, ppm, quality, rules, sentencepieces, urlfilter
 from tomewright.session import fresh_path, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,3 +295,10 @@ FROM t"""
 def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every whole page."""
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers meet in every whole document."""
+    found = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.drop("groups")
