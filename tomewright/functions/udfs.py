@@ -79,6 +79,60 @@ def similar_from(least: float):
     return run
 
 
+def _pairs_of(text: str) -> list[tuple[str, int]]:
+    """The pairs of neighbouring letters of a text between marks, each with how often it came before."""
+    marked, seen, out = f"\x02{text.lower()}\x03", {}, []
+    for i in range(len(marked) - 1):
+        pair = marked[i : i + 2]
+        out.append((pair, seen.get(pair, 0)))
+        seen[pair] = out[-1][1] + 1
+    return out
+
+
+def _fewest_shared(length: int, threshold: float) -> int:
+    """How many pairs of letters a text shares at least with any text that it is alike to from ``threshold`` on.
+
+    Let texts of lengths n and m be alike: they have s >= threshold * (n + m) / 2 matching letters, and d = n + m - 2s others.
+    The matching blocks, marks included, are at most d + 1, since an unmatched letter stands between two of them; they hold s + 2
+    letters, and so s + 2 - (d + 1) pairs of neighbours, which both texts have."""
+    least = None
+    for other in range(int(np.ceil(length * threshold / (2 - threshold) - 1e-9)), int((2 - threshold) * length / threshold + 1e-9) + 1):
+        matched = int(np.ceil(threshold * (length + other) / 2 - 1e-9))
+        if matched <= min(length, other):
+            shared = matched - (length + other - 2 * matched) + 1
+            least = shared if least is None else min(least, shared)
+    return length + 1 if least is None else least
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def letter_pairs(s: pd.Series) -> pd.Series:
+    """The different pairs of neighbouring letters of a text, its ends marked."""
+    return s.fillna("").map(lambda x: sorted({pair for pair, _ in _pairs_of(x)}))
+
+
+def rare_pairs(threshold: float, common: dict[str, int]):
+    """A UDF of the keys under which a text meets all texts that it is alike to (``similar``) from ``threshold`` on.
+
+    Two texts that share k of their counted pairs, put in one order, share one of the first n - k + 1 of either's n.
+    The order is rarest first (by ``common``), so those keys are few and rare. Where a text need not share a
+    pair (thresholds of two thirds and below), all have one key."""
+    bounds: dict[int, int] = {}
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(s: pd.Series) -> pd.Series:
+        def keys(text: str) -> list[str]:
+            pairs = _pairs_of(text)
+            shared = bounds.setdefault(len(text), _fewest_shared(len(text), threshold)) if threshold > 2 / 3 else 0
+            if shared < 1:
+                return [""]
+            pairs.sort(key=lambda p: (common.get(p[0], 0), p))
+            return [f"{pair}{n}" for pair, n in pairs[: max(0, len(pairs) - shared + 1)]]
+
+        return s.fillna("").map(keys)
+
+    return run
+
+
 similar = _pair(names.similar)
 ratio = _pair(names.ratio)
 token_sort = _pair(names.token_sort)

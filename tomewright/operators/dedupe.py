@@ -26,20 +26,39 @@ def records(books: DataFrame) -> DataFrame:
     )
 
 
-def equal_pairs(rows: DataFrame, keys: list[str], id_col: str = "id", largest: int | None = 50) -> DataFrame:
-    """(src, dst, keys) of rows that agree in ``keys``, for keys that 2 to ``largest`` rows have.
+def equal_pairs(rows: DataFrame, keys: list[str], id_col: str = "id", largest: int = 50) -> DataFrame:
+    """(src, dst, keys) of all rows that agree in ``keys``, for keys that 2 to ``largest`` rows have.
 
-    The sizes are counted before the join, so a key that too many rows share never meets it. Without ``largest``
-    the rows of a key are linked in a chain, which has the same components and one link a row."""
-    if largest is None:
-        before = F.lag(id_col).over(Window.partitionBy(*keys).orderBy(id_col))
-        return rows.select(*keys, before.alias("src"), F.col(id_col).alias("dst")).where("src IS NOT NULL").select("src", "dst", *keys)
-    sized = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, largest)).drop("_n")
-    kept = rows.join(sized, keys, "left_semi")
+    The sizes are counted before the join, so a key that too many rows share never meets it."""
+    kept = _sized(rows, keys, largest)
     a, b = kept.select(*keys, F.col(id_col).alias("src")), kept.select(*keys, F.col(id_col).alias("dst"))
     return a.join(b, keys).where("src < dst").select("src", "dst", *keys)
 
 
+def _sized(rows: DataFrame, keys: list[str], largest: int | None) -> DataFrame:
+    """Rows of keys that no more than ``largest`` of them share."""
+    if largest is None:
+        return rows
+    sized = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n").between(2, largest)).drop("_n")
+    return rows.join(sized, keys, "left_semi")
+
+
+def linked(rows: DataFrame, keys: list[str], position: str | None = "seq", id_col: str = "id") -> DataFrame:
+    """(src, dst) links between rows that agree in ``keys``: one a row, and every one allowed, with the same components
+    as all allowed pairs. Rows with two different positions aren't linked; the empty position goes with all.
+
+    So a key is split by what the guards ask before anything is linked: where a row has no position, all others
+    hang on the least such row; else the rows of each position hang on their least. The least ids are
+    aggregated before the shuffle, and the join that follows has one row a key on one side."""
+    place = F.col(position) if position else F.lit("")
+    named = rows.select(*keys, place.alias("_place"), F.col(id_col).alias("dst"))
+    least = named.groupBy(*keys, "_place").agg(F.min("dst").alias("_least"), F.count("*").alias("_n"))
+    hubs = least.where("_place = ''").select(*keys, F.col("_least").alias("_hub"))
+    leaders = least.join(hubs, keys, "left").withColumn("src", F.coalesce("_hub", "_least")).where("_n > 1 OR src <> _least")
+    met = named.join(leaders.select(*keys, "_place", "src"), [*keys, "_place"]).where("src <> dst")
+    return met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+
+
 def band_pairs(rows: DataFrame, key: str, value: str, tolerance, id_col: str = "id") -> DataFrame:
     """(src, dst) of rows of one key whose values differ by at most ``tolerance`` of the smaller: a range join
     on buckets of the value, so a key with many rows is spread over its values."""
@@ -56,60 +75,125 @@ def band_pairs(rows: DataFrame, key: str, value: str, tolerance, id_col: str = "
     return met.where(later & (F.col("_u") - F.col("_v") <= F.col("_w"))).select("src", "dst")
 
 
-#: The keys under which equal records are linked: condition, columns, reason.
+#: The keys under which equal records are linked: condition, columns, whether positions in a series keep them apart, reason.
 EQUAL = (
-    ("fp <> ''", ["fp"], "Identical files"),
-    ("length(asin) = 10", ["asin"], "Same ASIN"),
-    ("length(isbn) IN (10, 13)", ["isbn"], "Same ISBN"),
-    ("nt <> '' AND ak <> ''", ["kind", "nt", "ak"], "Same title and author"),
+    ("fp <> ''", ["kind", "fp"], False, "Identical files"),
+    ("length(asin) = 10", ["kind", "asin"], True, "Same ASIN"),
+    ("length(isbn) IN (10, 13)", ["kind", "isbn"], True, "Same ISBN"),
+    ("nt <> '' AND ak <> ''", ["kind", "nt", "ak"], True, "Same title and author"),
 )
+#: Authors of linked titles are at least so alike.
+AUTHORS = 0.85
 
 
 def left_out(recs: DataFrame, largest: int = 50, block: int = 4000) -> DataFrame:
     """(reason, rows) of what the caps of ``edges`` leave unlinked: keys and surnames that too many records share."""
     found = None
-    for condition, keys, reason in (*EQUAL, ("surname <> ''", ["kind", "surname"], "Similar title")):
+    for condition, keys, _, reason in (*EQUAL, ("surname <> ''", ["kind", "surname"], True, "Similar title")):
+        keys = [k for k in keys if k != "kind" or reason in ("Same title and author", "Similar title")]
         n = recs.where(condition).groupBy(*keys).count().where(F.col("count") > (block if reason == "Similar title" else largest))
         one = n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("rows")).select(F.lit(reason).alias("reason"), "rows")
         found = one if found is None else found.unionByName(one)
     return found.where("rows > 0")
 
 
-def _near(recs: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of records of one kind and surname that agree in ``keys`` and differ in title."""
-    on = ["kind", "surname", *keys]
-    side = lambda x: recs.select(*on, *[F.col(c).alias(f"{c}{x}") for c in ("id", "ak", "nt")])
-    return side(1).join(side(2), on).where("id1 < id2 AND nt1 <> nt2").select("id1", "id2", "ak1", "ak2", "nt1", "nt2")
+_CLASS = ["kind", "surname", "ak", "nt", "mt", "nums", "mnums", "seq"]
+
+
+def classes(recs: DataFrame) -> DataFrame:
+    """Records that are alike in all that titles are compared by, as one row: its least and greatest id."""
+    named = recs.where("surname <> ''").groupBy(*_CLASS).agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    return named
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], *where: str) -> DataFrame:
+    """Pairs of classes that agree in ``on``, with the columns that tell them apart."""
+    side = lambda df, x: df.select(*on, *[F.col(c).alias(f"{c}{x}") for c in ("least", "most", "ak", "nt", "seq") if c not in on])
+    return side(a, 1).join(side(b, 2), on).where(" AND ".join(["least1 < least2", "nt1 <> nt2", "(seq1 = '' OR seq2 = '' OR seq1 = seq2)", *where]))
+
+
+def title_candidates(of: DataFrame, threshold: float) -> DataFrame:
+    """(kind, surname, nums, nt1, nt2), nt1 < nt2: different titles of one surname and the same numbers that may be
+    alike from ``threshold`` on. See ``udfs.rare_pairs`` for why none is missed."""
+    titles = of.select("kind", "surname", "nums", "nt").distinct()
+    grams = titles.select(F.explode(udfs.letter_pairs("nt")).alias("gram")).groupBy("gram").count()
+    common = {r.gram: r["count"] for r in grams.collect()}  # titles are folded to ASCII: some 40 x 40 pairs of letters at most
+    keyed = titles.withColumn("gram", F.explode(udfs.rare_pairs(threshold, common)("nt")))
+    on = ["kind", "surname", "nums", "gram"]
+    met = keyed.withColumnRenamed("nt", "nt1").join(keyed.withColumnRenamed("nt", "nt2"), on).where("nt1 < nt2")
+    n1, n2 = F.length("nt1"), F.length("nt2")
+    return met.where(F.least(n1, n2) * 2 >= (threshold - 1e-9) * (n1 + n2)).select("kind", "surname", "nums", "nt1", "nt2").distinct()
+
+
+def near(of: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """Links between ``classes`` of one kind and surname with different titles: least1, least2, reason, and the scores
+    in both orders (forth, back; null where they don't reach the threshold). Without ``every``, classes of one author
+    and main title are linked sparingly, with the same components."""
+    t = threshold / 100
+    titled = of.where("length(mt) >= 4")
+    same = ["kind", "surname", "mt", "mnums"]
+    if every:
+        main = _met(titled, titled, same)
+    else:
+        hung = linked(titled.withColumnRenamed("least", "id"), [*same, "ak"])
+        ends = titled.select(*same, "least", "most", "ak", "nt", "seq")
+        ends_of = lambda x: ends.select(*same, *[F.col(c).alias(f"{c}{x}") for c in ("least", "most", "ak", "nt", "seq")])
+        main = hung.toDF("least1", "least2").join(ends_of(1), "least1").join(ends_of(2).drop(*same), "least2").where("nt1 <> nt2")
+        main = main.unionByName(_met(titled, titled, same, "ak1 <> ak2"))
+    columns = ["least1", "most1", "least2", "most2", "ak1", "ak2"]
+    main = main.select(*columns, F.lit(100).alias("forth"), F.lit(100).alias("back"), F.lit("Same title, other subtitle").alias("reason"))
+    # titles are compared once each, and then meet the classes that have them
+    alike = title_candidates(of, t).withColumns({"a": udfs.similar_from(t)("nt1", "nt2") * 100, "b": udfs.similar_from(t)("nt2", "nt1") * 100})
+    alike = alike.where((F.col("a") >= threshold) | (F.col("b") >= threshold))
+    turned = alike.select("kind", "surname", "nums", F.col("nt2").alias("nt1"), F.col("nt1").alias("nt2"), F.col("b").alias("a"), F.col("a").alias("b"))
+    on = ["kind", "surname", "nums"]
+    ends = of.select(*on, *[F.col(c) for c in ("least", "most", "ak", "nt", "mt", "mnums", "seq")])
+    ends_of = lambda x: ends.select(*on, *[F.col(c).alias(f"{c}{x}") for c in ends.columns if c not in on])
+    similar = alike.unionByName(turned).join(ends_of(1), [*on, "nt1"]).join(ends_of(2), [*on, "nt2"])
+    similar = similar.where("least1 < least2 AND (seq1 = '' OR seq2 = '' OR seq1 = seq2) AND NOT (length(mt1) >= 4 AND mt1 = mt2 AND mnums1 = mnums2)")
+    reach = lambda c: F.when(F.col(c) >= threshold, F.col(c).cast("int"))
+    similar = similar.select(*columns, reach("a").alias("forth"), reach("b").alias("back"), F.lit("Similar title").alias("reason"))
+    by = lambda a, b: F.when(F.col("ak1") == F.col("ak2"), 100.0).otherwise(udfs.similar_from(AUTHORS)(a, b) * 100) >= AUTHORS * 100
+    both = main.unionByName(similar).withColumns({"forth": F.when(by("ak1", "ak2"), F.col("forth")), "back": F.when(by("ak2", "ak1"), F.col("back"))})
+    return both.where("forth IS NOT NULL OR back IS NOT NULL")
+
 
+def edges(recs: DataFrame, threshold: int = 90, largest: int | None = None, block: int | None = None, every: bool = False) -> DataFrame:
+    """Links between records (src < dst) with their reason and score: enough of them that their components, each
+    component's reasons and their greatest scores are those of all allowed pairs. Records that are equal in what a
+    reason compares are linked one by one to the least of them, not in all pairs; ``every`` gives all pairs of
+    different titles. Kinds never meet, nor do two different positions in a series (but for identical files).
 
-def edges(recs: DataFrame, threshold: int = 90, largest: int | None = 50, block: int | None = 4000) -> DataFrame:
-    """All links between records, with their reason and score. Keys and surnames with more records than
-    ``largest`` and ``block`` are left out, and ``left_out`` counts them; None takes all of them in."""
+    Nothing is left out, unless ``largest`` or ``block`` cap the records of a key or a surname: then ``left_out`` counts them."""
     found = []
-    for condition, keys, reason in EQUAL:
-        pairs = equal_pairs(recs.where(condition), keys, largest=largest)
+    for condition, keys, guarded, reason in EQUAL:
+        # a cap is on all records that share the key, of any kind
+        capped = [k for k in keys if k != "kind" or reason == "Same title and author"]
+        pairs = linked(_sized(recs.where(condition), capped, largest), keys, "seq" if guarded else None)
         found.append(pairs.select("src", "dst", F.lit(reason).alias("reason"), F.lit(100).alias("score")))
-    in_block = recs.where("surname <> ''")
-    if block is not None:
-        sized = in_block.groupBy("kind", "surname").agg(F.count("*").alias("n")).where(F.col("n").between(2, block)).drop("n")
-        in_block = in_block.join(sized, ["kind", "surname"], "left_semi")
-    # what a pair must agree in is its key, so a large surname meets only in part
-    main = _near(in_block.where("length(mt) >= 4"), ["mt", "mnums"]).withColumn("same_main", F.lit(True))
-    other = _near(in_block, ["nums"]).join(main.select("id1", "id2"), ["id1", "id2"], "left_anti").withColumn("same_main", F.lit(False))
-    scored = main.unionByName(other).withColumn("by", F.when(F.col("ak1") == F.col("ak2"), 100.0).otherwise(udfs.similar_from(0.85)("ak1", "ak2") * 100)).where("by >= 85")
-    found.append(scored.where("same_main").select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Same title, other subtitle").alias("reason"), F.lit(100).alias("score")))
-    alike = scored.where("NOT same_main").withColumn("s", udfs.similar_from(threshold / 100)("nt1", "nt2") * 100).where(F.col("s") >= threshold)
-    found.append(alike.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit("Similar title").alias("reason"), F.col("s").cast("int").alias("score")))
+    in_block = _sized(recs.where("surname <> ''"), ["kind", "surname"], block)
+    of = classes(in_block)
+    close = near(of, threshold, every)
+    if every:
+        member = in_block.select("id", *_CLASS).join(of.select("least", *_CLASS), _CLASS).select("id", "least")
+        rows = close.join(member.toDF("id1", "least1"), "least1").join(member.toDF("id2", "least2"), "least2")
+        rows = rows.withColumn("score", F.when(F.col("id1") < F.col("id2"), F.col("forth")).otherwise(F.col("back"))).where("score IS NOT NULL")
+        found.append(rows.select(F.least("id1", "id2").alias("src"), F.greatest("id1", "id2").alias("dst"), "reason", "score"))
+    else:
+        # a record of the first class before one of the second, or the other way round
+        score = F.greatest(F.when(F.col("least1") < F.col("most2"), F.col("forth")), F.when(F.col("least2") < F.col("most1"), F.col("back")))
+        found.append(close.withColumn("score", score).where("score IS NOT NULL").select(F.col("least1").alias("src"), F.col("least2").alias("dst"), "reason", "score"))
     long = in_block.where((F.col("kind") == "audio") & (F.col("dur") >= 1200))
-    same_length = band_pairs(long, "ak", "dur", lambda v: F.greatest(F.lit(3.0), v * 0.0005))
+    timed = ["kind", "ak", "dur"]
+    lengths = long.groupBy(*timed, "seq").agg(F.min("id").alias("id"))
+    across = band_pairs(lengths, "ak", "dur", lambda v: F.greatest(F.lit(3.0), v * 0.0005)).join(lengths.select(F.col("id").alias("src"), F.col("seq").alias("q1"), F.col("dur").alias("d1")), "src")
+    across = across.join(lengths.select(F.col("id").alias("dst"), F.col("seq").alias("q2"), F.col("dur").alias("d2")), "dst").where("d1 <> d2 AND (q1 = '' OR q2 = '' OR q1 = q2)")
+    same_length = linked(long, timed).unionByName(across.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")))
     found.append(same_length.select("src", "dst", F.lit("Same author and length").alias("reason"), F.lit(100).alias("score")))
     links = found[0]
     for x in found[1:]:
         links = links.unionByName(x)
-    side = recs.select("id", "kind", "seq")
-    links = links.join(side.toDF("src", "k1", "q1"), "src").join(side.toDF("dst", "k2", "q2"), "dst")
-    apart = (F.col("q1") != "") & (F.col("q2") != "") & (F.col("q1") != F.col("q2")) & (F.col("reason") != "Identical files")
-    return links.where((F.col("k1") == F.col("k2")) & ~apart).select("src", "dst", "reason", "score")
+    return links
 
 
 def rank_of(reason: Column) -> Column:
@@ -129,7 +213,7 @@ def file_stats(books: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
-def groups(books: DataFrame, files: DataFrame, dismissed: DataFrame | None = None, threshold: int = 90, largest: int | None = 50, block: int | None = 4000) -> DataFrame:
+def groups(books: DataFrame, files: DataFrame, dismissed: DataFrame | None = None, threshold: int = 90, largest: int | None = None, block: int | None = None) -> DataFrame:
     """(key, ids, reasons, keep, merge_formats, quality) of every duplicate group that wasn't dismissed, in order."""
     recs = materialize(records(books), "recs")
     links = materialize(edges(recs, threshold, largest, block), "edges")
