@@ -1,7 +1,7 @@
 """Metadata inside and beside book files, as vectorised readers of bytes or text.
 
 Each reader takes a binary (or string) column, as ``binaryFile`` gives it, and returns a struct; what can't
-be read gives empty fields. Audio tags need the optional ``mutagen``; without it they are empty."""
+be read gives empty fields."""
 
 from __future__ import annotations
 
@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from tomewright.functions import fixed
 from tomewright.functions.udfs import META, strings
+from tomewright.sources import audio
 
 DC = "{http://purl.org/dc/elements/1.1/}"
 OPF = "{http://www.idpf.org/2007/opf}"
@@ -117,43 +118,55 @@ def mobi_meta(data: bytes) -> dict[str, str]:
     return {k: v for k, v in found.items() if v}
 
 
-def _mutagen():
-    if importlib.util.find_spec("mutagen") is None:
-        return None
-    import mutagen
-
-    return mutagen
-
-
 #: Bytes at the start of a MOBI file that hold its header and metadata.
 MOBI_HEAD = 1 << 20
 #: Tag names by container, in the order in which they are tried. Fixed values.
 AUDIO_TAGS = {
     "mp4": {"title": ["©alb", "©nam"], "author": ["aART", "©ART", "©wrt"], "series": ["©mvn", "----:com.apple.iTunes:SERIES"], "series_index": ["©mvi", "----:com.apple.iTunes:SERIES-PART"]},
-    "id3": {"title": ["TALB", "TIT2"], "author": ["TPE2", "TPE1", "TCOM"], "series": ["MVNM", "TXXX:series"], "series_index": ["MVIN", "TXXX:series-part"]},
+    "id3": {"title": ["TALB", "TIT2"], "author": ["TPE2", "TPE1", "TCOM"], "series": ["MVNM", "TXXX:series"], "series_index": ["TXXX:series-part", "TXXX:series_index", "TXXX:seriespart", "MVIN"]},
     "vorbis": {"title": ["album", "title"], "author": ["albumartist", "artist", "author"], "series": ["series", "mvnm"], "series_index": ["series-part", "seriesindex", "mvin"]},
 }
+AUDIO_EXTRAS = {
+    "mp4": {
+        "narrator": ["©nrt", "----:com.apple.iTunes:NARRATOR", "©wrt"], "year": ["©day"], "description": ["ldes", "desc", "©cmt"], "publisher": ["----:com.apple.iTunes:PUBLISHER", "©pub", "----:com.apple.iTunes:LABEL"],
+        "genres": ["©gen"], "asin": ["----:com.apple.iTunes:ASIN", "----:com.apple.iTunes:AUDIBLE_ASIN", "CDEK"], "isbn": ["----:com.apple.iTunes:ISBN"], "language": ["----:com.apple.iTunes:LANGUAGE"],
+    },
+    "id3": {
+        "narrator": ["TXXX:narrator", "TCOM"], "year": ["TDRC", "TYER", "TDRL"], "description": ["TXXX:description", "COMM"], "publisher": ["TPUB"],
+        "genres": ["TCON"], "asin": ["TXXX:asin", "TXXX:audible_asin"], "isbn": ["TXXX:isbn"], "language": ["TLAN"],
+    },
+    "vorbis": {
+        "narrator": ["narrator", "performer", "composer"], "year": ["date", "year"], "description": ["description", "comment"], "publisher": ["publisher", "label", "organization"],
+        "genres": ["genre"], "asin": ["asin", "audible_asin"], "isbn": ["isbn"], "language": ["language"],
+    },
+}
 
 
-def audio_meta(data: bytes | BinaryIO, multi: bool = False) -> dict[str, str]:
+def sound_meta(sound: audio.Sound | None, multi: bool = False) -> dict[str, str]:
     """The four fields of an audio file's tags; in a book of many files only the album names it."""
-    mutagen = _mutagen()
-    file = mutagen.File(_file(data)) if mutagen else None
-    if file is None or file.tags is None:
-        return {}
-    kind = "mp4" if type(file).__name__ == "MP4" else "id3" if hasattr(file.tags, "getall") else "vorbis"
-    found = {}
-    for field, keys in AUDIO_TAGS[kind].items():
-        for key in keys[:1] if multi and field == "title" else keys:
-            value = file.tags.get(key)
-            value = getattr(value, "text", value)
-            if isinstance(value, (list, tuple)) and value:
-                value = value[0][0] if isinstance(value[0], tuple) else value[0]
-            value = bytes(value).decode("utf-8", "ignore") if isinstance(value, bytes) else value
-            if value and str(value).strip():
-                found[field] = str(value).strip()
-                break
-    return found
+    names = dict(AUDIO_TAGS.get(sound.kind, {})) if sound else {}
+    if multi and names:
+        names["title"] = names["title"][:1]
+    if sound and sound.kind == "id3" and sound.first("MVNM"):
+        names["series_index"] = ["MVIN"]
+    return {field: value for field, keys in names.items() if (value := sound.first(*keys))}
+
+
+def audio_meta(data: bytes | BinaryIO, multi: bool = False) -> dict[str, str]:
+    return sound_meta(audio.read(_file(data)), multi)
+
+
+def sound_extras(sound: audio.Sound | None) -> dict[str, str]:
+    """The fill-only fields of an audio file's tags; numbers that can't be right are left out."""
+    found = {field: value for field, keys in AUDIO_EXTRAS.get(sound.kind, {}).items() if (value := sound.first(*keys))} if sound else {}
+    found |= {"year": _year(found.get("year", "")), "isbn": valid_isbn(found.get("isbn", "")), "asin": found.get("asin", "").upper()}
+    if not re.fullmatch("[A-Z0-9]{10}", found["asin"]):
+        del found["asin"]
+    return {k: v for k, v in found.items() if v}
+
+
+def audio_extras(data: bytes | BinaryIO) -> dict[str, str]:
+    return sound_extras(audio.read(_file(data)))
 
 
 def valid_isbn(s: str) -> str:
@@ -229,9 +242,16 @@ def pdf_front(data: bytes, most: int = 6000) -> str:
 
 
 def image_size(data: bytes) -> tuple[int, int]:
-    """Width and height from a PNG's or JPEG's header; (0, 0) for others."""
+    """Width and height from the header of a PNG, WebP or JPEG; (0, 0) for others."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return struct.unpack(">II", data[16:24])
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        kind, number = data[12:16], lambda at, n: int.from_bytes(data[at : at + n], "little")
+        if kind == b"VP8X":
+            return number(24, 3) + 1, number(27, 3) + 1
+        if kind == b"VP8L":
+            return (number(21, 4) & 0x3FFF) + 1, (number(21, 4) >> 14 & 0x3FFF) + 1
+        return (number(26, 2) & 0x3FFF, number(28, 2) & 0x3FFF) if kind == b"VP8 " else (0, 0)
     at = 2
     while data[:2] == b"\xff\xd8" and at + 9 < len(data):
         if data[at] != 0xFF:
