@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tomewright.functions import columns as C
 from tomewright.functions import fixed
 from tomewright.operators import sink, views
-from tomewright.session import materialize
+from tomewright.session import forget, materialize
 
 
 class Refused(ValueError):
@@ -34,6 +34,8 @@ class Options:
     write_opf: bool = True
     write_json: bool = True
     write_cover: bool = True
+    embed: bool = True
+    embed_cover: bool = True
 
 
 def split(books: DataFrame, o: Options, ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -96,8 +98,11 @@ def guard(todo: DataFrame, files: DataFrame, source: str, dest: str, o: Options)
         raise Refused(f"not enough space: {need} bytes are needed and {free} are free")
 
 
-def transfer(books: DataFrame, files: DataFrame, source: str, dest: str, o: Options = Options(), ids: list[int] | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
-    """(books with their new status, (id, status, folder) of every book that was tried)."""
+def transfer(books: DataFrame, files: DataFrame, source: str, dest: str, o: Options = Options(), ids: list[int] | None = None, journal: str | None = None) -> tuple[DataFrame, DataFrame]:  # noqa: B008
+    """(books with their new status, (id, status, folder) of every book that was tried).
+
+    What is done of each book is in ``journal`` (a folder in the destination, if none is named) as soon as it is
+    done; a run that was killed or stopped goes on from there when it is called again."""
     todo, held = split(books, o, ids)
     todo = materialize(todo, "to-transfer")
     if todo.isEmpty():
@@ -112,7 +117,12 @@ def transfer(books: DataFrame, files: DataFrame, source: str, dest: str, o: Opti
         "id", (sink.opf_document() if o.write_opf else nothing).alias("opf"), (F.to_json(F.struct(*fixed.EDITABLE)) if o.write_json else nothing).alias("document"),
         (F.col("cover") if o.write_cover else nothing).alias("cover"),
     )
-    done = list(sink.execute(plan, dest, move=o.move, conflict=o.conflict, source_root=source, documents=documents, in_use=dirs_in_use(books, todo)))
+    how = sink.Finishing(o.embed, o.embed_cover)
+    # a written table: the plan must not change while its books move
+    plan = materialize(plan, "transfer-plan")
+    waiting = materialize(dirs_in_use(books, todo), "dirs-in-use")
+    done = list(sink.execute(plan, dest, move=o.move, conflict=o.conflict, source_root=source, documents=documents, in_use=waiting, journal=journal, how=how))
     told = books.sparkSession.createDataFrame(done, "id long, status string, folder string")
     after = books.join(told.select("id", F.col("status").alias("_s")), "id", "left").withColumn("status", F.coalesce("_s", "status"))
+    forget(plan, waiting)
     return after.select(*books.columns), told

@@ -1,8 +1,7 @@
-"""Metadata written into book files at the destination: EPUB packages, and audio tags where mutagen is installed."""
+"""Metadata written into EPUB packages at the destination (``containers`` does audio files)."""
 
 from __future__ import annotations
 
-import importlib.util
 import io
 import os
 import uuid
@@ -55,30 +54,3 @@ def rewrite_epub(path: str, book: Mapping[str, str]) -> None:
     with open(part, "wb") as fh:
         fh.write(made)
     os.replace(part, path)
-
-
-#: Simple tags of mutagen's easy interfaces. Fixed values.
-EASY = {"album": "title", "albumartist": "author", "artist": "author", "composer": "narrator", "genre": "genres", "date": "year"}
-
-
-def embed_tags(paths: list[str], book: Mapping[str, str]) -> int:
-    """Write tags into the parts of a book, numbered; returns how many were written (none without mutagen)."""
-    if importlib.util.find_spec("mutagen") is None:
-        return 0
-    import mutagen
-
-    done = 0
-    for k, path in enumerate(paths, 1):
-        file = mutagen.File(path, easy=True)
-        if file is None:
-            continue
-        if file.tags is None:
-            file.add_tags()
-        for tag, field in EASY.items():
-            if book.get(field):
-                file[tag] = book[field]
-        file["title"] = book["title"] if len(paths) == 1 else f"{book['title']} - {k:02d}"
-        file["tracknumber"] = f"{k}/{len(paths)}"
-        file.save()
-        done += 1
-    return done
