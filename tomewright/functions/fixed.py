@@ -184,20 +184,14 @@ DISC_FOLDER = (
     rf"(?:\d{{1,3}}[\s._\-)]+)?{DISC_WORD}[\s._\-]*(\d{{1,3}}|{ROMAN}){_COUNT}(?:\s*[-:_.]\s*.+)?"
 )
 ENCODED = r"\d\s*(?:k|kbps|mb|gb|khz)\b|\b(?:mp3|m4b|aac|vbr|cbr)\b"
-_RANGE = r"(?:\s*(?:of|/|-|to)\s*\d{1,3}(?!\d))?"
-PART_NUMBER = (
-    r"[\s._\-\(\[]*(?:(?<![A-Za-z])(?:disc|disk|cd|part|pt|side|tape|chapter|chap|ch|track|trk|episode|ep)"
-    rf"[\s._\-]*(?:\d{{1,3}}|{ROMAN})(?![a-z]){_RANGE}"
-    rf"|(?<![A-Za-z\d])[A-Za-z]{{1,5}}\d{{1,3}}(?:\.\d{{1,3}})?(?!\d){_RANGE}"
-    rf"|(?<!\d)\d{{1,3}}(?:\.\d{{1,3}})?(?!\d){_RANGE})"
-)
-PART_WORD = r"disc|cd|part|track|chapter"
-LAST_NUMBER = rf"^(?P<mid>.*?\S)[\s._\-]+(?P<n>\d{{1,3}}(?!\d|\.\d){_RANGE})\s*$"
-CHAPTER_BEFORE = r"\b(?:chapter|chap|ch|track|trk|part|pt|disc|disk|cd|episode|ep)\.?\s*$"
-INDEX_BEFORE = r"(?:\b(?:book|bk|vol|volume|no|number|season|series)\.?|#)\s*$"
-CODE_BEFORE = r"\b[A-Z]{2,4}\s*$"
-BARE_CHAPTER = r"(?:chapter|ch|track|part)?\s*\d*"
-NUMBER_FIRST = r"^\d{1,3}\s*[-–]\s*"
-NUMBER_AROUND = r"[\s._\-]*(?<!\d)\d{1,2}$"
-PART_OF = r"[\s._\-]+(?:of|/)[\s._\-]*\d{1,3}$"
-PART_OF_BRACKET = r"[\s._\-]*[\(\[]\s*\d{1,3}(?:\s*(?:of|/)\s*\d{1,3})?\s*[\)\]]"
+#: Words that count a book's parts in file names.
+UNITS = frozenset("disc disk cd part pt side tape chapter chap ch track trk episode ep".split())
+#: Of these, those that count parts even behind a word for volumes.
+PARTS = frozenset("disc cd part track chapter".split())
+#: Words behind which a number is a volume's, and those behind which a last number is a chapter's.
+VOLUME_WORDS = frozenset("book bk vol volume no number season series".split())
+CHAPTER_WORDS = frozenset("chapter chap ch track trk part pt disc disk cd episode ep".split())
+#: Words that, with a number or alone, are no title.
+BARE_CHAPTERS = frozenset("chapter ch track part".split())
+#: Containers that hold a whole book.
+WHOLE_BOOKS = (".m4b", ".m4a")
