@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Spark deals the documents; in every Arrow batch both tokenizers give tables of token intervals (token, first byte,
-end), and DuckDB joins them: an equi-join finds where tokens of both end, ASOF joins lead a token to its group and to the
-tokens that it overlaps, and window sums number the groups. What a batch counts of id pairs is merged in Spark, and
+end), and DuckDB joins them: an equi-join finds where tokens of both end, window sums number the groups that end there, and
+ASOF joins lead a token to those that it overlaps. What a batch counts of id pairs is merged in Spark, and
 read back by documents: frequent pairs by broadcast, all others by a join."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from tomewright.llm.textbatches import DistinctWordTokenizer, gather, map_batche
 from tomewright.session import materialize
 
 #: Bytes of texts that are encoded together, and whose tokens are joined together (longer texts are cut where tokens of both end).
-SLICE, STRETCH = 4 << 20, 1 << 20
+SLICE, STRETCH = 2 << 20, 1 << 20
 #: At most so many id pairs are broadcast, the most frequent; the others are joined.
 HOT_PAIRS = 1_000_000
 #: Floors of frequency that are tried for that.
@@ -32,28 +32,21 @@ MEMORY = "256MB"
 
 FIELDS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups string, groups_sha256 string, pairs array<long>, times array<int>"
 
+#: Where tokens of both end, numbered in order: each ends a group.
 LINKS = """CREATE OR REPLACE TEMP TABLE links AS
-SELECT a.doc, a.id AS a_id, b.id AS b_id, a.till, CAST(sum(1) OVER (ORDER BY a.till ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part
+SELECT a.doc, a.id AS a_id, b.id AS b_id, a.pos AS a_pos, b.pos AS b_pos, CAST(sum(1) OVER (ORDER BY a.till ROWS UNBOUNDED PRECEDING) AS BIGINT) AS part
 FROM a JOIN b ON a.till = b.till"""
 
-#: Tokens in the order of their group, of tokenizer A first, each with what stands after it.
-SPELLED = """WITH t AS (
-  SELECT a.doc, l.part, 0 AS side, a.pos, a.id FROM a ASOF JOIN links l ON a.till <= l.till
-  UNION ALL
-  SELECT b.doc, l.part, 1, b.pos, b.id FROM b ASOF JOIN links l ON b.till <= l.till
-), s AS (
-  SELECT *, lead(part) OVER w AS next_part, lead(side) OVER w AS next_side, lead(doc) OVER w AS next_doc FROM t WINDOW w AS (ORDER BY part, side, pos)
-)
-SELECT doc, string_agg(id || CASE WHEN next_doc IS DISTINCT FROM doc THEN '' WHEN next_part <> part THEN ';' WHEN next_side <> side THEN '|' ELSE ',' END,
-  '' ORDER BY part, side, pos) AS spelled FROM s GROUP BY doc ORDER BY doc"""
+GROUPS = "SELECT part, doc, a_pos, b_pos FROM links ORDER BY part"
 
-COUNTS = """SELECT doc, count(*) AS n_links, count(DISTINCT till) AS n_groups FROM links GROUP BY doc ORDER BY doc"""
+COUNTS = "SELECT doc, count(*) AS n_links, max(part) - min(part) + 1 AS n_groups FROM links GROUP BY doc ORDER BY doc"
 
-PAIRS = """SELECT doc, (CAST(a_id AS BIGINT) << 32) + b_id AS pair, count(*) AS n FROM links GROUP BY ALL ORDER BY doc, pair"""
+PAIRS = "SELECT doc, (CAST(a_id AS BIGINT) << 32) + b_id AS pair, count(*) AS n FROM links GROUP BY ALL ORDER BY doc, pair"
 
-OVERLAPS = """SELECT f.doc, CAST(sum(l.pos - f.pos + 1) AS BIGINT) AS n_overlaps FROM
-  (SELECT a.doc, a.pos AS a_pos, b.pos FROM a ASOF JOIN b ON a.since < b.till) f JOIN
-  (SELECT a.pos AS a_pos, b.pos FROM a ASOF JOIN b ON a.till > b.since) l USING (a_pos) GROUP BY f.doc ORDER BY f.doc"""
+#: From the first token of B that a token of A overlaps to the last.
+OVERLAPS = """SELECT f.doc, CAST(l.s - f.s + f.n AS BIGINT) AS n_overlaps FROM
+  (SELECT a.doc, sum(b.pos) AS s, count(*) AS n FROM a ASOF JOIN b ON a.since < b.till GROUP BY a.doc) f JOIN
+  (SELECT a.doc, sum(b.pos) AS s FROM a ASOF JOIN b ON a.till > b.since GROUP BY a.doc) l USING (doc) ORDER BY f.doc"""
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -100,6 +93,35 @@ class Spellings:
         return at != len(want)
 
 
+class Digits:
+    """Ids as decimal text, each with what may stand after it."""
+
+    AFTER = (",", "|", ";", "")
+
+    def __init__(self, ids: int) -> None:
+        spelled = [f"{i}{x}".encode() for i in range(ids) for x in self.AFTER]
+        self.lengths = np.array([len(x) for x in spelled], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def spell(self, a: np.ndarray, b: np.ndarray, doc: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(doc, groups) of all documents, from the ids of both sides and, of each group, its document and the places of its last tokens."""
+        n_a, n_b = np.diff(np.r_[-1, a_last]), np.diff(np.r_[-1, b_last])
+        place_a = np.arange(len(a)) + np.repeat(np.cumsum(n_b) - n_b, n_a)
+        place_b = np.arange(len(b)) + np.repeat(np.cumsum(n_a), n_b)
+        ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
+        after_a, after_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        after_a[a_last], after_b[b_last] = 1, 2
+        after_b[b_last[ends]] = 3
+        picks = np.empty(len(a) + len(b), np.int64)
+        picks[place_a] = a * len(self.AFTER) + after_a
+        picks[place_b] = b * len(self.AFTER) + after_b
+        out, until = gather(self.bytes, self.starts, self.lengths, picks)
+        stops = until[place_b[b_last[ends]]]
+        for k, start, stop in zip(doc[ends].tolist(), np.r_[0, stops[:-1]].tolist(), stops.tolist()):
+            yield k, out[start:stop].tobytes()
+
+
 class Aligner:
     """Both tokenizers, and a DuckDB connection of one thread."""
 
@@ -109,6 +131,7 @@ class Aligner:
         self.a = DistinctWordTokenizer(byte_level, "kept", special_as_text=True)
         self.b = MergeEncoder(pieces)
         self.spell_a, self.spell_b = Spellings.byte_level(byte_level), Spellings.pieces(self.b.library)
+        self.digits = Digits(max(len(self.spell_a.lengths), len(self.spell_b.lengths)))
         self.scratch = tempfile.TemporaryDirectory()  # for joins larger than the memory; of this task alone
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": self.scratch.name})
 
@@ -198,14 +221,17 @@ def _aligned(batches: Iterator[pa.RecordBatch], byte_level: str, pieces: str, sp
                 sums["n_overlaps"][doc] += overlaps
                 for found, kept in zip(aligner.rows(PAIRS), (pair_doc, pair_id, pair_n)):
                     kept.append(found.astype(np.int64))
-                for doc, spelled in zip(*(x.tolist() for x in aligner.rows(SPELLED))):
-                    if digests[doc] is None:
-                        digests[doc] = hashlib.sha256()
+                _, doc, a_last, b_last = aligner.rows(GROUPS)
+                sides = [(x["id"].to_numpy(), x["pos"][0].as_py()) for x in (rows_a, rows_b)]
+                (ids_a, first_a), (ids_b, first_b) = sides
+                for k, spelled in aligner.digits.spell(ids_a, ids_b, doc, a_last - first_a, b_last - first_b):
+                    if digests[k] is None:
+                        digests[k] = hashlib.sha256()
                     else:
-                        spelled = f";{spelled}"
-                    digests[doc].update(spelled.encode())
+                        spelled = b";" + spelled
+                    digests[k].update(spelled)
                     if spell:
-                        texts[doc].append(spelled)
+                        texts[k].append(spelled.decode())
                 con.unregister("a")
                 con.unregister("b")
             doc, pair, times = (np.concatenate(x) for x in (pair_doc, pair_id, pair_n))
