@@ -8,6 +8,7 @@ import shutil
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 from test_audio import JPEG, mp4, mpeg
 from test_catalog import put
 
@@ -180,3 +181,27 @@ def test_what_cannot_be_written_is_told(tmp_path):
     (tmp_path / "c.jpg").write_bytes(JPEG)
     problems = sink.finish(str(tmp_path), "<opf/>", json.dumps({"title": "T", "author": "A"}), str(tmp_path / "c.jpg"))
     assert len(problems) == 1 and "metadata.opf" in problems[0] and (tmp_path / "metadata.json").exists() and (tmp_path / "cover.jpg").exists()
+
+
+def test_names_that_are_no_utf8(spark, tmp_path):
+    """A file's name may be any bytes: it is listed, scanned and moved like any other."""
+    from tomewright.sources import tree as trees
+
+    odd = os.fsencode(str(tmp_path)) + b"/source/Ann Bell/caf\xe9 \xf0\x9f\x98\x80.mp3"
+    os.makedirs(os.path.dirname(odd))
+    with open(odd, "wb") as fh:
+        fh.write(mpeg(30))
+    put(tmp_path, {"source/Rob Inn/Plain.mp3": "x" * 50})
+    for name in (os.fsdecode(odd), "/a/b", "/a/é", "plain"):
+        assert trees.os_path(trees.path_text(name)) == name
+        trees.path_text(name).encode()
+    books = scan.scan(spark, str(tmp_path / "source"))
+    rows = {r.author: r for r in books.collect()}
+    assert set(rows) == {"Ann Bell", "Rob Inn"} and rows["Ann Bell"].fingerprint
+    full = F.transform("files", lambda f: F.concat(F.lit(f"{tmp_path}/source/"), f))
+    books = books.withColumn("files", full)
+    files = books.select(F.explode("files").alias("path"), F.lit(10).alias("size"))
+    after, _ = copying.transfer(books, files, str(tmp_path / "source"), str(tmp_path / "dest"), copying.Options(move=True, force=True, hold_review=False, threshold=0, embed=False))
+    assert {r.status for r in after.collect()} == {"moved"} and not os.path.exists(odd)
+    there = [f for _, _, found in os.walk(tmp_path / "dest/Ann Bell") for f in found if f.endswith(".mp3")]
+    assert len(there) == 1

@@ -27,6 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 from tomewright.functions import columns as C
 from tomewright.functions import fixed
 from tomewright.operators import containers, writers
+from tomewright.sources.tree import os_path, path_text
 
 OS_JUNK = ("thumbs.db", "desktop.ini", ".ds_store", "@eadir", ".@__thumb", ".@__desc")
 
@@ -304,7 +305,7 @@ class Journal:
         self.file = open(os.path.join(folder, f"{name}-{uuid.uuid4().hex}.jsonl"), "w", encoding="utf-8")
 
     def write(self, **line) -> None:
-        self.file.write(json.dumps(line) + "\n")
+        self.file.write(json.dumps(line, ensure_ascii=False) + "\n")
         self.file.flush()
         os.fsync(self.file.fileno())
 
@@ -360,9 +361,9 @@ def resume(folder: str) -> None:
 def recover(pending: list[list[str]], commit: list[list[str]] | None) -> list[str]:
     """Bring a book that a dead task left into a state of all or nothing."""
     if commit is not None:
-        remove_sources(commit)
+        remove_sources([tuple(map(os_path, x)) for x in commit])
         return []
-    return undo([tuple(x) for x in pending])
+    return undo([tuple(map(os_path, x)) for x in pending])
 
 
 # --- the data source that writes books ---
@@ -414,15 +415,19 @@ class _BookWriter(DataSourceWriter):
 
     def one(self, row, journal: Journal, pending: list, commit: list | None) -> None:
         folder, parts, notes = row.folder, [], []
-        files = [(f.src, f.target, f.is_primary) for f in row.files]
-        tell = lambda op: journal.write(id=row.id, plan=row.plan, **({"commit": op[1]} if op[0] == "commit" else {"op": op}))
+        files = [(os_path(f.src), f.target, f.is_primary) for f in row.files]
+
+        def tell(op: list) -> None:
+            said = {"commit": [list(map(path_text, x)) for x in op[1]]} if op[0] == "commit" else {"op": list(map(path_text, op))}
+            journal.write(id=row.id, plan=row.plan, **said)
+
         try:
             if pending or commit is not None:
                 notes = recover(pending, commit)
                 if notes:
                     raise OSError("; ".join(notes))
             if commit is not None:  # all of it is there
-                parts = [t for how, _, t in pending if how in ("copy", "rename")]
+                parts = [os_path(t) for how, _, t in pending if how in ("copy", "rename")]
                 folder = os.path.dirname(parts[0]) if parts else folder
             else:
                 folder, log = transfer_book(files, row.folder, self.root, move=self.move, conflict=self.conflict, log=tell)
@@ -431,11 +436,11 @@ class _BookWriter(DataSourceWriter):
         except BookExists:
             status = "in destination"
         except OSError as e:
-            status = f"ERROR: {e}"
+            status = path_text(f"ERROR: {e}")
         if status in ("moved", "copied"):
             primary = {f[1] for f in files if f[2]}
             notes = finish(folder, row.opf, row.document, row.cover, [p for p in parts if os.path.basename(p) in primary], self.how)
-        targets = [os.path.join(folder, f[1]) for f in files if f[2]]
+        targets = [path_text(os.path.join(folder, f[1])) for f in files if f[2]]
         journal.write(id=row.id, plan=row.plan, folder=folder, status=status, notes=notes, targets=targets)
 
     def commit(self, messages) -> None:
@@ -460,7 +465,7 @@ class BookSink(DataSource):
 
 
 def _there(targets: pd.Series) -> pd.Series:
-    return targets.map(lambda paths: all(os.path.exists(p) for p in paths) if paths is not None else False)
+    return targets.map(lambda paths: all(os.path.exists(os_path(p)) for p in paths) if paths is not None else False)
 
 
 def _planned(plan: DataFrame, documents: DataFrame | None, journal: str) -> DataFrame:
@@ -525,8 +530,8 @@ def _tidy_all(left: DataFrame, source_root: str) -> None:
     def run(batches):
         for rows in batches:
             for place, folder in zip(rows.dir, rows.folder, strict=True):
-                follow([place], folder)
-                tidy([place], source_root)
+                follow([os_path(place)], folder)
+                tidy([os_path(place)], source_root)
             yield pd.DataFrame({"n": [len(rows)]})
 
     top = F.substring_index(F.substring(F.col("dir"), len(source_root.rstrip("/")) + 2, 1 << 20), "/", 1)

@@ -9,22 +9,25 @@ from tomewright.functions import columns as C
 from tomewright.functions import udfs
 from tomewright.operators import decisions, resolve, schema
 from tomewright.session import materialize
-from tomewright.sources import metadata, tree
+from tomewright.sources import ledger, metadata, tree
 
 EMPTY_META = "named_struct('title', '', 'author', '', 'series', '', 'series_index', '')"
 
 
-def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, corrections: DataFrame | None = None, **trust: bool) -> DataFrame:
+def scan(spark: SparkSession, root: str, **options) -> DataFrame:
     """The books below ``root`` as rows of the catalog's table (see ``schema.BOOK``)."""
+    return scan_again(spark, root, None, **options)[0]
+
+
+def scan_again(spark: SparkSession, root: str, known: DataFrame | None, *, aliases: DataFrame | None = None, corrections: DataFrame | None = None, **trust: bool) -> tuple[DataFrame, DataFrame]:
+    """(books, ledger): ``known`` is the ledger of the scan before, and only files that it doesn't know, or knows with
+    another size or time, are opened."""
     files = materialize(tree.list_tree(spark, root), "tree")
     found = materialize(tree.books_of(files), "books")
-    fps = tree.fingerprints(files.where(F.col("ext").isin(*tree.fixed.AUDIO_EXTS, *tree.fixed.EBOOK_EXTS)), root)
-    found = tree.book_fingerprints(found, fps)
-    wanted = files.where((F.col("ext") == ".opf") | (F.lower("name") == "metadata.json")).select("rel_path")
-    content = read_content(wanted, root)
-    side = metadata.sidecar_choice(files, content)
-    leading = found.select(F.get("files", F.lit(0)).alias("rel_path"), (F.size("files") > 1).alias("many")).distinct()
-    first = metadata.read_tags(leading, root).withColumnRenamed("rel_path", "_first")
+    told = materialize(ledger.brought_up_to_date(ledger.wanted(files, found), root, known), "ledger")
+    found = tree.book_fingerprints(found, told.select("rel_path", "fp"))
+    side = metadata.sidecar_choice(files, told.where("content IS NOT NULL").select("rel_path", "content"))
+    first = told.where("many IS NOT NULL").select(F.col("rel_path").alias("_first"), "tags")
     rows = found.join(side.withColumnRenamed("dir", "book_dir"), "book_dir", "left").join(first, F.get(F.col("files"), F.lit(0)) == F.col("_first"), "left")
     none = F.expr(EMPTY_META)
     many = F.size("files") > 1
@@ -44,6 +47,10 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     rows = rows.withColumns({"hint_meta": resolve.ordered_name("hint", "_known"), "folder": resolve.ordered_name(F.when(ebook, F.col("_stem")).otherwise(F.col("_folder")), "_known"), "stem": resolve.ordered_name(F.when(ebook, F.col("_folder")).otherwise(F.col("_stem")), "_known"), "hint_text": F.col("hint")})
     rows = rows.drop("hint").withColumnRenamed("hint_meta", "hint")
     rows = resolve.merge_evidence(rows, resolve.order(**trust))
+    # the sidecar that speaks is the package, if it says anything
+    says = lambda c: F.concat_ws("", *[F.col(f"{c}.{k}") for k in resolve.FIELDS]) != ""
+    rows = rows.withColumn("_side", F.when(says("opf"), F.col("opf")).otherwise(F.col("json")))
+    rows = rows.withColumn("meta_source", resolve.note_conflict(F.col("meta_source"), "_side", "tags", "path", trust.get("trust_folders", True)))
     lone = (F.col("author") == "") & (parent != "") & C.looks_like_author(parent) & ~parent.rlike("(?i)" + tree.fixed.SERIES_WORDS)
     fallback = F.when(F.col("hint_text") != "", F.col("hint_text")).when(F.col("_folder") != "", F.col("_folder")).otherwise(C.stem("_first"))
     rows = rows.withColumns({"author": F.when(lone, parent).otherwise(F.col("author")), "title": F.when(F.col("title").rlike(r"\p{L}|\p{N}{3,}"), F.col("title")).otherwise(fallback)})
@@ -59,7 +66,7 @@ def scan(spark: SparkSession, root: str, *, aliases: DataFrame | None = None, co
     books = conform(books)
     if aliases is not None and corrections is not None:
         books = decisions.merge_remembered(decisions.apply_memory(books, aliases, corrections), corrections)
-    return resolve.narrator_pass(resolve.library_pass(materialize(books, "resolved")))
+    return resolve.narrator_pass(resolve.library_pass(materialize(books, "resolved"))), told
 
 
 def conform(books: DataFrame) -> DataFrame:
@@ -68,31 +75,24 @@ def conform(books: DataFrame) -> DataFrame:
     return books.select(*[(F.col(f.name) if f.name in books.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted])
 
 
-def read_content(paths: DataFrame, root: str) -> DataFrame:
-    """(rel_path, content) of files, read whole by the executors (for sidecars, which are small)."""
-
-    def run(batches):
-        import os
-
-        import pandas as pd
-
-        for rows in batches:
-            data = []
-            for path in rows.rel_path:
-                try:
-                    with open(os.path.join(root, path), "rb") as fh:
-                        data.append(fh.read())
-                except OSError:
-                    data.append(b"")
-            yield pd.DataFrame({"rel_path": rows.rel_path, "content": data})
-
-    return paths.select("rel_path").mapInPandas(run, "rel_path string, content binary")
-
-
 def load_plan(spark: SparkSession, path: str) -> DataFrame:
     """A saved plan: JSON rows; fields that are unknown are ignored, missing ones null."""
-    return spark.read.schema(schema.BOOK).option("mode", "PERMISSIVE").json(path)
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    # a save that was cut off between its two renames has left the old plan beside
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(schema.BOOK).option("mode", "PERMISSIVE").json(path if fs.exists(there) else f"{path}.old")
 
 
 def save_plan(books: DataFrame, path: str) -> None:
-    books.write.mode("overwrite").json(path)
+    """The plan as JSON rows: written whole beside the old one, which then gives way, so one of both is always there."""
+    fresh, old = f"{path}.new", f"{path}.old"
+    books.write.mode("overwrite").json(fresh)
+    jvm, conf = books.sparkSession.sparkContext._jvm, books.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(conf)
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(fresh), at(path))
+    fs.delete(at(old), True)

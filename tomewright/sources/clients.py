@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.operators.decisions import fresh, upsert
+from tomewright.session import materialize
 
 
 class Client(Protocol):
@@ -46,7 +47,9 @@ def ask(questions: DataFrame, cache: DataFrame, client: Client, *, days: int, at
         for rows in batches:
             yield pd.DataFrame({"key": rows.key, "value": [client.get(k, q) for k, q in zip(rows.kind, rows["query"], strict=True)]})
 
-    found = missing.coalesce(at_once).mapInPandas(run, "key string, value string").withColumn("ts", F.current_timestamp())
+    # written before they are used: whoever reads the answers again must not ask again
+    asked = missing.select("key", "kind", "query").coalesce(at_once).mapInPandas(run, "key string, value string")
+    found = materialize(asked.withColumn("ts", F.current_timestamp()), "answers")
     after = upsert(cache, found, ["key"])
     return questions.join(known.select("key", "value").unionByName(found.select("key", "value")), "key", "left"), after
 

@@ -323,30 +323,18 @@ def read_epub_cover(content: pd.Series) -> pd.Series:
     return pd.Series([_safe(epub_cover, c, b"") for c in content])
 
 
-def read_tags(firsts, root: str):
-    """(rel_path, tags) of (rel_path, many): what is embedded in books' first files. Executors open the files and
-    read what the readers seek, so no file's bytes become rows."""
-
-    def tags(path: str, many: bool) -> dict[str, str]:
-        ext = os.path.splitext(path)[1].lower()
-        try:
-            with open(os.path.join(root, path), "rb") as fh:
-                if ext == ".epub":
-                    return epub_meta(fh)
-                if ext in (".mobi", ".azw", ".azw3"):
-                    return mobi_meta(fh.read(MOBI_HEAD))
-                return audio_meta(fh, many) if ext in fixed.AUDIO_EXTS else {}
-        except _BROKEN:
-            return {}
-
-    def run(batches):
-        for rows in batches:
-            found = [tags(*x) for x in zip(rows.rel_path, rows.many, strict=True)]
-            yield pd.DataFrame({"rel_path": rows.rel_path, **{k: [m.get(k, "") for m in found] for k in META.names}})
-
-    fields = ", ".join(f"{k} string" for k in META.names)
-    made = firsts.select("rel_path", "many").mapInPandas(run, f"rel_path string, {fields}")
-    return made.select("rel_path", F.struct(*META.names).alias("tags"))
+def embedded(path: str, many: bool) -> dict[str, str]:
+    """The four fields that a book's first file holds; what the readers seek is read, no more."""
+    ext = os.path.splitext(path)[1].lower()
+    try:
+        with open(path, "rb") as fh:
+            if ext == ".epub":
+                return epub_meta(fh)
+            if ext in (".mobi", ".azw", ".azw3"):
+                return mobi_meta(fh.read(MOBI_HEAD))
+            return audio_meta(fh, many) if ext in fixed.AUDIO_EXTS else {}
+    except _BROKEN:
+        return {}
 
 
 def sidecar_choice(files, contents):

@@ -1,10 +1,11 @@
 """File trees as DataFrames: a Python data source that lists every file, and books made of the listing.
 
 Spark's own file listing leaves out empty and hidden files, which the catalog must report, so
-``tree`` walks by itself: one partition for each folder below the root, listed on the executors."""
+``tree`` walks by itself, on the executors. Names may be any bytes (see ``path_text``)."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 from datetime import datetime, timezone
 
@@ -18,6 +19,37 @@ from tomewright.functions import fixed, names, stems, udfs
 from tomewright.operators.schema import FILE
 
 
+#: Folders that are shared out, at least, where the tree has so many on a level.
+SHARES = 64
+#: Bytes of names that are no UTF-8 stand as these letters of the private use area, one each.
+_ODD = 0xF700
+
+
+def path_text(path: str) -> str:
+    """A path as the system gives it, as text that tables can hold: bytes that are no UTF-8 become letters for private use,
+    and so do such letters themselves, so that ``os_path`` gives the same path back."""
+    if path.isascii():
+        return path
+    out = []
+    for c in path:
+        code = ord(c)
+        if 0xDC80 <= code <= 0xDCFF:
+            out.append(chr(_ODD + code - 0xDC00))
+        elif _ODD + 0x80 <= code <= _ODD + 0xFF:
+            out += [chr(_ODD + b) for b in c.encode()]
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def os_path(text: str) -> str:
+    """The path that a text of ``path_text`` stands for."""
+    if text.isascii():
+        return text
+    raw = b"".join(bytes([ord(c) - _ODD]) if _ODD + 0x80 <= ord(c) <= _ODD + 0xFF else c.encode() for c in text)
+    return os.fsdecode(raw)
+
+
 class _Folder(InputPartition):
     def __init__(self, path: str, deep: bool) -> None:
         super().__init__(path)
@@ -29,11 +61,22 @@ class _TreeReader(DataSourceReader):
         self.root = root.rstrip("/")
 
     def partitions(self):
-        below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Folder(self.root, False), *(_Folder(p, True) for p in below)]
+        """Folders to be listed: level by level, until there are enough to share out; those above are listed alone."""
+        alone, deep = [], [self.root]
+        while deep and len(deep) < SHARES:
+            below = []
+            for folder in deep:
+                alone.append(folder)
+                try:
+                    with os.scandir(folder) as found:
+                        below += sorted(e.path for e in found if e.is_dir(follow_symlinks=False))
+                except OSError:
+                    continue  # gone, or not for us
+            deep = below
+        return [*(_Folder(path_text(p), False) for p in alone), *(_Folder(path_text(p), True) for p in deep)]
 
     def read(self, partition: _Folder):
-        for folder, below, files in os.walk(partition.value):
+        for folder, below, files in os.walk(os_path(partition.value)):
             below.sort()
             if not partition.deep:
                 below.clear()
@@ -43,7 +86,7 @@ class _TreeReader(DataSourceReader):
                     st = os.stat(path)
                 except OSError:
                     continue  # gone meanwhile
-                rel = os.path.relpath(path, self.root)
+                rel, name = path_text(os.path.relpath(path, self.root)), path_text(name)
                 dot = name.rfind(".")
                 at = datetime.fromtimestamp(st.st_mtime, timezone.utc)
                 yield rel, os.path.dirname(rel), name, name[dot:].lower() if dot > 0 else "", st.st_size, at
@@ -118,27 +161,27 @@ def books_of(files: DataFrame, include_audio: bool = True, include_ebooks: bool
     return found.unionByName(ebooks) if include_ebooks else found
 
 
+def file_fingerprint(path: str, chunk: int = 65536) -> str:
+    """SHA-1 of a file's size and both its ends, read by seeking; an empty string where it can't be read."""
+    try:
+        with open(path, "rb") as fh:
+            size = os.fstat(fh.fileno()).st_size
+            digest = hashlib.sha1(str(size).encode())
+            digest.update(fh.read(chunk))
+            if size > 2 * chunk:
+                fh.seek(-chunk, os.SEEK_END)
+                digest.update(fh.read(chunk))
+        return digest.hexdigest()
+    except OSError:
+        return ""
+
+
 def fingerprints(files: DataFrame, root: str, chunk: int = 65536) -> DataFrame:
-    """(rel_path, fp): read at both ends only, by seeking, on the executors."""
+    """(rel_path, fp) of files, read on the executors."""
 
     def run(batches):
-        import hashlib
-
         for rows in batches:
-            found = []
-            for path in rows.rel_path:
-                try:
-                    with open(os.path.join(root, path), "rb") as fh:
-                        size = os.fstat(fh.fileno()).st_size
-                        digest = hashlib.sha1(str(size).encode())
-                        digest.update(fh.read(chunk))
-                        if size > 2 * chunk:
-                            fh.seek(-chunk, os.SEEK_END)
-                            digest.update(fh.read(chunk))
-                    found.append(digest.hexdigest())
-                except OSError:
-                    found.append("")
-            yield pd.DataFrame({"rel_path": rows.rel_path, "fp": found})
+            yield pd.DataFrame({"rel_path": rows.rel_path, "fp": [file_fingerprint(os.path.join(root, os_path(p)), chunk) for p in rows.rel_path]})
 
     return files.select("rel_path").mapInPandas(run, "rel_path string, fp string")
 
