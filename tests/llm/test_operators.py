@@ -232,6 +232,25 @@ def test_op4_replicates_unstructured_vectors():
     assert len(row) / len(points) > 1.5 and len({*zip(row.tolist(), lists.tolist(), strict=True)}) == len(row)
 
 
+def test_op4_ratio_selects_lists(spark):
+    """Queries read the lists within the ratio, some few and some many, and the graph leads to them."""
+    rng = np.random.default_rng(4)
+    centers = 3 * rng.standard_normal((40, 16))
+    points = (centers[rng.integers(0, 40, 6000)] + rng.standard_normal((6000, 16))).astype(np.float32)
+    index = neighbours.ListIndex.of(neighbours.balanced_centroids(points, 60))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points.astype(float))], "vec_id long, v array<double>")
+    ratio, most = neighbours.fit_ratio(df, df.where("vec_id % 50 = 0"), index, 10)
+    asked = points[::50]
+    row, lists = index.lists(asked, ratio, max(neighbours.BEAM, most + most // 4))
+    reads = np.bincount(row, minlength=len(asked))
+    assert 1 <= reads.min() < reads.max() < len(index.centroids) and reads.mean() < 0.5 * len(index.centroids) and ratio > 1
+    d = neighbours.distances(asked, index.centroids)
+    near = np.maximum(d.min(1), neighbours.LEAST * index.spacing.mean())
+    want = {(i, j) for i, j in zip(*np.nonzero(d <= ratio * near[:, None] * (1 - 1e-4)))}
+    got = {*zip(row.tolist(), lists.tolist(), strict=True)}
+    assert len(want - got) <= 0.01 * len(want) and all(d[i, j] <= ratio * near[i] * (1 + 1e-4) for i, j in got)
+
+
 def test_op5_round_trip(spark, tmp_path):
     texts = [*ODD, *SPECIAL, None, "same passage here " * 200, "x" + "same passage here " * 200, "twice"]
     docs = wide(spark, [*enumerate(texts), (len(texts) - 1, "twice")])

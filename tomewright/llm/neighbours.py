@@ -6,10 +6,10 @@ centroids and a graph of near centroids are all that is broadcast (MOST_LISTS ce
 Every vector of the table is put into the posting list of its nearest centroid, and boundary
 vectors into those of other centroids nearly as near, unless a list already chosen is nearer to
 that centroid than both the vector and the chosen list's own neighbours in the graph are.
-Centroids are searched by a beam over the graph. How many lists a query reads is found at the table's
-own size: PROBES vectors are compared with all others, and the least number of nearest lists is
-taken that holds TARGET of their true neighbours (all lists, if it must be). If that is a large part of the lists,
-a beam saves nothing and all centroids are compared. Vectors are compared in double
+Centroids are searched by a beam over the graph. Of the lists that it finds a query reads those that are at
+most a ratio as far as its nearest one, so a query amid a cluster reads few and one between clusters more. The ratio is fitted at the
+table's own size: PROBES vectors are compared with all others, and the least ratio is taken within which TARGET of their
+true neighbours lie; the beam is as wide as the probe that needs most. Vectors are compared in double
 precision. Lists above LIST_LIMIT rows are dealt into blocks, so equal or crowded vectors don't
 gather in one task. A query that finds too few reads all lists.
 
@@ -38,6 +38,8 @@ NEIGHBOURS, BEAM, REPLICAS = 16, 48, 4
 REPLICA_RATIO = 1.15
 #: Vectors compared with all others to find how many lists to read, and the share of their neighbours to be found.
 PROBES, TARGET = 256, 0.995
+#: Queries nearer to a centroid than this part of the lists' mean spacing count as so far away.
+LEAST = 0.1
 FANOUT, ROUNDS = 8, 8
 
 
@@ -102,8 +104,6 @@ class ListIndex:
     def search(self, vectors: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """The ``beam`` nearest centroids that the graph leads to, nearest first, and their distances."""
         n, beam = len(vectors), min(beam, len(self.centroids))
-        if 8 * beam > len(self.centroids) or beam > 4 * BEAM:
-            return self.compared(vectors, beam)
         own = (vectors * vectors).sum(1)
         squares = (self.centroids * self.centroids).sum(1)
 
@@ -156,10 +156,14 @@ class ListIndex:
         row, col = np.nonzero(chosen)
         return row, ids[row, col]
 
-    def lists(self, vectors: np.ndarray, reads: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs that queries read: their ``reads`` nearest lists."""
-        ids, dist = self.search(vectors, reads)
-        row, col = np.nonzero(np.isfinite(dist))
+    def base(self, dist: np.ndarray) -> np.ndarray:
+        """What the ratio is of: each query's distance to its nearest centroid, if that isn't next to nothing."""
+        return np.maximum(dist[:, :1], LEAST * float(self.spacing.mean()))
+
+    def lists(self, vectors: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs that queries read: the lists at most ``ratio`` as far as the nearest, of those that the graph leads to."""
+        ids, dist = self.search(vectors, beam)
+        row, col = np.nonzero(np.isfinite(dist) & (dist <= ratio * self.base(dist)))
         return row, ids[row, col]
 
 
@@ -186,7 +190,7 @@ def build(vectors: DataFrame, list_rows: int = LIST_ROWS) -> ListIndex | None:
     return ListIndex.of(balanced_centroids(np.stack(sample.v.to_numpy()).astype(np.float32), lists))
 
 
-def _listed(rows: DataFrame, index: ListIndex, how: str, *more: int) -> DataFrame:
+def _listed(rows: DataFrame, index: ListIndex, how: str, *more: float) -> DataFrame:
     """(list, vec_id, v): each vector once for each list that it is in, or reads."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
@@ -234,37 +238,39 @@ def _nearest(k: int):
     return run
 
 
-def reads_needed(vectors: DataFrame, queries: DataFrame, index: ListIndex, k: int, probes: int = PROBES, target: float = TARGET) -> int:
-    """The least number of lists that hold ``target`` of the k true neighbours of a sample of the queries."""
+def fit_ratio(vectors: DataFrame, queries: DataFrame, index: ListIndex, k: int, probes: int = PROBES, target: float = TARGET) -> tuple[float, int]:
+    """(ratio, beam): the least ratio of distances within which ``target`` of the k true neighbours of a sample of the queries
+    lie, and the most lists that one of them reads by it."""
     spark = vectors.sparkSession
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toPandas()
     if not len(some):
-        return 1
+        return 1.0, 1
     names, points = some.vec_id.to_numpy(), np.stack(some.v.to_numpy())
-    shared = spark.sparkContext.broadcast((index, names, points))
+    order, dist = index.compared(points.astype(np.float32), len(index.centroids))
+    reach = np.empty(order.shape)
+    np.put_along_axis(reach, order, dist / index.base(dist), 1)  # of each probe, how far each list is, as a ratio
+    shared = spark.sparkContext.broadcast((index, names, points, reach))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names, points = shared.value
-        rank = np.empty((len(names), len(own.centroids)), np.int32)
-        order = own.compared(points.astype(np.float32), len(own.centroids))[0]
-        np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int32)[None, :], 1)
+        own, names, points, reach = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 ids, v = part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
                 row, col, score = nearest(points, names, v, ids, k)
-                # the first list in a query's order that holds a copy of the neighbour
+                # the nearest list that holds a copy of the neighbour
                 which, lists = own.postings(v.astype(np.float32))
                 starts = np.searchsorted(which, np.arange(len(ids) + 1))
                 n = np.diff(starts)[col]
                 flat = np.repeat(starts[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                first = np.minimum.reduceat(rank[np.repeat(row, n), lists[flat]], np.cumsum(n) - n) if len(n) else np.empty(0, np.int32)
+                first = np.minimum.reduceat(reach[np.repeat(row, n), lists[flat]], np.cumsum(n) - n) if len(n) else np.empty(0)
                 yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[col]), pa.array(score), pa.array(first)], names=["query_id", "vec_id", "score", "at"])
 
-    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, at int")
+    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, at double")
     true = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("nth") <= k)
-    ranks = np.sort(np.array([r["at"] for r in true.select("at").collect()], np.int64))
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))))]) + 1 if len(ranks) else 1
+    ratios = np.sort(np.array([r["at"] for r in true.select("at").collect()]))  # k for each probe
+    ratio = float(ratios[min(len(ratios) - 1, int(np.ceil(target * len(ratios))))]) * (1 + 1e-6) if len(ratios) else 1.0
+    return max(1.0, ratio), int((reach <= ratio).sum(1).max(initial=1))
 
 
 def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS) -> DataFrame:
@@ -280,8 +286,9 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_
     sizes = F.broadcast(materialize(sizes, "lists"))
     posted = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = vectors.where(queries)
-    reads = max(min(BEAM, len(index.centroids)), reads_needed(vectors, asked, index, k))
-    found = materialize(_compare(_listed(asked, index, "lists", reads), posted, sizes, k), "found")
+    ratio, most = fit_ratio(vectors, asked, index, k)
+    # a beam wider than what is read, so that the last ones are found too
+    found = materialize(_compare(_listed(asked, index, "lists", ratio, max(BEAM, most + most // 4)), posted, sizes, k), "found")
     n = vectors.count()
     enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("c")).where(F.col("c") >= min(k, n - 1))
     short = asked.join(enough, asked.vec_id == enough.query_id, "left_anti")
