@@ -7,9 +7,10 @@ Every vector of the table is put into the posting list of its nearest centroid,
 vectors into those of other centroids nearly as near, unless a list already chosen is nearer to
 that centroid than both the vector and the chosen list's own neighbours in the graph are.
 Centroids are searched by a beam over the graph. Of the lists that it finds a query reads those that are at
-most a ratio as far as its nearest one, so a query amid a cluster reads few and one between clusters more. The ratio is fitted at the
-table's own size: PROBES vectors are compared with all others, and the least ratio is taken within which TARGET of their
-true neighbours lie; the beam is as wide as the probe that needs most. Vectors are compared in double
+most a ratio as far as its nearest one, so a query amid a cluster reads few and one between clusters more. Ratio and beam are fitted at the
+table's own size: PROBES vectors are compared with all others; the beam is the least that holds TARGET of their true
+neighbours, and the ratio the least within which WITHIN of those lie. A query's nearest list is read first; from the others only vectors come
+that are no farther than the k-th found there. Vectors are compared in double
 precision. Lists above LIST_LIMIT rows are dealt into blocks, so equal or crowded vectors don't
 gather in one task. A query that finds too few reads all lists.
 
@@ -37,7 +38,7 @@ NEIGHBOURS, BEAM, REPLICAS = 16, 48, 4
 #: A vector is replicated to lists whose centroid is within this ratio of the nearest.
 REPLICA_RATIO = 1.15
 #: Vectors compared with all others to find how many lists to read, and the share of their neighbours to be found.
-PROBES, TARGET = 256, 0.995
+PROBES, TARGET, WITHIN = 256, 0.995, 0.997
 #: Queries nearer to a centroid than this part of the lists' mean spacing count as so far away.
 LEAST = 0.1
 FANOUT, ROUNDS = 8, 8
@@ -160,9 +161,11 @@ class ListIndex:
         """What the ratio is of: each query's distance to its nearest centroid, if that isn't next to nothing."""
         return np.maximum(dist[:, :1], LEAST * float(self.spacing.mean()))
 
-    def lists(self, vectors: np.ndarray, ratio: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) pairs that queries read: the lists at most ``ratio`` as far as the nearest, of those that the graph leads to."""
-        ids, dist = self.search(vectors, beam)
+    def lists(self, vectors: np.ndarray, ratio: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) pairs that queries read, nearest first: of the ``most`` nearest lists that the graph leads to, those at
+        most ``ratio`` as far as the nearest."""
+        ids, dist = self.search(vectors, max(BEAM, most + most // 4))  # wider than what is read, so that the last are found too
+        ids, dist = ids[:, :most], dist[:, :most]
         row, col = np.nonzero(np.isfinite(dist) & (dist <= ratio * self.base(dist)))
         return row, ids[row, col]
 
@@ -190,8 +193,8 @@ def build(vectors: DataFrame, list_rows: int = LIST_ROWS) -> ListIndex | None:
     return ListIndex.of(balanced_centroids(np.stack(sample.v.to_numpy()).astype(np.float32), lists))
 
 
-def _listed(rows: DataFrame, index: ListIndex, how: str, *more: float) -> DataFrame:
-    """(list, vec_id, v): each vector once for each list that it is in, or reads."""
+def _listed(rows: DataFrame, index: ListIndex, how: str, *more: float, ranked: bool = False) -> DataFrame:
+    """(list, vec_id, v): each vector once for each list that it is in, or reads; ``ranked`` adds ``nth``, from 0 for its first."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +204,11 @@ def _listed(rows: DataFrame, index: ListIndex, how: str, *more: float) -> DataFr
                 part = batch.slice(at, 2048)
                 flat = part.column(1).flatten().to_numpy()
                 row, lists = getattr(own, how)(flat.reshape(part.num_rows, -1).astype(np.float32), *more)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take)], names=["list", "vec_id", "v"])
+                take, nth = pa.array(row), (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
+                arrays = [pa.array(lists.astype(np.int32)), part.column(0).take(take), part.column(1).take(take), pa.array(nth)]
+                yield pa.RecordBatch.from_arrays(arrays[: 3 + ranked], names=["list", "vec_id", "v", "nth"][: 3 + ranked])
 
-    return rows.select("vec_id", "v").mapInArrow(run, "list int, vec_id long, v array<double>")
+    return rows.select("vec_id", "v").mapInArrow(run, "list int, vec_id long, v array<double>" + ", nth int" * ranked)
 
 
 def nearest(queries: np.ndarray, names: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,26 +237,29 @@ def _nearest(k: int):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
         names, ids = queries.vec_id.to_numpy(), rows.vec_id.to_numpy()
         row, col, score = nearest(np.stack(queries.v.to_numpy()), names, np.stack(rows.v.to_numpy()), ids, k)
+        kept = score <= queries.bound.to_numpy()[row]
+        row, col, score = row[kept], col[kept], score[kept]
         return pd.DataFrame({"query_id": names[row], "vec_id": ids[col], "score": score})
 
     return run
 
 
 def fit_ratio(vectors: DataFrame, queries: DataFrame, index: ListIndex, k: int, probes: int = PROBES, target: float = TARGET) -> tuple[float, int]:
-    """(ratio, beam): the least ratio of distances within which ``target`` of the k true neighbours of a sample of the queries
-    lie, and the most lists that one of them reads by it."""
+    """(ratio, most): the least number of nearest lists that hold ``target`` of the k true neighbours of a sample of the
+    queries, and the least ratio of distances within which WITHIN of those lie."""
     spark = vectors.sparkSession
     some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(probes).toPandas()
     if not len(some):
         return 1.0, 1
     names, points = some.vec_id.to_numpy(), np.stack(some.v.to_numpy())
     order, dist = index.compared(points.astype(np.float32), len(index.centroids))
-    reach = np.empty(order.shape)
+    reach, rank = np.empty(order.shape), np.empty(order.shape, np.int32)
+    np.put_along_axis(rank, order, np.arange(order.shape[1], dtype=np.int32)[None, :], 1)
     np.put_along_axis(reach, order, dist / index.base(dist), 1)  # of each probe, how far each list is, as a ratio
-    shared = spark.sparkContext.broadcast((index, names, points, reach))
+    shared = spark.sparkContext.broadcast((index, names, points, reach, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names, points, reach = shared.value
+        own, names, points, reach, rank = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -263,14 +270,19 @@ def fit_ratio(vectors: DataFrame, queries: DataFrame, index: ListIndex, k: int,
                 starts = np.searchsorted(which, np.arange(len(ids) + 1))
                 n = np.diff(starts)[col]
                 flat = np.repeat(starts[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                first = np.minimum.reduceat(reach[np.repeat(row, n), lists[flat]], np.cumsum(n) - n) if len(n) else np.empty(0)
-                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[col]), pa.array(score), pa.array(first)], names=["query_id", "vec_id", "score", "at"])
+                first = lambda of: np.minimum.reduceat(of[np.repeat(row, n), lists[flat]], np.cumsum(n) - n) if len(n) else np.empty(0, of.dtype)  # noqa: B023, E731
+                arrays = [names[row], ids[col], score, first(reach), first(rank)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["query_id", "vec_id", "score", "at", "nth_list"])
 
-    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, at double")
+    found = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, at double, nth_list int")
     true = found.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("nth") <= k)
-    ratios = np.sort(np.array([r["at"] for r in true.select("at").collect()]))  # k for each probe
-    ratio = float(ratios[min(len(ratios) - 1, int(np.ceil(target * len(ratios))))]) * (1 + 1e-6) if len(ratios) else 1.0
-    return max(1.0, ratio), int((reach <= ratio).sum(1).max(initial=1))
+    told = true.select("at", "nth_list").collect()  # k rows for each probe
+    if not told:
+        return 1.0, 1
+    at = lambda found, share: np.sort(found)[min(len(found) - 1, int(np.ceil(share * len(found))))]
+    ratios, ranks = (np.array([r[c] for r in told]) for c in ("at", "nth_list"))
+    most = int(at(ranks, target)) + 1
+    return max(1.0, float(at(ratios[ranks < most], WITHIN)) * (1 + 1e-6)), most
 
 
 def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS) -> DataFrame:
@@ -287,22 +299,27 @@ def search(rows: DataFrame, queries: Column, *, k: int = 10, id_col: str = "vec_
     posted = posted.join(sizes, "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     asked = vectors.where(queries)
     ratio, most = fit_ratio(vectors, asked, index, k)
-    # a beam wider than what is read, so that the last ones are found too
-    found = materialize(_compare(_listed(asked, index, "lists", ratio, max(BEAM, most + most // 4)), posted, sizes, k), "found")
+    reads = materialize(_listed(asked, index, "lists", ratio, most, ranked=True), "reads")
+    near = materialize(_compare(reads.where("nth = 0").withColumn("bound", F.lit(float("inf"))), posted, sizes, k), "near")
+    # the k-th found in the nearest list bounds what the others can add
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    bounds = near.distinct().withColumn("nth", nth).where(F.col("nth") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    others = reads.where("nth > 0").drop("nth").join(bounds, "vec_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    found = materialize(near.unionByName(_compare(others, posted, sizes, k)), "found")
     n = vectors.count()
     enough = found.groupBy("query_id").agg(F.count_distinct("vec_id").alias("c")).where(F.col("c") >= min(k, n - 1))
     short = asked.join(enough, asked.vec_id == enough.query_id, "left_anti")
     if n > 1 and short.limit(1).count():
         everywhere = short.select(F.explode(F.sequence(F.lit(0), F.lit(len(index.centroids) - 1))).alias("list"), "vec_id", "v")
-        found = found.unionByName(_compare(everywhere, posted, sizes, k))
+        found = found.unionByName(_compare(everywhere.withColumn("bound", F.lit(float("inf"))), posted, sizes, k))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def _compare(asked: DataFrame, posted: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
-    """The k nearest of each block that a query reads."""
+    """The k nearest of each block that a query reads, those within its ``bound``."""
     spread = asked.join(sizes, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = spread.select("list", "block", "vec_id", "v").groupBy("list", "block")
+    left = spread.select("list", "block", "vec_id", "v", "bound").groupBy("list", "block")
     right = posted.select("list", "block", "vec_id", "v").groupBy("list", "block")
     return left.cogroup(right).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
