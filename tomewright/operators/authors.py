@@ -1,13 +1,15 @@
-"""Author names that are one person's: exact keys, then greedy clusters inside a block."""
+"""Author names that are one person's: exact keys, then greedy clusters of alike ones."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomewright.functions import columns as C
-from tomewright.functions import fixed, names, udfs
+from tomewright.functions import fixed, udfs
+from tomewright.operators import similarity
+from tomewright.operators.components import connected_components
+from tomewright.session import materialize
 
 
 def counts(books: DataFrame) -> DataFrame:
@@ -27,50 +29,51 @@ def preference(name: str = "name", n: str = "n", trust: str = "trust", key: str
     )
 
 
-def _greedy(threshold: int, gray: int, largest: int):
-    """Clusters of one block's keys in ascending order: pairs join in the order they are met, two clusters never merge."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = sorted(set(rows.key))
-        rejected = {(a, b) for pairs in rows.rejected for a, b in (pairs if pairs is not None else [])}
-        owner: dict[str, int] = {}
-        clusters: list[list] = []
-        for i, a in enumerate(keys if 2 <= len(keys) <= largest else []):
-            for b in keys[i + 1 :]:
-                s = names.token_sort(a, b)
-                if s < gray or (a, b) in rejected or (a in owner and b in owner):
-                    continue
-                ends = [set(k.split()) & set(fixed.NAME_SUFFIXES) for k in (a, b)]
-                level = "low" if ends[0] != ends[1] or s < threshold else "medium"
-                if a not in owner and b not in owner:
-                    owner[a] = owner[b] = len(clusters)
-                    clusters.append([level])
-                    continue
-                home = owner.get(a, owner.get(b))
-                owner[a] = owner[b] = home
-                if level == "low":
-                    clusters[home][0] = "low"
-        found = [(k, min(x for x in owner if owner[x] == owner[k]), clusters[owner[k]][0]) for k in owner]
-        return pd.DataFrame(found, columns=["key", "cluster", "confidence"])
-
-    return run
-
-
-def cluster(named: DataFrame, rejected: DataFrame | None = None, threshold: int = 90, gray: int = 82, largest: int = 3000) -> DataFrame:
-    """(confidence, canonical, variants) of groups of names from (name, n, trust), in order of confidence and size."""
+def greedy_clusters(edges: DataFrame) -> DataFrame:
+    """(key, cluster, confidence) that the greedy rule makes of edges (a, b, level; a < b), taken in order of a, then b: an edge
+    whose ends both are in clusters does nothing; else its free ends join, and a cluster that a low edge has joined is low.
+
+    A key is free until its first edge, so it is by its first edge that it joins: the edges that do something are those that are
+    the first of one of their ends, and the clusters are what these connect. That needs no order between
+    tasks: a least edge of each key, then components."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("key"), F.struct("a", "b", "level").alias("edge"))
+    first = materialize(ends.groupBy("key").agg(F.min("edge").alias("edge")).select("edge.*").distinct(), "first-edges")
+    roots = connected_components(first, "a", "b")
+    low = first.join(roots, first.a == roots.node).groupBy("root").agg(F.max(F.col("level") == "low").alias("low"))
+    # a cluster is called by its least key, which is the root
+    return roots.join(low, "root").select(F.col("node").alias("key"), F.col("root").alias("cluster"), F.when(F.col("low"), "low").otherwise("medium").alias("confidence"))
+
+
+def alike(keys: DataFrame, threshold: int, gray: int) -> DataFrame:
+    """(a, b, level) of keys (block, key) of one block that are alike from ``gray`` on, whatever the order of their words."""
+    words = F.array_join(F.array_sort(F.filter(F.split("key", r"\s+"), lambda w: w != "")), " ")
+    rows = keys.select("block", "key", words.alias("words"))
+    met = similarity.candidates(rows, ["block"], "words", gray / 100)
+    side = lambda x: rows.select("block", F.col("key").alias(f"key{x}"), F.col("words").alias(f"text{x}"))
+    pairs = met.join(side(1), ["block", "text1"]).join(side(2), ["block", "text2"]).select(F.least("key1", "key2").alias("a"), F.greatest("key1", "key2").alias("b"))
+    # the same words in another order
+    twins = side(1).join(side(2).withColumnRenamed("text2", "text1"), ["block", "text1"]).where("key1 < key2").select(F.col("key1").alias("a"), F.col("key2").alias("b"))
+    scored = pairs.unionByName(twins).withColumn("s", udfs.token_sort("a", "b")).where(F.col("s") >= gray)
+    suffixes = lambda c: F.array_sort(F.array_intersect(F.split(c, " "), F.array(*map(F.lit, fixed.NAME_SUFFIXES))))
+    low = (suffixes("a") != suffixes("b")) | (F.col("s") < threshold)
+    return scored.select("a", "b", F.when(low, "low").otherwise("medium").alias("level"))
+
+
+def cluster(named: DataFrame, rejected: DataFrame | None = None, threshold: int = 90, gray: int = 82, votes: DataFrame | None = None) -> DataFrame:
+    """(confidence, canonical, variants) of groups of names from (name, n, trust), in order of confidence and size.
+
+    ``rejected`` (a, b) are pairs of keys that are known to be different people. ``votes`` (name, votes) are what sources say of
+    the spelling (``enrich.spelling_votes``): they decide between spellings of as many books."""
     rows = named.where(F.trim("name") != "").withColumn("key", udfs.author_key("name"))
+    if votes is not None:
+        told = votes.select("name", F.col("votes").alias("_votes"))
+        rows = rows.join(told, "name", "left").withColumn("trust", F.coalesce("_votes", F.lit(0)) * 1000 + F.col("trust")).drop("_votes")
     best = rows.groupBy("key").agg(F.max_by("name", preference()).alias("rep"), F.count("*").alias("spellings"))
-    blocks = best.withColumn("block", C.signature(udfs.author_key("rep")))
-    # blocks that are too large are left out by their count, before their rows could meet in a task
-    sized = blocks.groupBy("block").agg(F.count("*").alias("_n")).where(F.col("_n").between(2, largest)).select("block")
-    blocks = blocks.join(sized, "block", "left_semi")
-    if rejected is None:
-        pairs = F.array().cast("array<struct<a:string,b:string>>")
-        blocks = blocks.withColumn("rejected", pairs)
-    else:
-        by_key = rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).groupBy("a").agg(F.collect_set(F.struct("a", "b")).alias("rejected"))
-        blocks = blocks.join(by_key, blocks.key == by_key.a, "left").drop("a")
-    fuzzy = blocks.select("block", "key", F.transform("rejected", lambda p: F.array(p["a"], p["b"])).alias("rejected")).groupBy("block").applyInPandas(_greedy(threshold, gray, largest), "key string, cluster string, confidence string")
+    edges = alike(best.select(C.signature(udfs.author_key("rep")).alias("block"), "key"), threshold, gray)
+    if rejected is not None:
+        apart = rejected.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        edges = edges.join(apart, ["a", "b"], "left_anti")
+    fuzzy = greedy_clusters(edges)
     grouped = rows.join(fuzzy, "key", "left").join(best.select("key", "spellings"), "key")
     grouped = grouped.where(F.col("cluster").isNotNull() | (F.col("spellings") > 1)).withColumns({"grp": F.coalesce(F.concat(F.lit("f|"), "cluster"), F.concat(F.lit("k|"), "key")), "confidence": F.coalesce("confidence", F.lit("high"))})
     glued = rows.where(C.looks_glued("name") & (F.col("n") > 0)).withColumns({"grp": F.concat(F.lit("g|"), "name"), "confidence": F.lit("glued")})

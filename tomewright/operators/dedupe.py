@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomewright.functions import columns as C
 from tomewright.functions import fixed, udfs
+from tomewright.operators import similarity
 from tomewright.operators.components import connected_components
 from tomewright.session import materialize
 
@@ -114,15 +115,8 @@ def _met(a: DataFrame, b: DataFrame, on: list[str], *where: str) -> DataFrame:
 
 def title_candidates(of: DataFrame, threshold: float) -> DataFrame:
     """(kind, surname, nums, nt1, nt2), nt1 < nt2: different titles of one surname and the same numbers that may be
-    alike from ``threshold`` on. See ``udfs.rare_pairs`` for why none is missed."""
-    titles = of.select("kind", "surname", "nums", "nt").distinct()
-    grams = titles.select(F.explode(udfs.letter_pairs("nt")).alias("gram")).groupBy("gram").count()
-    common = {r.gram: r["count"] for r in grams.collect()}  # titles are folded to ASCII: some 40 x 40 pairs of letters at most
-    keyed = titles.withColumn("gram", F.explode(udfs.rare_pairs(threshold, common)("nt")))
-    on = ["kind", "surname", "nums", "gram"]
-    met = keyed.withColumnRenamed("nt", "nt1").join(keyed.withColumnRenamed("nt", "nt2"), on).where("nt1 < nt2")
-    n1, n2 = F.length("nt1"), F.length("nt2")
-    return met.where(F.least(n1, n2) * 2 >= (threshold - 1e-9) * (n1 + n2)).select("kind", "surname", "nums", "nt1", "nt2").distinct()
+    alike from ``threshold`` on."""
+    return similarity.candidates(of, ["kind", "surname", "nums"], "nt", threshold).withColumnsRenamed({"text1": "nt1", "text2": "nt2"})
 
 
 def near(of: DataFrame, threshold: int, every: bool) -> DataFrame:
