@@ -143,3 +143,30 @@ def test_rare_pairs_miss_nothing_and_cut_candidates(spark):
         shared = len(set(udfs._pairs_of(a)) & set(udfs._pairs_of(b)))
         if a != b and s > 0.67:
             assert shared >= udfs._fewest_shared(len(a), s) and shared >= udfs._fewest_shared(len(b), s)
+
+
+def test_decisions_on_groups_and_policies(spark):
+    from test_catalog import book, frame
+
+    books = frame(spark, [
+        book(id=1, title="Emma", author="Jane Austen", kind="ebook", files=["/l/e.epub"], fingerprint="f1", src_display="e1"), book(id=2, title="Emma", author="Jane Austen", kind="ebook", files=["/l/e.mobi"], fingerprint="f2", src_display="e2"),
+        book(id=3, title="Dune", author="Frank Herbert", fingerprint="f3", files=["/l/3.mp3"]), book(id=4, title="Dune", author="Frank Herbert", fingerprint="f4", files=["/l/4.mp3"]),
+        book(id=5, title="Kim", author="Rudyard Kipling", fingerprint="f5", files=["/l/5.mp3"]), book(id=6, title="Kim", author="Rudyard Kipling", fingerprint="f6", files=["/l/6.mp3"]),
+    ])
+    files = spark.createDataFrame([(f"/l/{i}.mp3", 10 * i, None) for i in range(3, 7)] + [("/l/e.epub", 5, None), ("/l/e.mobi", 6, None)], "path string, size long, mtime timestamp")
+    found = dedupe.groups(books, files)
+    rows = {tuple(g.ids): g for g in found.collect()}
+    assert set(rows) == {(1, 2), (3, 4), (5, 6)}
+    other = 3 if rows[3, 4].keep == 4 else 4
+    told = spark.createDataFrame([(rows[1, 2].key, "merge", None), (rows[3, 4].key, "keep", other), (rows[5, 6].key, "dismiss", None), ("gone", "keep", 1)], "key string, action string, keep long")
+    after, corrections, journal, dismissed = dedupe.decide(books, found, told)
+    status = {r.id: r for r in after.collect()}
+    merged = rows[1, 2].keep
+    assert set(status) == {merged, 3, 4, 5, 6} and len(status[merged].files) == 2
+    assert status[other].status == "ready" and status[7 - other].status == "skipped" and status[7 - other].dup_skipped and {status[5].status, status[6].status} == {"ready"}
+    assert [r.key for r in dismissed.collect()] == [rows[5, 6].key] and corrections.count() == 2 and {r.action for r in journal.collect()} == {"merge-formats", "skip-duplicate"}
+    assert (5, 6) not in {tuple(g.ids) for g in dedupe.groups(books, files, dismissed).collect()}
+    largest = {tuple(r.ids): r.keep for r in dedupe.by_policy(books, files, found, "keep_largest").collect()}
+    assert largest == {(1, 2): 2, (3, 4): 4, (5, 6): 6} and dedupe.by_policy(books, files, found, "keep_all").count() == 0
+    with pytest.raises(ValueError, match="unknown policy"):
+        dedupe.by_policy(books, files, found, "x")

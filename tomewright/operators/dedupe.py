@@ -262,3 +262,37 @@ def resolve(books: DataFrame, found: DataFrame, action: str = "smart") -> tuple[
     corrections = gone.select(F.col("fingerprint").alias("fp"), F.when(F.col("merged"), F.create_map(F.lit("_merge_into"), F.col("keep_fp"))).otherwise(F.create_map(F.lit("_status"), F.lit("skipped"))).alias("fields"))
     journal = gone.select(F.when(F.col("merged"), "merge-formats").otherwise("skip-duplicate").alias("action"), "src", "dest", F.lit("").alias("detail"))
     return after, corrections, journal
+
+
+def by_policy(books: DataFrame, files: DataFrame, found: DataFrame, policy: str) -> DataFrame:
+    """The groups of ``found`` with the keeper that a policy chooses (see ``POLICIES``); 'smart' leaves the recommended one,
+    'keep_all' and 'manual' leave no group to be resolved."""
+    if policy == "smart":
+        return found
+    if policy in ("keep_all", "manual"):
+        return found.where("false")
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy {policy}")
+    members = found.select("key", F.explode("ids").alias("id")).join(file_stats(books, files), "id")
+    kept = keepers(members, policy, group="key").select("key", F.col("id").alias("_keep"))
+    chosen = found.join(kept, "key", "left").withColumns({"keep": F.coalesce("_keep", "keep"), "merge_formats": F.lit(False)})
+    return chosen.select(*found.columns)
+
+
+def decide(books: DataFrame, found: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(books, corrections, journal, dismissed) after decisions (key, action, keep) on single groups: 'keep' skips all but the
+    keeper, 'merge' puts ebooks of other formats into it, 'dismiss' remembers that these are no duplicates. A ``keep`` that is null,
+    or no member, is the recommended one; groups that aren't there any more are passed over."""
+    from tomewright.operators.decisions import status
+
+    told = decisions.select("key", "action", F.col("keep").alias("_keep")).join(found, "key")
+    told = told.withColumn("keep", F.when(F.array_contains("ids", F.col("_keep")), F.col("_keep")).otherwise(F.col("keep")))
+    dismissed = told.where("action = 'dismiss'").select("key", F.current_timestamp().alias("ts")).distinct()
+    kinds = books.select(F.col("id").alias("keep"), F.col("kind").alias("_kind"))
+    merge = (F.col("action") == "merge") & (F.col("_kind") == "ebook")
+    acted = told.where("action <> 'dismiss'").join(kinds, "keep").withColumn("merge_formats", merge)
+    after, corrections, journal = resolve(books, acted.select(*found.columns), "smart")
+    back = after.join(acted.select(F.col("keep").alias("id"), F.lit(True).alias("_kept")).distinct(), "id", "left")
+    again = F.col("_kept").isNotNull() & (F.col("status") == "skipped")
+    back = back.withColumn("status", F.when(again, status(F.col("author"), F.col("title"), F.lit("pending"))).otherwise(F.col("status")))
+    return back.select(*books.columns), corrections, journal, dismissed
