@@ -307,6 +307,8 @@ def test_op6_edges(spark):
       ('m', 'prefix', 'a.b.example.com/en', 'add', timestamp '2024-01-01 00:00:00'), ('m', 'prefix', 'a.b.example.com/en', 'add', timestamp '2024-01-01 00:00:00'), ('n', 'host', 'b.example.com', 'add', timestamp '2024-02-01 00:00:00') AS t(list, kind, key, action, at)""")
     got = {r.page_id: (r.n_lists, r.list) for r in urlfilter.evaluate(pages, entries).collect()}
     assert got == {1: (2, "l"), 2: (1, "m"), 3: (0, None), 4: (0, None), 5: (0, None), 6: (1, "l")}
+    capitals = spark.sql("SELECT 'm' AS list, 'prefix' AS kind, explode(array('A.B.Example.com/en/', 'B.example.com/en')) AS key, 'add' AS action, timestamp '2024-01-01 00:00:00' AS at")
+    assert {r.page_id for r in urlfilter.evaluate(pages, capitals).where("blocked").collect()} == {1, 2}
     assert urlfilter.evaluate(pages, entries.where("false")).where("blocked").count() == 0
     assert urlfilter.evaluate(pages.where("false"), entries).count() == 0
 

@@ -11,6 +11,7 @@ spread over time, and many changes of one entry don't meet all captures of it. B
 join are plain exchanges, so Spark splits a key that still has too many captures within a period.
 
 Defined results: null or odd URLs have no host and match nothing; a null fetch time matches nothing;
+hosts of entries and URLs are compared without case, paths with it;
 of changes on one date removal is the last; repeated captures are judged each; repeated entries count
 once; without entries nothing is blocked; other columns, also of clashing names, are ignored; of a URL
 of any length only the prefixes that an entry can have are looked up."""
@@ -58,7 +59,10 @@ def keys_of(url: Column, deepest: int) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, key, since, until) of entries (list, kind, key, action, at): when each was active."""
     changes = entries.select("list", "kind", F.lower("key").alias("_low"), "key", "action", "at").where("at IS NOT NULL AND key IS NOT NULL")
-    key = F.when(F.col("kind") == "prefix", F.col("key")).otherwise(F.col("_low"))
+    # hosts have no case, paths do; a last slash says nothing
+    host = F.substring_index("key", "/", 1)
+    prefix = F.rtrim(F.concat(F.lower(host), F.substr("key", F.length(host) + 1)), F.lit("/"))
+    key = F.when(F.col("kind") == "prefix", prefix).otherwise(F.col("_low"))
     last = changes.groupBy("list", "kind", key.alias("key"), "at").agg(F.max("action").alias("action"))  # add < remove
     following = F.lead("at").over(Window.partitionBy("list", "kind", "key").orderBy("at"))
     return last.withColumn("until", following).where("action = 'add'").select("list", "kind", "key", F.col("at").alias("since"), "until")
