@@ -48,6 +48,9 @@ def test_structure():
     assert main_text("<div role=navigation>menu</div><div role=main><p>text</p></div><p>out</p>") == "text"
     assert main_text('<div class="top-nav">menu</div><div class="post-content"><p>a long enough text</p></div><p>out</p>') == "a long enough text"
     assert main_text("<p>only<p>paragraphs &am &amp &quo") == "only paragraphs &am & &quo"
+    assert main_text('<div class="has-sidebar with-comments"><p>all of it</p><p>text <span class="ad">buy</span> more</p></div>') == "all of it text more"
+    assert main_text('<article class="post comment-open"><p>a</p><article class="comment">b</article></article>') == "a"
+    assert main_text('<div class="sidebar-wrap"><article><p>kept</p><div class="share">no</div></article></div>') == "kept"
     assert main_text("") == main_text("<!-- never closed") == main_text("<script>never closed") == ""
     assert main_text("a < b and <") == "a < b and <"
 

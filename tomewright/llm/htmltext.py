@@ -39,6 +39,7 @@ _MARKUP = re.compile(
     | <[!?/][^>]*+>"""
 )
 _ATTRIBUTE = re.compile(r"""(?s)([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_STATE = re.compile(r"(?i)(?:has|have|with|without|no|is|hide|show|open|close|toggle)[-_]")
 _WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,8 +85,13 @@ def _marks(tag: str, attributes: str, in_content: bool) -> tuple[bool, bool, boo
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id") and tag not in ("html", "body"):
-                words = {w.lower() for w in _WORD.findall(value)}
-                flagged = not words.isdisjoint(NOISE_WORDS) or not in_content and not words.isdisjoint(NOISE_WORDS_OUTSIDE)
+                # names that tell what a part has or lacks ('has-sidebar') don't tell what it is
+                told = [x for x in value.split() if not _STATE.match(x)]
+                words = {w.lower() for x in told for w in _WORD.findall(x)}
+                if tag == "article":  # 'comment' is a reader's, 'post comment-open' an article
+                    flagged = not NOISE_WORDS.isdisjoint(x.lower() for x in told)
+                else:
+                    flagged = not words.isdisjoint(NOISE_WORDS) or not in_content and not words.isdisjoint(NOISE_WORDS_OUTSIDE)
                 noise = noise or flagged and tag != "main"
                 named = named or not flagged and not words.isdisjoint(NAMED)
             elif name == "role":
@@ -142,6 +148,8 @@ def lines_of(html: str) -> list[Line]:
         if tag not in INLINE:
             flush()
         if ends:
+            if tag in INLINE and depth[0]:
+                flush()  # words in a line that are an advert end here
             close_to({tag}, frozenset() if tag not in INLINE else _BARRIERS)
             continue
         if tag == "p" or tag not in INLINE and tag not in VOID:
