@@ -166,7 +166,7 @@ def edges(recs: DataFrame, threshold: int = 90, largest: int | None = None, bloc
         pairs = linked(_sized(recs.where(condition), capped, largest), keys, "seq" if guarded else None)
         found.append(pairs.select("src", "dst", F.lit(reason).alias("reason"), F.lit(100).alias("score")))
     in_block = _sized(recs.where("surname <> ''"), ["kind", "surname"], block)
-    of = classes(in_block)
+    of = materialize(classes(in_block), "title-classes")  # read by every branch below
     close = near(of, threshold, every)
     if every:
         member = in_block.select("id", *_CLASS).join(of.select("least", *_CLASS), _CLASS).select("id", "least")

@@ -16,6 +16,7 @@ from tomewright.operators import decisions as D
 from tomewright.operators import views as V
 from tomewright.plans.registry import query
 from tomewright.plans.scan import conform
+from tomewright.session import materialize
 from tomewright.sources import metadata, tree
 
 FIELDS = {
@@ -341,7 +342,7 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         F.col("p_partkey").alias("id"), F.lit("ebook").alias("kind"), F.col("p_name").alias("title"), F.concat(F.lit("Maker "), F.translate("p_brand", "0123456789#", "abcdefghij")).alias("author"), F.lit("ready").alias("status"),
     )
-    return dedupe.edges(dedupe.records(conform(rows)), threshold=80, every=True)
+    return dedupe.edges(materialize(dedupe.records(conform(rows)), "recs"), threshold=80, every=True)
 
 
 assert set(FIELDS) - {"id", "path", "size"} <= {x.split()[0] for x in schema.BOOK.replace("\n", " ").split(", ")}
