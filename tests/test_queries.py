@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import pytest
@@ -13,6 +14,7 @@ from tomewright.functions import columns as C
 from tomewright.functions import names
 from tomewright.operators import authors
 from tomewright.plans import registry
+from tomewright.sources import tree
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -78,3 +80,27 @@ def test_entry_without_the_training_operators(tmp_path):
     shutil.copytree(repo / "tomewright", tmp_path / "tomewright", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.registry.QUERIES), len(e.oracle_sql()) > 30)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True).stdout.split() == ["True", "True"]
+
+
+def _one_table(tmp_path, spark, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    return con
+
+
+def test_book_fingerprints_hold_no_list_a_part(spark, tmp_path):
+    """Odd books equal the SQL, and what is dealt for a part doesn't grow with its book."""
+    rows = [(i, "s", "en") for i in range(3000)] + [(i, "s", None) for i in range(3)] + [(3, "s", None), (None, "t", "x"), (None, "u", "en"), (5, "u", "en")]
+    con = _one_table(tmp_path, spark, "documents", rows, "doc_id long, source string, lang string")
+    made = registry.QUERIES["book_fingerprints"](spark, str(tmp_path))
+    same_rows(made, con, registry.ORACLES["book_fingerprints"])
+    books = spark.createDataFrame([("d", "audio", [f"p{i}" for i in range(3000)]), ("d", "audio", ["q"]), ("e", "ebook", ["r", "p0"])], "book_dir string, kind string, files array<string>")
+    found = tree.book_fingerprints(books, spark.range(3000).selectExpr("concat('p', id) AS rel_path", "sha1(CAST(id AS STRING)) AS fp"))
+    digest = lambda n: hashlib.sha1("|".join(sorted(hashlib.sha1(str(i).encode()).hexdigest() for i in range(n))).encode()).hexdigest()[:20]
+    assert {(r.book_dir, r.kind, len(r.files), r.fingerprint) for r in found.collect()} == {("d", "audio", 3000, digest(3000)), ("d", "audio", 1, ""), ("e", "ebook", 2, digest(1))}
+    # the list itself never goes with a part
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Aggregate" in line and "files#" in line for line in plan.splitlines())

@@ -268,9 +268,8 @@ WITH f AS (SELECT source, lang, sha1(CAST(doc_id AS VARCHAR)) AS fp FROM documen
 SELECT source AS book_dir, lang AS kind, count(*) AS parts, substr(sha1(string_agg(fp, '|' ORDER BY fp)), 1, 20) AS fingerprint FROM f GROUP BY source, lang""")
 def book_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("source").alias("book_dir"), F.col("lang").alias("kind"), F.col("doc_id").cast("string").alias("rel_path"))
-    made = parts.groupBy("book_dir", "kind").agg(F.array_sort(F.collect_list("rel_path")).alias("files"))
-    found = tree.book_fingerprints(made, parts.select("rel_path", F.sha1("rel_path").alias("fp")))
-    return found.select("book_dir", "kind", F.size("files").cast("long").alias("parts"), "fingerprint")
+    fps = parts.select("rel_path").distinct().withColumn("fp", F.sha1("rel_path"))
+    return tree.fingerprints_of_parts(parts, fps, ["book_dir", "kind"]).withColumn("fingerprint", F.nullif("fingerprint", F.lit("")))
 
 
 @query("probed_books", """WITH p AS (SELECT l_orderkey AS id, sum(l_quantity) AS duration, arg_min(CAST(l_suppkey AS INT), l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) AS bitrate,

@@ -10,6 +10,8 @@ import os
 from datetime import datetime, timezone
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -192,9 +194,42 @@ def content_fingerprint(content, length):
     return F.sha1(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, 65536), tail))
 
 
+def fingerprints_of_parts(parts: DataFrame, fps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts, fingerprint) of the books that ``keys`` name, from a row a part: SHA-1 over the parts' sorted fingerprints,
+    20 digits; an empty string where no part has one.
+
+    Fingerprints are sorted by Spark and digested as they come, so no task holds those of a whole book."""
+    book = F.sha1(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    met = parts.join(fps.where("fp <> ''").select("rel_path", "fp"), "rel_path", "left").select(book.alias("_book"), *keys, "fp")
+    told = met.groupBy("_book", *keys).agg(F.count("*").alias("parts"))
+    rows = met.where("fp IS NOT NULL").select("_book", "fp").repartition("_book").sortWithinPartitions("_book", "fp")
+
+    def run(batches):
+        open_book, digest = None, None
+        for batch in batches:
+            names, values = batch.column(0), batch.column(1)
+            ends = pc.run_end_encode(names)
+            start = 0
+            for name, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+                joined = "|".join(values.slice(start, end - start).to_pylist()).encode()
+                start = end
+                if name == open_book:
+                    digest.update(b"|" + joined)
+                    continue
+                if digest:
+                    yield pa.RecordBatch.from_pydict({"_book": [open_book], "fingerprint": [digest.hexdigest()[:20]]})
+                open_book, digest = name, hashlib.sha1(joined)
+        if digest:
+            yield pa.RecordBatch.from_pydict({"_book": [open_book], "fingerprint": [digest.hexdigest()[:20]]})
+
+    made = rows.mapInArrow(run, "_book string, fingerprint string")
+    return told.join(made, "_book", "left").select(*keys, "parts", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
+
+
 def book_fingerprints(books: DataFrame, fps: DataFrame) -> DataFrame:
-    """(book columns, fingerprint): SHA-1 over the parts' sorted fingerprints, 20 digits."""
-    parts = books.select("book_dir", "kind", "files", F.explode("files").alias("rel_path")).join(fps.where("fp <> ''"), "rel_path", "left")
-    joined = F.array_join(F.array_sort(F.collect_list("fp")), "|")
-    made = parts.groupBy("book_dir", "kind", "files").agg(F.when(joined != "", F.substring(F.sha1(joined), 1, 20)).otherwise("").alias("fingerprint"))
-    return books.join(made, ["book_dir", "kind", "files"])
+    """(book columns, fingerprint): SHA-1 over the parts' sorted fingerprints, 20 digits. A part's row names its book by a digest of
+    the list, never by the list itself."""
+    listed = F.sha1(F.to_json(F.struct("book_dir", "kind", "files"), {"ignoreNullFields": "false"}))
+    named = books.withColumn("_list", listed)
+    parts = named.select("_list", F.explode("files").alias("rel_path"))
+    return named.join(fingerprints_of_parts(parts, fps, ["_list"]).drop("parts"), "_list").drop("_list")
