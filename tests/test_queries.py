@@ -91,6 +91,13 @@ def _one_table(tmp_path, spark, name, rows, schema):
     return con
 
 
+def test_exact_dupes_reads_whole_pages(spark, tmp_path):
+    """Long pages that differ in the middle alone, or beyond the first 64 KB, are no copies."""
+    rows = [(1, "a" * 100_000), (2, "a" * 99_999 + "b"), (3, "a" * 100_000 + "b" + "a" * 100_000), (4, "a" * 100_000 + "c" + "a" * 100_000), (5, "a" * 100_000), (6, "é"), (7, ""), (8, None)]
+    con = _one_table(tmp_path, spark, "pages", rows, "page_id long, html string")
+    same_rows(registry.QUERIES["exact_dupes"](spark, str(tmp_path)), con, registry.ORACLES["exact_dupes"])
+
+
 def test_book_fingerprints_hold_no_list_a_part(spark, tmp_path):
     """Odd books equal the SQL, and what is dealt for a part doesn't grow with its book."""
     rows = [(i, "s", "en") for i in range(3000)] + [(i, "s", None) for i in range(3)] + [(3, "s", None), (None, "t", "x"), (None, "u", "en"), (5, "u", "en")]

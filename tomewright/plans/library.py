@@ -259,7 +259,7 @@ WITH f AS (SELECT page_id, sha1(CAST(strlen(html) AS VARCHAR) || html) AS fp FRO
 SELECT fp, min(page_id) AS first_id, count(*) AS n FROM f GROUP BY fp""")
 def exact_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.col("html").cast("binary")
-    fp = tree.content_fingerprint(content, F.octet_length("html").cast("long"))
+    fp = tree.content_fingerprint(content, F.octet_length("html").cast("long"), chunk=None)
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", fp.alias("fp")).groupBy("fp").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
 
 

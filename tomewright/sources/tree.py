@@ -188,10 +188,12 @@ def fingerprints(files: DataFrame, root: str, chunk: int = 65536) -> DataFrame:
     return files.select("rel_path").mapInPandas(run, "rel_path string, fp string")
 
 
-def content_fingerprint(content, length):
-    """The same as a Column, over the ``binaryFile`` source's columns."""
-    tail = F.when(length > 131072, F.substring(content, length.cast("int") - 65535, 65536)).otherwise(F.lit(b""))
-    return F.sha1(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, 65536), tail))
+def content_fingerprint(content, length, chunk: int | None = 65536):
+    """The same as a Column, over the ``binaryFile`` source's columns; without ``chunk``, of the whole content."""
+    if chunk is None:
+        return F.sha1(F.concat(length.cast("string").cast("binary"), content))
+    tail = F.when(length > 2 * chunk, F.substring(content, length.cast("int") - (chunk - 1), chunk)).otherwise(F.lit(b""))
+    return F.sha1(F.concat(length.cast("string").cast("binary"), F.substring(content, 1, chunk), tail))
 
 
 def fingerprints_of_parts(parts: DataFrame, fps: DataFrame, keys: list[str]) -> DataFrame:
