@@ -98,6 +98,12 @@ def test_exact_dupes_reads_whole_pages(spark, tmp_path):
     same_rows(registry.QUERIES["exact_dupes"](spark, str(tmp_path)), con, registry.ORACLES["exact_dupes"])
 
 
+def test_html_text_resolves_what_its_sql_does(spark, tmp_path):
+    rows = [(1, "a &amp b"), (2, "&nbsp;x&nbsp;y&eacute; &lt &mdash;"), (3, "&amp;lt; &amp;#39; &#39;"), (4, "a\x0bb \x0b"), (5, "<SCRIPT>1</script>x<style\n>y</STYLE> <\u017fcript>z</\u017fcript>"), (6, None), (7, "a\u00a0 b\u2003"), (8, "\n&nbsp;\r\n a\n ")]
+    con = _one_table(tmp_path, spark, "pages", rows, "page_id long, html string")
+    same_rows(registry.QUERIES["html_text"](spark, str(tmp_path)), con, registry.ORACLES["html_text"])
+
+
 def test_book_fingerprints_hold_no_list_a_part(spark, tmp_path):
     """Odd books equal the SQL, and what is dealt for a part doesn't grow with its book."""
     rows = [(i, "s", "en") for i in range(3000)] + [(i, "s", None) for i in range(3)] + [(3, "s", None), (None, "t", "x"), (None, "u", "en"), (5, "u", "en")]

@@ -195,3 +195,6 @@ CHAPTER_WORDS = frozenset("chapter chap ch track trk part pt disc disk cd episod
 BARE_CHAPTERS = frozenset("chapter ch track part".split())
 #: Containers that hold a whole book.
 WHOLE_BOOKS = (".m4b", ".m4a")
+
+#: The entities that plain pages use, in the order in which they are resolved: the ampersand's last, so that none is resolved twice.
+PLAIN_ENTITIES = {"&middot;": "·", "&copy;": "©", "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
