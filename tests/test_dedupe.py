@@ -12,6 +12,7 @@ from tomewright.functions import names
 from tomewright.functions import udfs
 from tomewright.operators import dedupe
 from tomewright.operators.components import connected_components
+from tomewright.session import materialize
 
 FIELDS = "id long, kind string, nt string, mt string, nums array<string>, mnums array<string>, ak string, surname string, seq string, fp string, asin string, isbn string, dur double"
 
@@ -170,3 +171,31 @@ def test_decisions_on_groups_and_policies(spark):
     assert largest == {(1, 2): 2, (3, 4): 4, (5, 6): 6} and dedupe.by_policy(books, files, found, "keep_all").count() == 0
     with pytest.raises(ValueError, match="unknown policy"):
         dedupe.by_policy(books, files, found, "x")
+
+
+def test_components_of_stars_need_no_round(spark, monkeypatch):
+    from tomewright.operators import components
+
+    labels = []
+    monkeypatch.setattr(components, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    stars = spark.createDataFrame([(1, i) for i in range(2, 20)] + [(30, 31)], "src long, dst long")
+    found = {r.node: r.root for r in connected_components(stars).collect()}
+    assert found == {i: 1 for i in range(1, 20)} | {30: 30, 31: 30}
+    assert labels == ["stars", "least"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 50)], "src long, dst long")
+    assert {r.node: r.root for r in connected_components(chain).collect()} == dict.fromkeys(range(41), 0)
+    assert connected_components(stars.where("false")).count() == 0
+
+
+def test_only_blocks_of_different_titles_are_compared(spark):
+    from tomewright.operators import similarity
+
+    rows = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("b", "y"), (None, "x"), (None, "y")], "k string, t string")
+    assert sorted(similarity.crowded(rows, ["k"], "t").collect()) == [("b", "x"), ("b", "y"), ("b", "y")]
+
+
+def test_file_stats_of_odd_books(spark):
+    books = spark.createDataFrame([(1, ["a/x.mp3", "a/y.M4B", None]), (2, []), (3, None), (4, ["b/none"]), (5, ["c/z.epub", "c/q.epub"])], "id long, files array<string>")
+    files = spark.createDataFrame([("a/x.mp3", 5, 1), ("a/y.M4B", 7, 2), ("c/q.epub", 3, 9)], "path string, size long, mtime long")
+    got = {r.id: (r["size"], r.mtime, r.nfiles, r.exts, r.names) for r in dedupe.file_stats(books, files).collect()}
+    assert got == {1: (12, 2, 3, [".m4b", ".mp3"], "x.mp3 y.M4B"), 4: (0, None, 1, [""], "none"), 5: (3, 9, 2, [".epub"], "q.epub z.epub")}
