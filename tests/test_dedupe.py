@@ -194,6 +194,16 @@ def test_only_blocks_of_different_titles_are_compared(spark):
     assert sorted(similarity.crowded(rows, ["k"], "t").collect()) == [("b", "x"), ("b", "y"), ("b", "y")]
 
 
+def test_dismissal_searches_once(spark, monkeypatch):
+    from tomewright.plans import library
+
+    calls = []
+    whole = dedupe.groups
+    monkeypatch.setattr(dedupe, "groups", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    library.dismiss_anti(spark, "/root/testdata/sf0.001").count()
+    assert len(calls) == 1
+
+
 def test_file_stats_of_odd_books(spark):
     books = spark.createDataFrame([(1, ["a/x.mp3", "a/y.M4B", None]), (2, []), (3, None), (4, ["b/none"]), (5, ["c/z.epub", "c/q.epub"])], "id long, files array<string>")
     files = spark.createDataFrame([("a/x.mp3", 5, 1), ("a/y.M4B", 7, 2), ("c/q.epub", 3, 9)], "path string, size long, mtime long")

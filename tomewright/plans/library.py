@@ -108,8 +108,8 @@ g AS (SELECT root, string_agg(fingerprint, '|' ORDER BY fingerprint) AS key, str
   count(DISTINCT fingerprint) < count(*) AS same, max(CASE WHEN author <> '' THEN 1 ELSE 0 END) AS named, count(DISTINCT id % 2) AS formats, arg_max(id, (q, id)) AS keep FROM k GROUP BY root HAVING count(*) > 1)"""
 
 
-def _groups(spark: SparkSession, sf_dir: str, dismissed: DataFrame | None = None) -> DataFrame:
-    return dedupe.groups(books(spark, sf_dir), files(spark, sf_dir), dismissed)
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.groups(books(spark, sf_dir), files(spark, sf_dir))
 
 
 @query("dup_groups", f"""WITH {GROUPS} SELECT key, ids, n, concat_ws('|', CASE WHEN same THEN 'Identical files:100' END, CASE WHEN named = 1 THEN 'Same title and author:100' END) AS reasons, keep,
@@ -122,7 +122,7 @@ def dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dismiss_anti", f"WITH {GROUPS} SELECT key, keep FROM g WHERE key NOT IN (SELECT key FROM g WHERE keep % 3 = 0)")
 def dismiss_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _groups(spark, sf_dir)
-    return _groups(spark, sf_dir, found.where("keep % 3 = 0").select("key")).select("key", "keep")
+    return dedupe.in_order(dedupe.undismissed(found, found.where("keep % 3 = 0"))).select("key", "keep")
 
 
 @query("file_stats", f"WITH {BOOKS} SELECT id, size, mtime, CASE WHEN kind = 'audio' OR id % 2 = 0 THEN 0 ELSE 3 END AS rank, CAST(1 AS BIGINT) AS nfiles, '.' || split_part(path, '.', 2) AS exts, split_part(path, '/', 2) AS names FROM b")
