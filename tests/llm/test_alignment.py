@@ -118,3 +118,22 @@ def test_a_very_long_text_and_no_rows(spark):
     df = spark.createDataFrame([(1, long), (2, "The quick")], "doc_id long, text string")
     same(sorted(alignment.align(df, A, B, stretch=1 << 16).collect()), brute([long, "The quick"]))
     assert alignment.align(df.where("doc_id > 5"), A, B).collect() == []
+
+
+def test_pieces_come_from_the_library_once(monkeypatch):
+    """The alignment merges no pieces itself, and its ids are the library's for odd texts too."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tomewright.llm import sentencepieces
+    from tomewright.llm.alignment import Aligner
+
+    merged = []
+    agenda = sentencepieces.MergeEncoder._shared_agenda
+    monkeypatch.setattr(sentencepieces.MergeEncoder, "_shared_agenda", lambda self, s, o: merged.append(len(s)) or agenda(self, s, o))
+    aligner = Aligner(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["a plain text", "", "two  spaces ", " ", "   ", "▁x ▁", "é\x00\n\tz", "x" * 5000, "日本 語"]
+    flat, at = aligner.b.encode(pa.array(texts, pa.large_string()))
+    for k, text in enumerate(texts):
+        assert flat[at[k] : at[k + 1]].tolist() == aligner.b.library.encode(text), text
+    assert sum(merged) <= 2  # a lone space

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tomewright.llm.sentencepieces import SPACE, MergeEncoder
+from tomewright.llm.sentencepieces import SPACE, LibraryEncoder
 from tomewright.llm.textbatches import DistinctWordTokenizer, gather, map_batches, slices
 from tomewright.session import materialize
 
@@ -129,7 +129,7 @@ class Aligner:
         import duckdb
 
         self.a = DistinctWordTokenizer(byte_level, "kept", special_as_text=True)
-        self.b = MergeEncoder(pieces)
+        self.b = LibraryEncoder(pieces)
         self.spell_a, self.spell_b = Spellings.byte_level(byte_level), Spellings.pieces(self.b.library)
         self.digits = Digits(max(len(self.spell_a.lengths), len(self.spell_b.lengths)))
         self.scratch = tempfile.TemporaryDirectory()  # for joins larger than the memory; of this task alone

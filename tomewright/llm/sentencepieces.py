@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -215,6 +216,22 @@ class MergeEncoder:
         return self.library.decode(ids)
 
 
+class LibraryEncoder(MergeEncoder):
+    """The same, with every distinct segment's ids by the library itself, so that nothing is merged twice: for who asks
+    for ids, not for the agenda."""
+
+    def encode_segments(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not segments:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        named = [x.replace(SPACE, " ") for x in segments if x]
+        found = iter(self.library.encode(named, num_threads=1) if named else [])
+        # the library takes an empty string for an empty text, where a segment is a space at least
+        space = super().encode_segments([""])[0].tolist() if len(named) < len(segments) else []
+        ids = [next(found) if x else space for x in segments]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+
 def encode_documents(
     docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", ends: bool = True,
     outputs: Iterable[str] = ("n_tokens", "ids", "decoded"), check: bool = True,
